@@ -27,7 +27,7 @@ from seqdrift.operators.quantize import Quantizer
 from seqdrift.plans import compare as C
 from seqdrift.plans import export as PE
 from seqdrift.schema import FEATURES, SHORT
-from seqdrift.session import shared_dir
+from seqdrift.session import settled, shared_dir
 from seqdrift.sources import artifacts as AR
 from seqdrift.sources import logs as L
 from seqdrift.sources import tables as T
@@ -76,13 +76,22 @@ def features_a(spark: SparkSession, sf: str, **options) -> DataFrame:
     return FL.preprocess(flows, packets, chunk=T.event_chunk(spark, sf), **options)
 
 
+def features_b(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of order lines, written once: fitting and profiling both read them."""
+    return settled(T.order_features(spark, sf), "features")
+
+
 def quantizer_b(spark: SparkSession, sf: str, order: int = 0, mask: tuple[str, ...] = (), eps: float = EPS) -> DataFrame:
-    return FT.fit(T.order_features(spark, sf), order, eps, eps, mask, exact=True)
+    return FT.fit(features_b(spark, sf), order, eps, eps, mask, exact=True)
 
 
 def profile_b(spark: SparkSession, sf: str, order: int, mask: tuple[str, ...] = NO_TIME, eps: float = EPS) -> C.Profile:
-    q = Quantizer.per_packet(quantizer_b(spark, sf, order, mask, eps))
-    return C.build_profile(T.order_features(spark, sf), q, order, "side")
+    features = features_b(spark, sf)
+    return C.build_profile(features, fitted_b(features, order, mask, eps), order, "side")
+
+
+def fitted_b(features: DataFrame, order: int = 0, mask: tuple[str, ...] = NO_TIME, eps: float = EPS) -> Quantizer:
+    return FT.fitted(features, order, epsilon=eps, delta=eps, mask=mask, exact=True)
 
 
 # ---------------------------------------------------------------- flows (F)
@@ -345,9 +354,9 @@ def stats_display(spark, sf):
 # ---------------------------------------------------------------- fitting (Q)
 
 def _planned(spark, sf, order: int, mask: tuple[str, ...] = ()) -> DataFrame:
-    b = T.order_features(spark, sf)
+    b = features_b(spark, sf)
     quantiles = None if "timestamp" in mask else S.exact_quantiles(b, columns=("t",))
-    return FT.plan_bins(S.moments(b), S.size_frequencies(b), quantiles, order, EPS, EPS, mask)
+    return FT.plan_bins(settled(S.moments(b), "moments"), S.size_frequencies(b), quantiles, order, EPS, EPS, mask)
 
 
 for _order in (0, 1, 2):
@@ -386,8 +395,8 @@ _x = X.fit(0, mask=NO_TIME)
 
 @query("maxdiff_bins", X.sql(f"select {big('idx', 'idx')}, {big('value', 'value')}, {big('freq', 'freq')}, {big('bin', 'bin')} from lk{_x}", f"lk{_x}"))
 def maxdiff_bins(spark, sf):
-    b = T.order_features(spark, sf)
-    return pick(FT.maxdiff(S.size_frequencies(b), _planned(spark, sf, 0, NO_TIME)))
+    freq = settled(S.size_frequencies(T.order_features(spark, sf)), "frequencies")
+    return pick(FT.maxdiff(freq, settled(_planned(spark, sf, 0, NO_TIME), "plan")))
 
 
 @query("maxdiff_contents", X.sql(f"""select {big('idx', 'idx')}, {big('bin', 'bin')}, {big('count(*) filter (freq > 0)', 'observed')}, {big('sum(freq)', 'total')},
@@ -469,7 +478,7 @@ def quantizer_fit_masked(spark, sf):
 
 @query("quantizer_fit_from_merged_stats", _quantizer_sql(X.fit(1, mask=NO_TIME)))
 def quantizer_fit_from_merged_stats(spark, sf):
-    b = T.order_features(spark, sf)
+    b = features_b(spark, sf)
     moments = S.merge_moments(S.moments(b, by=("side",)))
     freq = S.size_frequencies(b, by=("side",)).groupBy("idx", "value").agg(F.sum("freq").alias("freq"))
     return _quantizer_rows(FT.fit_from_stats(moments, freq, None, 1, EPS, EPS, NO_TIME), time=False)
@@ -478,3 +487,313 @@ def quantizer_fit_from_merged_stats(spark, sf):
 @query("sketched_quantizer")
 def sketched_quantizer(spark, sf):
     return pick(QZ.bin_counts(FT.fit(T.order_features(spark, sf), 0, EPS, EPS)))
+
+
+# ---------------------------------------------------------------- quantizing (P)
+
+@query("domain_violations", X.sql("""select 'timestamp' as feature, count(*) filter (not (t >= 0) or isnan(t)) as outside from c
+  union all select 'direction', count(*) filter (d not between 0 and 1) from c union all select 'size', count(*) filter (s not between 1 and 1460) from c""", "c"))
+def domain_violations(spark, sf):
+    return pick(QZ.domain_violations(T.conversation_features(spark, sf)))
+
+
+@query("domain_clamp", X.sql(f"select conn_id, {big('idx', 'idx')}, {r('greatest(t, 0)', 't')}, {big('d', 'd')}, {big('least(greatest(s, 1), 1460)', 's')} from c", "c"))
+def domain_clamp(spark, sf):
+    return pick(QZ.domain_guard(T.conversation_features(spark, sf), "clamp"))
+
+
+@query("domain_drop", X.sql(f"select conn_id, {big('idx', 'idx')}, {r('t', 't')}, {big('d', 'd')}, {big('s', 's')} from c where s between 1 and 1460 and t >= 0", "c"))
+def domain_drop(spark, sf):
+    return pick(QZ.domain_guard(T.conversation_features(spark, sf), "drop"))
+
+
+UNIFORM_BINS = 12
+
+
+def _everywhere(spark: SparkSession, **kinds: Column) -> Quantizer:
+    """One quantizer for all positions, from three feature quantizers."""
+    parts = {"t": Q.mask("timestamp"), "d": Q.identity("direction"), "s": Q.mask("size"), **kinds}
+    return Quantizer.everywhere(spark.range(1).select(*[v.alias(k) for k, v in parts.items()]).first())
+
+
+@query("quantize_global", X.sql(f"""select conn_id, {big('idx', 'idx')},
+  {big("greatest(0, least(cast(floor((ln(1.0 + least(greatest(t, 0.5), 1000.0)) - ln(1.0 + 0.5)) * (7 / (ln(1.0 + 1000.0) - ln(1.0 + 0.5)))) as bigint), 6))", 't')}, {big('d', 'd')},
+  {big('greatest(0, least(cast(floor((least(greatest(s, 1.0), 1461.0) - 1.0) * (12.0 / 1460.0)) as bigint), 11))', 's')} from b""", "b"))
+def quantize_global(spark, sf):
+    (tl, th), (sl, sh) = Q.bounds("timestamp", F.lit(0.5), F.lit(1000.0)), Q.bounds("size")
+    q = _everywhere(spark, t=Q.make("loguniform", tl, th, Q.log_width(tl, th, F.lit(7))),
+                    s=Q.make("uniform", sl, sh, Q.uniform_width(sl, sh, F.lit(float(UNIFORM_BINS)))))
+    return pick(QZ.symbols(T.order_features(spark, sf), q).select("conn_id", "idx", "sym.t", "sym.d", "sym.s"))
+
+
+@query("quantize_mask_identity", X.sql(f"select conn_id, {big('idx', 'idx')}, {big('-1', 't')}, {big('d', 'd')}, {big('s', 's')} from b", "b"))
+def quantize_mask_identity(spark, sf):
+    return pick(QZ.symbols(T.order_features(spark, sf), _everywhere(spark, s=Q.identity("size"))).select("conn_id", "idx", "sym.t", "sym.d", "sym.s"))
+
+
+_x = X.grams(0)
+
+
+@query("packet_symbols", X.sql(f"select conn_id, {big('idx', 'idx')}, {big('st', 't')}, {big('sd', 'd')}, {big('ss', 's')}, sym as text from gr{_x}", f"gr{_x}"))
+def packet_symbols(spark, sf):
+    b = features_b(spark, sf)
+    out = QZ.symbols(b, fitted_b(b, 0, ()))
+    return pick(out.select("conn_id", "idx", "sym.t", "sym.d", "sym.s", Q.symbol_text(F.col("sym")).alias("text")))
+
+
+@query("bin_counts", X.sql(f"""select {big('idx', 'idx')}, {big('tb', 'time_bins')}, {big('db', 'direction_bins')}, {big('sb', 'size_bins')},
+  {big('tb * db * sb', 'outcomes')}, {big('3', 'active_features')} from qz{_x}""", f"qz{_x}"))
+def bin_counts(spark, sf):
+    return pick(QZ.bin_counts(quantizer_b(spark, sf)))
+
+
+@query("row_features", X.sql(f"select {big('3 * count(*)', 'features')} from qz{_x} where idx < 3", f"qz{_x}"))
+def row_features(spark, sf):
+    return pick(QZ.min_features(quantizer_b(spark, sf), 3))
+
+
+@query("budget_guard", X.sql(f"select {big('idx', 'idx')}, {big('tb * db * sb', 'outcomes')} from qz{_x} where tb * db * sb <= k", f"qz{_x}"))
+def budget_guard(spark, sf):
+    b = features_b(spark, sf)
+    k = b.groupBy("idx").agg(F.floor(F.count("*") * (EPS * EPS)).cast("long").alias("k"))
+    return pick(QZ.bin_counts(FT.guarded(FT.fit(b, 0, EPS, EPS, exact=True).join(k, "idx"))), "idx", "outcomes")
+
+
+@query("bin_intervals", X.sql(f"""select {big('idx', 'idx')}, feature, {big('bin', 'bin')}, label from (
+  select idx, 'timestamp' as feature, bin, '[' || printf('%.4f', case when t_inv > 0 then exp(ln(1.0 + t_min) + bin * (1.0 / t_inv)) - 1.0 else t_min end) || ', ' ||
+    printf('%.4f', case when t_inv > 0 then least(exp(ln(1.0 + t_min) + (bin + 1.0) * (1.0 / t_inv)) - 1.0, t_max) else t_max end) || ')' as label
+  from (select *, unnest(range(tb)) as bin from qz{_x})
+  union all select idx, 'direction', bin, '[' || bin || ', ' || bin || ']' from (select idx, unnest(range(2)) as bin from qz{_x})
+  union all select idx, 'size', bin, '[' || coalesce(min(value) filter (freq > 0), 0) || ', ' || coalesce(max(value) filter (freq > 0), 0) || ']' from lk{_x} group by idx, bin)""",
+  f"qz{_x}", f"lk{_x}"))
+def bin_intervals(spark, sf):
+    return pick(QZ.bin_intervals(quantizer_b(spark, sf)))
+
+
+X.picks(0, ())
+SEED = 7
+
+
+@query("dequantize", X.sql(f"""select conn_id, {big('idx', 'idx')}, {r('''case when t_inv > 0 then least(greatest(exp(case when lo < hi2 then lo + ut * (hi2 - lo) else lo end) - 1.0, t_min), t_max) else t_min end''', 't')},
+  {r('sd', 'd')}, {r('value', 's')} from (
+  select g.*, q.t_inv, q.t_min, q.t_max, ln(1.0 + t_min) + st * (1.0 / nullif(t_inv, 0)) as lo,
+    least(ln(1.0 + t_min) + st * (1.0 / nullif(t_inv, 0)) + 1.0 / nullif(t_inv, 0), ln(1.0 + t_max)) as hi2,
+    {u(str(SEED), 'conn_id', 'g.idx', "'timestamp'")} as ut, {u(str(SEED), 'conn_id', 'g.idx', "'size'")} as us
+  from gr{_x} g join qz{_x} q on q.idx = g.idx) c
+  join pv{_x} v on v.idx = c.idx and v.bin = c.ss and us * v.total >= v.lo and us * v.total < v.hi""".replace("v.idx = c.idx", "v.idx = c.idx"), f"gr{_x}", f"qz{_x}", f"pv{_x}")
+  .replace("select conn_id, cast(idx as bigint) as idx", "select conn_id, cast(c.idx as bigint) as idx").replace("when lo < hi2 then lo + ut * (hi2 - lo) else lo end", "when c.lo < hi2 then c.lo + ut * (hi2 - c.lo) else c.lo end"))
+def dequantize(spark, sf):
+    b = features_b(spark, sf)
+    q = fitted_b(b, 0, ())
+    sym = QZ.symbols(b, q).select("conn_id", "idx", "sym")
+    return pick(QZ.dequantized(sym, q, SEED))
+
+
+_xm = X.grams(0, mask=NO_TIME)
+
+
+@query("symbol_vectors", X.sql(f"select conn_id, string_agg(sd || ',' || ss, ',' order by idx) as vector from gr{_xm} where idx < 3 group by conn_id", f"gr{_xm}"))
+def symbol_vectors(spark, sf):
+    b = features_b(spark, sf)
+    sym = QZ.symbols(b, fitted_b(b))
+    return QZ.symbol_vectors(sym, 3).select("conn_id", F.concat_ws(",", "vector").alias("vector"))
+
+
+# ---------------------------------------------------------------- profiles (H)
+
+for _order in (1, 2):
+    _x = X.grams(_order, mask=NO_TIME if _order == 1 else ())
+
+    @query(f"ngrams_order{_order}", X.sql(f"select conn_id, {big('idx', 'idx')}, ctx, sym from gr{_x}", f"gr{_x}"))
+    def ngrams(spark, sf, order=_order):
+        b = features_b(spark, sf)
+        q = fitted_b(b, order, NO_TIME if order == 1 else ())
+        grams = P.ngrams(b, q, order, length=q.positions)
+        return pick(P.as_text(grams), "conn_id", "idx", "ctx", "sym")
+
+
+def _hist_sql(x: str) -> str:
+    return X.sql(f"select profile, {big('idx', 'idx')}, ctx, sym, {big('cnt', 'cnt')} from hi{x}", f"hi{x}")
+
+
+for _order in (0, 1, 2):
+
+    @query(f"profile_order{_order}", _hist_sql(X.grams(_order, mask=NO_TIME)))
+    def profile(spark, sf, order=_order):
+        return pick(P.as_text(profile_b(spark, sf, order).hist))
+
+
+@query("profile_with_time", _hist_sql(X.grams(1)))
+def profile_with_time(spark, sf):
+    return pick(P.as_text(profile_b(spark, sf, 1, ()).hist))
+
+
+_x1 = X.grams(1, mask=NO_TIME)
+
+
+@query("profile_metadata", X.sql(f"""select profile, {big('idx', 'idx')}, {big('total', 'total')}, cast({X.ALPHA} as double) as alpha, {big('alphabet', 'alphabet_size')},
+  {big('len', 'sequence_len')}, {big('1', 'markov_order')} from me{_x1}""", f"me{_x1}"))
+def profile_metadata(spark, sf):
+    return pick(profile_b(spark, sf, 1).meta)
+
+
+@query("profile_support", X.sql(f"""select profile, {big('idx', 'idx')}, {big('n', 'support_size')}, {r('pow(alphabet, len)', 'domain_size')}, {big('total', 'total')}
+  from me{_x1} join (select profile, idx, count(*) as n from hi{_x1} group by profile, idx) using (profile, idx)""", f"me{_x1}", f"hi{_x1}"))
+def profile_support(spark, sf):
+    p = profile_b(spark, sf, 1)
+    return pick(P.support(p.hist, p.meta))
+
+
+@query("profile_merge", X.sql(f"""select ctx, sym, {big('idx', 'idx')}, {big('sum(cnt)', 'cnt')}, {big('total', 'total')} from hi{_x1}
+  join (select idx, sum(total) as total from me{_x1} group by idx) using (idx) group by idx, ctx, sym, total""", f"hi{_x1}", f"me{_x1}"))
+def profile_merge(spark, sf):
+    """Two saved profiles, read back as one table and added."""
+    p = profile_b(spark, sf, 1)
+    path = shared_dir(spark, "profiles")
+    AR.save(p.hist, f"{path}/hist", by="profile")
+    AR.save(p.meta, f"{path}/meta", by="profile")
+    both = C.Profile(AR.load(spark, f"{path}/hist"), AR.load(spark, f"{path}/meta"), 1)
+    merged = C.merge_profiles(both, into="all")
+    joined = P.as_text(merged.hist).join(merged.meta.select("idx", "total"), "idx")
+    return pick(joined, "idx", "ctx", "sym", "cnt", "total")
+
+
+@query("prefix_counts", X.sql(f"select profile, {big('idx', 'idx')}, ctx, {big('sum(cnt)', 'prefix_cnt')} from hi{_x1} group by profile, idx, ctx", f"hi{_x1}"))
+def prefix_counts(spark, sf):
+    counts = P.prefix_counts(profile_b(spark, sf, 1).hist)
+    blank = F.struct(F.lit(-1).alias("t"), F.lit(-1).alias("d"), F.lit(-1).alias("s"))
+    return pick(P.as_text(counts.withColumn("sym", blank)), "profile", "idx", "ctx", "prefix_cnt")
+
+
+@query("conditional_histogram", X.sql(f"""select profile, {big('idx', 'idx')}, ctx, sym, {big('cnt', 'cnt')},
+  {r('cnt / sum(cnt) over (partition by profile, idx, ctx)', 'conditional')} from hi{_x1}""", f"hi{_x1}"))
+def conditional_histogram(spark, sf):
+    return pick(P.as_text(P.conditional(profile_b(spark, sf, 1).hist)), "profile", "idx", "ctx", "sym", "cnt", "conditional")
+
+
+@query("sequence_probabilities", X.sql(f"""select profile, {big('h.idx', 'idx')}, ctx, sym, {r('cnt / total', 'empirical', 9)},
+  {r(f'(cnt + {X.ALPHA}) / (total + {X.ALPHA} * pow(alphabet, len))', 'smoothed', 9)} from hi{_x1} h join me{_x1} m using (profile, idx)""", f"hi{_x1}", f"me{_x1}"))
+def sequence_probabilities(spark, sf):
+    p = profile_b(spark, sf, 1)
+    return pick(P.as_text(P.probabilities(p.hist, p.meta)), "profile", "idx", "ctx", "sym", "empirical", "smoothed", empirical=9, smoothed=9)
+
+
+def _display_sql(x: str, idx: int, k: int) -> str:
+    return X.sql(f"""select {big('idx', 'idx')}, {big('cnt', 'cnt')}, {r('probability', 'probability', 4)}, sequence from (
+  select *, cnt / sum(cnt) over () as probability, case when ctx = '<>' then '<' || sym || '>' else substr(ctx, 1, length(ctx) - 1) || ', ' || sym || '>' end as sequence
+  from hi{x} where profile = 'P' and idx = {idx}) where cnt >= 3 and probability >= 0.001 order by cnt desc, ctx, sd, ss limit {k}""", f"hi{x}")
+
+
+@query("histogram_top", _display_sql(_xm, 1, 12))
+def histogram_top(spark, sf):
+    return pick(P.display(profile_b(spark, sf, 0).hist, "P", 1, min_count=3, min_probability=0.001, top_k=12), probability=4)
+
+
+@query("histogram_footer", X.sql(f"select {big('count(*)', 'support_size')}, {big('sum(cnt)', 'observations')} from hi{_x1} where profile = 'P' and idx = 2", f"hi{_x1}"))
+def histogram_footer(spark, sf):
+    return pick(P.display_footer(profile_b(spark, sf, 1).hist, "P", 2))
+
+
+@query("histogram_decoded", X.sql(f"""select {big('h.idx', 'idx')}, {big('cnt', 'cnt')}, {r('cnt / sum(cnt) over ()', 'probability', 4)},
+  '<[t=MASK: d=' || sd || ':[' || sd || ', ' || sd || '] s=' || ss || ':[' || lo || ', ' || hi || ']]>' as sequence
+  from hi{_xm} h join (select idx, bin, coalesce(min(value) filter (freq > 0), 0) as lo, coalesce(max(value) filter (freq > 0), 0) as hi from lk{_xm} group by idx, bin) l
+  on l.idx = h.idx and l.bin = h.ss where profile = 'P' and h.idx = 1""", f"hi{_xm}", f"lk{_xm}"))
+def histogram_decoded(spark, sf):
+    b = features_b(spark, sf)
+    q = fitted_b(b)
+    p = C.build_profile(b, q, 0, "side")
+    return pick(P.display(p.hist, "P", 1, quantizer=q), probability=4)
+
+
+# ---------------------------------------------------------------- divergence (D)
+
+def _terms_sql(y: str, where: str = "true") -> str:
+    return X.sql(f"select {big('idx', 'idx')}, ctx, sym, {r('contribution', 'contribution', 9)} from kl{y} where {where}", f"kl{y}")
+
+
+def _terms(terms: DataFrame) -> DataFrame:
+    return pick(P.as_text(terms), "idx", "ctx", "sym", "contribution", contribution=9)
+
+
+for _order in (0, 1, 2):
+    _y = X.kl(_order, mask=NO_TIME)
+
+    @query(f"kl_terms_order{_order}", _terms_sql(_y))
+    def kl_terms(spark, sf, order=_order):
+        return _terms(C.divergence_terms(profile_b(spark, sf, order), "P", "Q"))
+
+    @query(f"kl_delta_order{_order}", X.sql(f"select {big('idx', 'idx')}, {r('delta', 'delta')} from de{_y}", f"de{_y}"))
+    def kl_delta(spark, sf, order=_order):
+        return pick(C.position_divergence(profile_b(spark, sf, order), "P", "Q"))
+
+    @query(f"kl_cumulative_order{_order}", X.sql(f"select {big('idx', 'idx')}, {r('cumulative', 'cumulative')} from cu{_y}", f"cu{_y}"))
+    def kl_cumulative(spark, sf, order=_order):
+        return pick(D.cumulative(C.position_divergence(profile_b(spark, sf, order), "P", "Q")))
+
+
+_y1, _y1r = X.kl(1, mask=NO_TIME), X.kl(1, "Q", "P", mask=NO_TIME)
+
+
+@query("kl_terms_with_time", _terms_sql(X.kl(1)))
+def kl_terms_with_time(spark, sf):
+    return _terms(C.divergence_terms(profile_b(spark, sf, 1, ()), "P", "Q"))
+
+
+@query("kl_reverse", X.sql(f"select {big('idx', 'idx')}, {r('delta', 'delta')} from de{_y1r}", f"de{_y1r}"))
+def kl_reverse(spark, sf):
+    p = profile_b(spark, sf, 1)
+    return pick(D.delta(D.reverse_kl_terms(p.hist, p.meta, "P", "Q")))
+
+
+@query("kl_total", X.sql(f"select {r('sum(delta)', 'total')} from de{_y1}", f"de{_y1}"))
+def kl_total(spark, sf):
+    return pick(D.total(C.position_divergence(profile_b(spark, sf, 1), "P", "Q")))
+
+
+@query("kl_max_position", X.sql(f"select {big('idx', 'idx')}, {r('delta', 'delta')} from de{_y1} order by delta.delta desc, idx desc limit 1".replace("delta.delta", f"de{_y1}.delta"), f"de{_y1}"))
+def kl_max_position(spark, sf):
+    return pick(D.max_position(C.position_divergence(profile_b(spark, sf, 1), "P", "Q")))
+
+
+@query("kl_terms_at", _terms_sql(_y1, "idx = 1"))
+def kl_terms_at(spark, sf):
+    return _terms(D.terms_at(C.divergence_terms(profile_b(spark, sf, 1), "P", "Q"), 1))
+
+
+@query("error_bounds", X.sql(f"""select {big('idx', 'idx')}, {r('v', 'cumulative')}, {r('sqrt(v / 2.0)', 'pinsker')}, {r('sqrt(1.0 - exp(-v))', 'bretagnolle_huber')},
+  {r('(1.0 - least(sqrt(v / 2.0), sqrt(1.0 - exp(-v)))) / 2.0', 'bayes_error_lower_bound')} from (select idx, cumulative as v from cu{_y1})""", f"cu{_y1}"))
+def error_bounds(spark, sf):
+    return pick(D.error_bounds(D.cumulative(C.position_divergence(profile_b(spark, sf, 1), "P", "Q"))))
+
+
+@query("error_decay", X.sql(f"""select {big('f.idx', 'idx')}, {r('exp(-10.0 * f.cumulative)', 'chernoff_stein')}, {r('exp(-10.0 * b.cumulative)', 'sanov')}
+  from cu{_y1} f join cu{_y1r} b on b.idx = f.idx""", f"cu{_y1}", f"cu{_y1r}"))
+def error_decay(spark, sf):
+    p = profile_b(spark, sf, 1)
+    forward = D.cumulative(C.position_divergence(p, "P", "Q")).withColumnRenamed("cumulative", "f")
+    backward = D.cumulative(D.delta(D.reverse_kl_terms(p.hist, p.meta, "P", "Q"))).withColumnRenamed("cumulative", "b")
+    return pick(forward.join(backward, "idx").select(
+        "idx", D.error_decay(F.col("f"), 10).alias("chernoff_stein"), D.error_decay(F.col("b"), 10).alias("sanov")))
+
+
+_de, _cu = "kl_position_divergence", "kl_position_cumulative"
+
+
+def _plain_kl_sql(final: str) -> str:
+    """Four even size bins and the direction, no fitting."""
+    return X.sql(f"""select * from (with g as (select side, idx, d || '/' || greatest(0, least(cast(floor((s - 1.0) * (4.0 / 1460.0)) as bigint), 3)) as sym from b),
+  h as (select side, idx, sym, count(*) as cnt from g group by all), m as (select side, idx, sum(cnt) as n from h group by all),
+  d as (select p.idx, sum((p.cnt / mp.n) * ln((p.cnt / mp.n) / ((coalesce(q.cnt, 0) + 1.0) / (mq.n + 8.0)))) as delta
+    from (select * from h where side = 'P') p left join (select * from h where side = 'Q') q on q.idx = p.idx and q.sym = p.sym
+    join m mp on mp.idx = p.idx and mp.side = 'P' join m mq on mq.idx = p.idx and mq.side = 'Q' group by p.idx) {final})""", "b")
+
+
+def plain_profile(spark: SparkSession, sf: str) -> C.Profile:
+    lo, hi = Q.bounds("size")
+    q = _everywhere(spark, s=Q.make("uniform", lo, hi, Q.uniform_width(lo, hi, F.lit(4.0))))
+    return C.build_profile(T.order_features(spark, sf), q, 0, "side")
+
+
+@query("kl_delta_uniform", _plain_kl_sql(f"select {big('idx', 'idx')}, {r('delta', 'delta')} from d"))
+def kl_delta_uniform(spark, sf):
+    return pick(C.position_divergence(plain_profile(spark, sf), "P", "Q"))

@@ -288,3 +288,59 @@ from d_end e join d_mark m using (conn_id) join d_shake s using (conn_id)
 where client_hello is not null and server_hello is not null and ssl_est is not null and syn_ts <= synack_ts and synack_ts <= ack_ts
   and len - 1 > ssl_est and {'len > 0' if shorter else 'len = 50'}""")
     return name
+
+
+def picks(order: int, mask: tuple[str, ...]) -> str:
+    """Block pv<x>(idx, bin, value, lo, hi, total): running counts of the observed sizes of each bin."""
+    x = fit(order, mask=mask)
+    block(f"pv{x}", (f"lk{x}",), f"""
+select idx, bin, value, hi - freq as lo, hi, total from (
+  select *, sum(freq) over (partition by idx, bin order by value) as hi, sum(freq) over (partition by idx, bin) as total
+  from lk{x} where freq > 0)""")
+    return x
+
+
+def cdfs(order: int, mask: tuple[str, ...], profile: str) -> str:
+    """Blocks cd<k><x> for each context length k: running counts of symbols, contexts cut to their last k."""
+    x = grams(order, mask=mask)
+    for level in range(order + 1):
+        ctx = "ctx" if level == order else "'<>'"
+        block(f"cd{level}{x}", (f"hi{x}",), f"""
+select idx, ctx, st, sd, ss, hi - cnt as lo, hi, total from (
+  select *, sum(cnt) over (partition by idx, ctx order by st, sd, ss) as hi, sum(cnt) over (partition by idx, ctx) as total from (
+    select idx, {ctx} as ctx, st, sd, ss, sum(cnt) as cnt from hi{x} where profile = '{profile}' group by all))""")
+    return x
+
+
+def chain(order: int, length: int, seed: int, flows: str, mask: tuple[str, ...], profile: str) -> str:
+    """Blocks g0 .. of order-1 generation with time masked: (n, d, s, sym, level) per position."""
+    assert order == 1 and mask == ("timestamp",)
+    x = cdfs(order, mask, profile)
+    picks(order, mask)
+    for i in range(length):
+        name = f"g{i}{x}"
+        uu, uv = u(str(seed), "n", str(i)), u(str(seed), "n", str(i), "'size'")
+        before = f"g{i - 1}{x}" if i else f"g_start{x}"
+        if not i:
+            block(before, (), f"select unnest(range(({flows}))) as n, null::bigint as d, null::bigint as s")
+        past = sym_text("-1", "p.d", "coalesce(l.bin, p.s)") if i else "null"
+        block(name, (before, f"lk{x}", f"cd1{x}", f"cd0{x}", f"pv{x}"), f"""
+select n, sd as d, coalesce(v.value, ss) as s, {sym_text('-1', 'sd', 'ss')} as sym, level from (
+  select p.n, coalesce(a.sd, b.sd) as sd, coalesce(a.ss, b.ss) as ss, {uv} as uv,
+    case when a.sd is not null then {min(order, i)} else 0 end as level
+  from (select p.n, {f"'<' || {past} || '>'" if i else "'<>'"} as ctx, {uu} as uu from {before} p
+        left join lk{x} l on l.idx = {i} and l.value = p.s) p
+  left join cd1{x} a on a.idx = {i} and a.ctx = p.ctx and uu * a.total >= a.lo and uu * a.total < a.hi
+  left join cd0{x} b on b.idx = {i} and uu * b.total >= b.lo and uu * b.total < b.hi) c
+left join pv{x} v on v.idx = {i} and v.bin = c.ss and uv * v.total >= v.lo and uv * v.total < v.hi""")
+    return x
+
+
+def wide(src: str, n: int, t: str | None, s: str | None, extra: str = "", where: str = "true") -> str:
+    """Pivot of a feature block: one row per flow, -1 where it has ended."""
+    cols = []
+    for i in range(n):
+        for name, expr in (("t", t), ("s", s)):
+            if expr is not None:
+                cols.append(f"cast(round(coalesce(max(case when idx = {i} then {expr} end), -1), 6) + 0.0 as double) as {name}_{i:03d}")
+    return f"select conn_id{extra}, {', '.join(cols)} from {src} where {where} group by conn_id{extra.replace('cast(round(rtt, 6) as double) as rtt', 'rtt')} having count(*) filter (idx < {n}) > 0"

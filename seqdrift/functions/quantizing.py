@@ -119,25 +119,34 @@ def active_features(q: dict[str, Column]) -> Column:
     return sum(((q[c]["kind"] != "mask").cast("int") for c in ("t", "d", "s")), F.lit(0))
 
 
+def running_counts(q: Column) -> Column:
+    """The quantizer with the counts of each empirical bin replaced by their running sums.
+
+    Done once per quantizer row, so that a draw is a binary search.
+    """
+    def running(counts: Column) -> Column:
+        return F.transform(counts, lambda _, i: F.aggregate(F.slice(counts, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, c: a + c))
+
+    bins = F.transform(q["bins"], lambda b: F.struct(b["values"].alias("values"), running(b["counts"]).alias("counts")))
+    return make(q["kind"], q["eff_min"], q["eff_max"], q["inv_width"], q["num_bins"], q["lookup"], bins)
+
+
 def _pick_empirical(bin_id: Column, q: Column, u: Column) -> Column:
-    """Observed value of an empirical bin, weighted by its counts; null for an empty bin."""
+    """Observed value of an empirical bin, weighted by its counts (running sums here); null for an empty bin."""
     chosen = F.get(q["bins"], bin_id)
-    counts, values = chosen["counts"], chosen["values"]
-    target = u * F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c)
-    # walk the counts until the running sum passes the target
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("pos"))
-    end = F.aggregate(
-        counts,
-        start,
-        lambda a, c: F.struct(
-            (a["sum"] + c).alias("sum"), F.when(a["sum"] + c <= target, a["pos"] + 1).otherwise(a["pos"]).alias("pos")
-        ),
-    )
-    return F.get(values, F.least(end["pos"], F.size(values) - 1)).cast("double")
+    upto, values = chosen["counts"], chosen["values"]
+    start = F.struct(F.lit(0).alias("pos"), (u * F.try_element_at(upto, F.lit(-1))).alias("target"))
+    steps = F.array(*[F.lit(1 << p) for p in range(10, -1, -1)])
+
+    def forward(a: Column, step: Column) -> Column:
+        passed = F.get(upto, a["pos"] + step - 1) <= a["target"]
+        return F.struct(F.when(passed, a["pos"] + step).otherwise(a["pos"]).alias("pos"), a["target"].alias("target"))
+
+    return F.get(values, F.aggregate(steps, start, forward, lambda a: a["pos"])).cast("double")
 
 
 def to_value(feature: str, bin_id: Column, q: Column, u: Column) -> Column:
-    """A value inside a bin, picked by the uniform u.
+    """A value inside a bin, picked by the uniform u. Takes a quantizer with `running_counts`.
 
     Masked discrete features draw inside their domain, so the value can be quantized again. A masked
     unbounded feature has no interval to draw from and yields its lower bound.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from seqdrift.functions import numeric as N
 from seqdrift.functions import quantizing as Q
 from seqdrift.operators import stats as S
+from seqdrift.operators.quantize import Quantizer
 from seqdrift.schema import DEFAULT_DELTA, DEFAULT_EPSILON, FEATURES, MAX_SIZE
 from seqdrift.session import settled
 
@@ -160,6 +161,12 @@ def fit(features: DataFrame, order: int = 0, epsilon: float = DEFAULT_EPSILON, d
     return settled(fit_from_stats(moments, freq, quantiles, order, epsilon, delta, mask, max_packets, strict), "quantizer")
 
 
+def fitted(features: DataFrame, order: int = 0, **options) -> Quantizer:
+    """`fit`, ready to apply. The number of positions is read from the settled table."""
+    table = fit(features, order, **options)
+    return Quantizer.per_packet(table, table.count())
+
+
 def plan_bins(moments: DataFrame, freq: DataFrame, quantiles: DataFrame | None, order: int, epsilon: float, delta: float,
               mask: Iterable[str] = (), max_packets: int | None = None, strict: bool = False) -> DataFrame:
     """Bin counts per position before the quantizers are built."""

@@ -66,12 +66,13 @@ def strip_flows(flows: DataFrame) -> DataFrame:
     return out
 
 
-def directional_gaps(packets: DataFrame, scale: Column | None = None, chunk: int | None = None) -> DataFrame:
+def directional_gaps(packets: DataFrame, scale: Column | None = None, chunk: int | None = None,
+                     order: tuple[str, ...] = ("idx",)) -> DataFrame:
     """Replaces `ts` by `t`: time since the previous packet of the same direction, 0 for the first one.
 
     With `scale` (the round trip) gaps are in round trips, without it in seconds.
     """
-    out = previous_by_direction(packets, "conn_id", "ts", F.col("direction") > 0.5, chunk)
+    out = previous_by_direction(packets, "conn_id", "ts", F.col("direction") > 0.5, chunk, order)
     gap = F.coalesce(F.col("ts") - F.col("prev"), F.lit(0.0))
     return out.withColumn("t", gap if scale is None else gap / scale).drop("prev", "ts")
 

@@ -119,6 +119,7 @@ def generate(hist: DataFrame, quantizer: Quantizer, order: int, flows: int, leng
         part = sliced(cumulated(levels.where(F.col("level") == level))).withColumn("level", F.lit(level))
         tables = part if tables is None else tables.unionByName(part)
     model = settled(tables, "model", by="idx")
+    quantizer = quantizer.for_drawing()
     if quantizer.table is not None:
         quantizer = Quantizer.per_packet(settled(quantizer.table, "quantizer"), quantizer.positions)
     state = spark.range(flows).withColumnRenamed("id", "n")

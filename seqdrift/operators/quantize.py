@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from seqdrift.functions import quantizing as Q
+from seqdrift.functions.numeric import uniform
 from seqdrift.schema import FEATURE_QUANTIZER, FEATURES, SHORT
 
 _SYMBOL_COLUMNS = ("t", "d", "s")
@@ -44,13 +47,26 @@ def domain_violations(features: DataFrame) -> DataFrame:
     return counts.select(F.explode("r").alias("r")).select("r.feature", "r.outside")
 
 
+def _literal(r: Row | dict) -> Column:
+    lookup = F.array(*[F.lit(v) for v in r["lookup"]]) if r["lookup"] is not None else F.lit(None)
+    bins = F.lit(None)
+    if r["bins"] is not None:
+        bins = F.array(*[
+            F.struct(F.array(*[F.lit(v) for v in b["values"]]).cast("array<int>").alias("values"),
+                     F.array(*[F.lit(v) for v in b["counts"]]).cast("array<bigint>").alias("counts"))
+            for b in r["bins"]])
+    fields = {n: F.lit(r[n]) for n in ("kind", "eff_min", "eff_max", "inv_width", "num_bins")}
+    return F.struct(*[v.alias(n) for n, v in fields.items()], lookup.alias("lookup"), bins.alias("bins")).cast(
+        FEATURE_QUANTIZER.simpleString())
+
+
 class Quantizer:
     """A quantizer per position (a table keyed by idx), or one for all positions (a single row).
 
     `positions` is the length of a per-position table when the caller knows it; short tables broadcast.
     """
 
-    def __init__(self, table: DataFrame | None = None, positions: int | None = None, single: Row | None = None):
+    def __init__(self, table: DataFrame | None = None, positions: int | None = None, single: Row | dict | None = None):
         if (table is None) == (single is None):
             raise ValueError("give either a table or a single row")
         self.table, self.positions, self.single = table, positions, single
@@ -67,20 +83,7 @@ class Quantizer:
         """The feature quantizers as columns of a frame that went through `attach`."""
         if self.table is not None:
             return {c: F.col(f"_q{c}") for c in _SYMBOL_COLUMNS}
-        out = {}
-        for c in _SYMBOL_COLUMNS:
-            r = self.single[c]
-            lookup = F.array(*[F.lit(v) for v in r["lookup"]]) if r["lookup"] is not None else F.lit(None)
-            bins = F.lit(None)
-            if r["bins"] is not None:
-                bins = F.array(*[
-                    F.struct(F.array(*[F.lit(v) for v in b["values"]]).cast("array<int>").alias("values"),
-                             F.array(*[F.lit(v) for v in b["counts"]]).cast("array<bigint>").alias("counts"))
-                    for b in r["bins"]])
-            fields = {n: F.lit(r[n]) for n in ("kind", "eff_min", "eff_max", "inv_width", "num_bins")}
-            out[c] = F.struct(*[v.alias(n) for n, v in fields.items()], lookup.alias("lookup"), bins.alias("bins")).cast(
-                FEATURE_QUANTIZER.simpleString())
-        return out
+        return {c: _literal(self.single[c]) for c in _SYMBOL_COLUMNS}
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Joins the quantizer of each position. Positions beyond a per-position table drop out."""
@@ -91,6 +94,19 @@ class Quantizer:
             side = F.broadcast(side)
         return df.join(side, "idx")
 
+    def for_drawing(self) -> Quantizer:
+        """The same quantizer prepared for drawing values inside bins."""
+        if self.table is None:
+            bins = self.single["s"]["bins"]
+            if bins is None:
+                return self
+            counts = [{"values": b["values"], "counts": list(accumulate(b["counts"]))} for b in bins]
+            row = {c: self.single[c].asDict(recursive=True) for c in _SYMBOL_COLUMNS}
+            row["s"]["bins"] = counts
+            return Quantizer(single=row)
+        ready = self.table.withColumn("s", Q.running_counts(F.col("s")))
+        return Quantizer(table=ready, positions=self.positions)
+
     def detach(self, df: DataFrame) -> DataFrame:
         return df.drop(*[f"_q{c}" for c in _SYMBOL_COLUMNS])
 
@@ -138,13 +154,12 @@ def bin_intervals(quantizer: DataFrame) -> DataFrame:
 
 def dequantized(quantized: DataFrame, quantizer: Quantizer, seed: int) -> DataFrame:
     """Replaces `sym` by values drawn inside its bins: t, d, s. Draws depend only on seed, id and position."""
+    quantizer = quantizer.for_drawing()
     q = quantizer.columns()
     attached = quantizer.attach(quantized)
     key = (F.lit(seed), F.col("conn_id"), F.col("idx"))
 
     def draw(f: str) -> Column:
-        from seqdrift.functions.numeric import uniform
-
         c = SHORT[f]
         return Q.to_value(f, F.col("sym")[c], q[c], uniform(*key, F.lit(f)))
 

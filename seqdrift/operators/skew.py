@@ -112,18 +112,20 @@ def number_rows(df: DataFrame, key: str, order: list[Column], cuts: Cuts, name:
     return out.withColumn(name, F.col(name).cast("int"))
 
 
-def previous_by_direction(df: DataFrame, key: str, value: str, direction: Column, chunk: int | None) -> DataFrame:
+def previous_by_direction(df: DataFrame, key: str, value: str, direction: Column, chunk: int | None,
+                          order: tuple[str, ...] = ("idx",)) -> DataFrame:
     """Adds `prev`: the last earlier value of the same key and direction (true or false), in idx order.
 
     One sort serves both directions. With `chunk`, keys are cut every `chunk` positions and the last value
-    of each direction is carried over; use it when a key may be longer than one task should order.
+    of each direction is carried over; use it when a key may be longer than one task should order. `order`
+    names columns that sort like idx, to share a sort that an earlier step has already made.
     """
     df = df.withColumn("_dir", direction)
     part = [key]
     if chunk:
         df = df.withColumn("_chunk", F.floor(F.col("idx") / chunk).cast("long"))
-        part = [key, "_chunk"]
-    before = W.partitionBy(*part).orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+        part, order = [key, "_chunk"], ("idx",)
+    before = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
 
     def last_of(side: bool) -> Column:
         mine = F.col("_dir") if side else ~F.col("_dir")

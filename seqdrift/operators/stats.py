@@ -13,13 +13,15 @@ QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
 QUANTILE_NAMES = ("q01", "q25", "q50", "q75", "q99")
 #: relative rank error of the sketch is 1 / ACCURACY
 ACCURACY = 10_000
+#: values per position up to which one task may hold all distinct ones
+EXACT_ROWS = 2_000_000
 
 
-def _unpivot(wide: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """The three per-feature column groups of an aggregated frame as rows."""
+def _unpivot(wide: DataFrame, keys: list[str], names: list[str], columns: tuple[str, ...] = ("t", "d", "s")) -> DataFrame:
+    """The per-feature column groups of an aggregated frame as rows."""
     rows = F.array(*[
         F.struct(F.lit(f).alias("feature"), *[F.col(f"{SHORT[f]}_{n}").cast("double").alias(n) for n in names])
-        for f in FEATURES
+        for f in FEATURES if SHORT[f] in columns
     ])
     return wide.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.feature", *[f"r.{n}" for n in names])
 
@@ -58,11 +60,10 @@ def _moments_of(wide: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("cnt", F.col("cnt").cast("long"))
 
 
-def _quantiles_of(wide: DataFrame, keys: list[str]) -> DataFrame:
-    for c in SHORT.values():
-        for i, name in enumerate(QUANTILE_NAMES):
-            wide = wide.withColumn(f"{c}_{name}", F.col(f"{c}_quantiles")[i])
-    return _unpivot(wide, keys, list(QUANTILE_NAMES))
+def _quantiles_of(wide: DataFrame, keys: list[str], columns: tuple[str, ...] = ("t", "d", "s"),
+                  names: tuple[str, ...] = QUANTILE_NAMES) -> DataFrame:
+    flat = wide.select(*keys, *[F.col(f"{c}_quantiles")[i].alias(f"{c}_{n}") for c in columns for i, n in enumerate(names)])
+    return _unpivot(flat, keys, list(names), columns)
 
 
 def variance() -> Column:
@@ -99,13 +100,20 @@ def merge_moments(partials: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def exact_quantiles(features: DataFrame, by: tuple[str, ...] = (), columns: tuple[str, ...] = ("t", "d", "s"),
-                    probs: tuple[float, ...] = QUANTILES, names: tuple[str, ...] = QUANTILE_NAMES) -> DataFrame:
+                    probs: tuple[float, ...] = QUANTILES, names: tuple[str, ...] = QUANTILE_NAMES,
+                    limit: int = EXACT_ROWS) -> DataFrame:
     """Interpolated quantiles without a sketch, at any size.
 
-    Equal values are added up before the shuffle. What is left is cut along a sketch of each group, and
+    Where no position has more than `limit` values (measured first), Spark's own exact percentile is
+    used; it keeps the distinct values of a position in one task. Beyond that, equal values are added up before the shuffle. What is left is cut along a sketch of each group, and
     only the pieces that hold a wanted rank are ordered, so no task orders a whole position. The cut
     points are written first: they are used twice and must not change between the two.
     """
+    largest = features.groupBy(*by, "idx").count().agg(F.max("count")).first()[0] or 0
+    if largest <= limit:
+        exact = [F.percentile(F.col(c).cast("double"), list(probs)).alias(f"{c}_quantiles") for c in columns]
+        wide = features.groupBy(*by, "idx").agg(*exact)
+        return _quantiles_of(wide, [*by, "idx"], columns, names)
     keys = [*by, "feature", "idx"]
     feature_of = {SHORT[f]: f for f in FEATURES}
     rows = F.array(*[F.struct(F.lit(feature_of[c]).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])

@@ -23,6 +23,7 @@ def build_profile(features: DataFrame, quantizer: Quantizer, order: int, populat
                   alpha: float = DEFAULT_ALPHA, guard: str = "fail", length: int | None = None) -> Profile:
     """Profile of a feature frame. With `population`, a column, one profile per value of it in one pass."""
     by = (population,) if population else ()
+    length = quantizer.positions if length is None else length
     grams = P.ngrams(features, quantizer, order, by, guard, length)
     hist = P.histogram(grams, grams[population] if population else "all")
     return Profile(hist, P.metadata(hist, quantizer, order, alpha), order)

@@ -38,11 +38,15 @@ def conn_id(user: Column) -> Column:
 
 
 def numbered_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Cuts]:
-    """(user_id, rn, ts, event_type, value) with rn from 0 in time order per user."""
+    """(conn_id, user_id, rn, ts, event_type, value) with rn from 0 in time order per user.
+
+    The flow id is made before the first shuffle, so that later steps by flow find their rows in place.
+    """
     raw = table(spark, sf_dir, "events")
-    events = raw.select("event_id", _epoch(raw, "ts").alias("ts"), "user_id", "event_type", "value")
-    cuts = measure_cuts(events, "user_id", "ts")
-    return number_rows(events, "user_id", [F.col("ts"), F.col("event_id")], cuts, "rn").drop("event_id"), cuts
+    events = raw.select(conn_id(F.col("user_id")).alias("conn_id"), "user_id", "event_id", _epoch(raw, "ts").alias("ts"),
+                        "event_type", "value")
+    cuts = measure_cuts(events, "conn_id", "ts")
+    return number_rows(events, "conn_id", [F.col("ts"), F.col("event_id")], cuts, "rn").drop("event_id"), cuts
 
 
 def event_flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -56,18 +60,18 @@ def event_flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     def at(rn: int) -> Column:
         return F.max(F.when(F.col("rn") == rn, F.col("ts")))
 
-    flows = rows.groupBy("user_id").agg(
-        at(0).alias("syn_ts"), at(1).alias("synack_ts"), at(2).alias("ack_ts"),
+    flows = rows.groupBy("conn_id").agg(
+        at(0).alias("syn_ts"), at(1).alias("synack_ts"), at(2).alias("ack_ts"), F.min("user_id").alias("user_id"),
         F.greatest(F.count("*") - 3, F.lit(0)).alias("n"),
     )
     flows = flows.select(
-        conn_id(user).alias("conn_id"), "syn_ts", "synack_ts", "ack_ts", _version(user).alias("version"),
+        "conn_id", "syn_ts", "synack_ts", "ack_ts", _version(user).alias("version"),
         F.lit(0).alias("client_hello"), F.lit(1).alias("server_hello"),
         (F.lit(2) + F.pmod(user, F.lit(3))).cast("int").alias("ssl_est"),
         (F.col("n") + F.when(F.pmod(user, F.lit(11)) == 0, 1).otherwise(0)).alias("len"),
     )
     packets = rows.where(F.col("rn") >= 3).select(
-        conn_id(user).alias("conn_id"), (F.col("rn") - 3).alias("idx"), "ts",
+        "conn_id", (F.col("rn") - 3).alias("idx"), "ts",
         _forward(F.col("event_type")).cast("int").alias("direction"), (F.floor("value") + 1).cast("int").alias("size"),
     )
     return flows, packets
@@ -80,22 +84,25 @@ def event_chunk(spark: SparkSession, sf_dir: str) -> int | None:
 
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conn_id, side, idx, t, d, s) of order lines: many short flows without a handshake, gaps in days."""
+    """(conn_id, side, idx, t, d, s) of order lines: many short flows without a handshake, gaps in days.
+
+    One shuffle and one sort number the lines and find the gaps.
+    """
     raw = table(spark, sf_dir, "lineitem")
-    lines = raw.select("l_orderkey", _epoch(raw, "l_shipdate").alias("ts"), "l_linenumber", "l_partkey", "l_suppkey",
-                       "l_extendedprice", "l_linestatus")
-    cuts = measure_cuts(lines, "l_orderkey", "ts")
-    order = [F.col(c) for c in ("ts", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
-    numbered = number_rows(lines, "l_orderkey", order, cuts)
     key = F.col("l_orderkey")
-    packets = numbered.select(
-        key.cast("string").alias("conn_id"), F.when(key % 2 == 0, F.lit("P")).otherwise(F.lit("Q")).alias("side"), "idx", "ts",
+    lines = raw.select(
+        key.cast("string").alias("conn_id"), _epoch(raw, "l_shipdate").alias("ts"), "l_linenumber", "l_partkey", "l_suppkey",
+        "l_extendedprice", F.when(key % 2 == 0, F.lit("P")).otherwise(F.lit("Q")).alias("side"),
         (F.col("l_linestatus") == "O").cast("int").alias("direction"),
         (F.floor(F.col("l_extendedprice") / 72) + 1).cast("int").alias("size"),
     )
+    cuts = measure_cuts(lines, "conn_id", "ts")
+    order = ("ts", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    numbered = number_rows(lines, "conn_id", [F.col(c) for c in order], cuts)
     chunk = None if cuts.table is None else chunk_rows(spark)
-    return directional_gaps(packets, F.lit(DAY), chunk).select(
-        "conn_id", "side", "idx", "t", F.col("direction").alias("d"), F.col("size").alias("s"))
+    # the gap replaces ts, so the sort goes by a copy of it
+    gaps = directional_gaps(numbered.withColumn("at", F.col("ts")), F.lit(DAY), chunk, ("at", *order[1:]))
+    return gaps.select("conn_id", "side", "idx", "t", F.col("direction").alias("d"), F.col("size").alias("s"))
 
 
 def conversation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,12 +124,11 @@ def packet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = rn >= 3
     size = (F.floor("value") + 1).cast("long")
     rows = rows.select(
-        "user_id", "rn", "ts", "event_type",
+        "conn_id", "user_id", "rn", "ts",
         F.when(data & (rn > 3), _forward(F.col("event_type"))).otherwise(rn != 1).alias("is_orig"),
         F.when(data, size).otherwise(F.lit(0)).alias("len"),
     )
-    rows = exclusive_sums(rows, ["user_id", "is_orig"], [rn], {"seq": F.col("len")},
-                          Cuts(cuts.key, "ts", cuts.table))
+    rows = exclusive_sums(rows, ["conn_id", "is_orig"], [rn], {"seq": F.col("len")}, cuts)
     back = _previous_ts(rows) - 3600.0
     ts = F.when((F.pmod(user, F.lit(13)) == 0) & (rn == 30), back).otherwise(F.col("ts"))
     ssl_est = F.lit(5)
@@ -137,7 +143,7 @@ def packet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     gap = F.when((F.pmod(user, F.lit(7)) == 0) & (rn >= 20), 1).otherwise(0)
     return rows.select(
-        conn_id(user).alias("conn_id"), rn.cast("long").alias("arrival"), ts.alias("ts"), "is_orig",
+        "conn_id", rn.cast("long").alias("arrival"), ts.alias("ts"), "is_orig",
         F.when(rn == 0, F.lit("S")).when(rn == 1, F.lit("SA")).when(rn == 2, F.lit("A")).otherwise(F.lit("PA")).alias("flags"),
         (F.col("seq") + gap).cast("long").alias("seq"), F.col("len").cast("long").alias("len"),
         F.when(data, F.unhex(first_bytes)).alias("payload_prefix"), event.alias("event"),
@@ -151,5 +157,5 @@ def _previous_ts(rows: DataFrame) -> Column:
 
     two = F.col("rn").isin(29, 30)
     # rows outside the pair are spread by their number and see no neighbour
-    near = W.partitionBy("user_id", F.when(two, F.lit(-1)).otherwise(F.col("rn"))).orderBy("rn")
+    near = W.partitionBy("conn_id", F.when(two, F.lit(-1)).otherwise(F.col("rn"))).orderBy("rn")
     return F.lag("ts").over(near)
