@@ -31,6 +31,8 @@ from seqdrift.session import settled, shared_dir
 from seqdrift.sources import artifacts as AR
 from seqdrift.sources import logs as L
 from seqdrift.sources import tables as T
+from seqdrift.streaming import assembler as ST
+from seqdrift.streaming import counting as SC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -797,3 +799,308 @@ def plain_profile(spark: SparkSession, sf: str) -> C.Profile:
 @query("kl_delta_uniform", _plain_kl_sql(f"select {big('idx', 'idx')}, {r('delta', 'delta')} from d"))
 def kl_delta_uniform(spark, sf):
     return pick(C.position_divergence(plain_profile(spark, sf), "P", "Q"))
+
+
+# ---------------------------------------------------------------- generation (G)
+
+LENGTH = 4
+
+
+def _order0_sql(final: str) -> str:
+    X.cdfs(0, NO_TIME, "P")
+    X.picks(0, NO_TIME)
+    name = f"syn{_xm}"
+    uu = u(str(SEED), "n", "i")
+    X.block(name, (f"cd0{_xm}", f"pv{_xm}"), f"""
+select printf('synthetic-flow-%08d', n) as conn_id, i as idx, sd as d, ss, {u(str(SEED), "printf('synthetic-flow-%08d', n)", 'i', "'size'")} as us
+from (select n, i, {uu} as uu from (select unnest(range((select count(*) from customer))) as n) cross join (select unnest(range({LENGTH})) as i)) c
+join cd0{_xm} k on k.idx = c.i and uu * k.total >= k.lo and uu * k.total < k.hi""")
+    X.block(f"sv{_xm}", (name, f"pv{_xm}"), f"""
+select y.*, v.value as s from {name} y join pv{_xm} v on v.idx = y.idx and v.bin = y.ss and us * v.total >= v.lo and us * v.total < v.hi""")
+    return X.sql(final, f"sv{_xm}")
+
+
+def _model(spark, sf, order: int) -> tuple[C.Profile, Quantizer, int]:
+    b = features_b(spark, sf)
+    q = fitted_b(b, order)
+    p = C.build_profile(b.where(F.col("side") == "P"), q, order, "side")
+    return p, q, T.table(spark, sf, "customer").count()
+
+
+@query("generate_order0", _order0_sql(f"select conn_id, {big('idx', 'idx')}, {r('0.0', 't')}, {r('d', 'd')}, {r('s', 's')} from sv{_xm}"))
+def generate_order0(spark, sf):
+    p, q, n = _model(spark, sf, 0)
+    G.check_length(p.meta, LENGTH)
+    return pick(G.generate(p.hist, q, 0, n, LENGTH, SEED), "conn_id", "idx", "t", "d", "s")
+
+
+_xg = X.chain(1, LENGTH, SEED, "select count(*) from customer", NO_TIME, "P")
+
+
+@query("generate_order1", X.sql(" union all ".join(
+    f"select printf('synthetic-flow-%08d', n) as conn_id, {big(str(i), 'idx')}, {r('d', 'd')}, {r('s', 's')}, sym, {big('level', 'level')} from g{i}{_xg}"
+    for i in range(LENGTH)), *[f"g{i}{_xg}" for i in range(LENGTH)]))
+def generate_order1(spark, sf):
+    p, q, n = _model(spark, sf, 1)
+    out = G.generate(p.hist, q, 1, n, LENGTH, SEED)
+    return pick(out.withColumn("sym", Q.symbol_text(F.col("sym"))), "conn_id", "idx", "d", "s", "sym", "level")
+
+
+@query("generation_fallbacks", X.sql(f"select {big('idx', 'idx')}, {big('count(*) filter (level < least(1, idx))', 'fallbacks')}, {big('count(*)', 'drawn')} from ("
+  + " union all ".join(f"select {i} as idx, level from g{i}{_xg}" for i in range(LENGTH)) + ") group by idx", *[f"g{i}{_xg}" for i in range(LENGTH)]))
+def generation_fallbacks(spark, sf):
+    p, q, n = _model(spark, sf, 1)
+    return pick(G.fallbacks(G.generate(p.hist, q, 1, n, LENGTH, SEED), 1))
+
+
+@query("generated_times")
+def generated_times(spark, sf):
+    """Order 2 with times; draws and logarithms leave no exact SQL, the tests check the invariants."""
+    b = features_b(spark, sf)
+    q = fitted_b(b, 2, ())
+    p = C.build_profile(b, q, 2)
+    return pick(G.generate(p.hist, q, 2, T.table(spark, sf, "customer").count(), 3, SEED).drop("sym"))
+
+
+@query("monotonic_time", X.sql(f"select conn_id, {big('idx', 'idx')}, {r('max(t) over (partition by conn_id order by idx)', 't')} from b where idx < 5", "b"))
+def monotonic_time(spark, sf):
+    return pick(G.monotonic(T.order_features(spark, sf).where(F.col("idx") < 5)), "conn_id", "idx", "t")
+
+
+def _synthetic_sql(value: str) -> str:
+    return _order0_sql(X.wide(f"(select conn_id, idx, case when d > 0.5 then {value} else -({value}) end as v from sv{_xm})", LENGTH, None, "v"))
+
+
+@query("synthetic_export", _synthetic_sql("s"))
+def synthetic_export(spark, sf):
+    p, q, n = _model(spark, sf, 0)
+    return PE.export_synthetic(G.generate(p.hist, q, 0, n, LENGTH, SEED), LENGTH, ("direction", "size"))
+
+
+@query("synthetic_export_quantized", _synthetic_sql("ss"))
+def synthetic_export_quantized(spark, sf):
+    p, q, n = _model(spark, sf, 0)
+    return PE.export_synthetic(G.generate(p.hist, q, 0, n, LENGTH, SEED), LENGTH, ("direction", "size"), quantized=True)
+
+
+# ---------------------------------------------------------------- sampling (B)
+
+_ORDER_IDS = "select distinct cast(l_orderkey as varchar) as conn_id from lineitem"
+
+
+def _order_ids(spark, sf) -> DataFrame:
+    return T.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("conn_id")).distinct()
+
+
+@query("sample_bernoulli", f"select conn_id from ({_ORDER_IDS}) where {u(str(SEED), 'conn_id')} < 0.3")
+def sample_bernoulli(spark, sf):
+    return SA.bernoulli(_order_ids(spark, sf), 0.3, SEED)
+
+
+@query("sample_rows", f"select conn_id from ({_ORDER_IDS}) order by {u(str(SEED), 'conn_id')}, conn_id limit 700")
+def sample_rows(spark, sf):
+    return SA.smallest(_order_ids(spark, sf), 700, SEED)
+
+
+@query("sample_escalated", f"select conn_id from ({_ORDER_IDS}) order by {u(str(SEED), 'conn_id')}, conn_id limit 900")
+def sample_escalated(spark, sf):
+    """A rate too low for the wanted rows: the next flows fill up, none comes twice."""
+    return SA.capped(_order_ids(spark, sf), 0.0001, 900, SEED)
+
+
+# ---------------------------------------------------------------- export (E)
+
+WIDTH = 12
+
+
+def _exported(spark, sf, **options) -> DataFrame:
+    flows, packets = T.event_flows(spark, sf)
+    return PE.export_flows(FL.complete_flows(flows, packets), packets, WIDTH, chunk=T.event_chunk(spark, sf), **options)
+
+
+SIGNED = "case when d = 1 then s else -s end"
+
+
+@query("export_raw", X.sql(X.wide("a_gap", WIDTH, "t", SIGNED), "a_gap"))
+def export_raw(spark, sf):
+    return pick(_exported(spark, sf))
+
+
+@query("export_rtt", X.sql(X.wide("a_gap", WIDTH, "raw", SIGNED, ", cast(round(rtt, 6) as double) as rtt"), "a_gap"))
+def export_rtt(spark, sf):
+    return pick(_exported(spark, sf, include_rtt=True))
+
+
+@query("export_no_timing", X.sql(X.wide("a_gap", WIDTH, None, SIGNED), "a_gap"))
+def export_no_timing(spark, sf):
+    return pick(_exported(spark, sf, skip_timing=True))
+
+
+@query("export_no_direction", X.sql(X.wide("a_gap", WIDTH, "t", "s"), "a_gap"))
+def export_no_direction(spark, sf):
+    return pick(_exported(spark, sf, mask=("direction",)))
+
+
+@query("export_min_packets", X.sql(X.wide(
+    "a_prep", WIDTH, "t", SIGNED, where="conn_id in (select conn_id from a_prep group by conn_id having count(*) >= 60)"), "a_prep"))
+def export_min_packets(spark, sf):
+    return pick(_exported(spark, sf, strip=True, min_packets=60))
+
+
+@query("export_sampled", X.sql(X.wide(
+    "a_gap", WIDTH, "t", SIGNED,
+    where=f"conn_id in (select conn_id from (select distinct conn_id from a_gap) order by {u(str(SEED), 'conn_id')}, conn_id limit 40)"), "a_gap"))
+def export_sampled(spark, sf):
+    return pick(_exported(spark, sf, rows=40, rate=0.01, seed=SEED))
+
+
+@query("export_quantized", X.sql(X.wide(f"gr{_xm}", 6, None, "case when d0 = 1 then ss else -ss end"), f"gr{_xm}"))
+def export_quantized(spark, sf):
+    b = features_b(spark, sf)
+    return pick(E.quantized_matrix(QZ.symbols(b, fitted_b(b)), 6, ("direction", "size"), 8))
+
+
+@query("snapped_values", X.sql(f"select conn_id, {big('idx', 'idx')}, {r('case when abs(x - round(x)) < 1e-9 then round(x) else x end', 'x', 12)} from (select conn_id, idx, t + 1e-10 as x from b)", "b"))
+def snapped_values(spark, sf):
+    x = N.snapped(F.col("t") + F.lit(1e-10))
+    return pick(T.order_features(spark, sf).select("conn_id", "idx", x.alias("x")), x=12)
+
+
+# ---------------------------------------------------------------- sources and sinks (S)
+
+@query("tsv_logs", X.sql(f"""select conn_id, version, {r('syn_ts', 'syn_ts')}, {big('ssl_est', 'ssl_est')}, {big('len', 'len')}, {big('n', 'packets')}, {r('total', 'time_sum', 3)}
+  from a_flow join (select conn_id, count(*) as n, sum(ts - 1.7e9) as total from a_pkt group by conn_id) using (conn_id)""", "a_flow", "a_pkt"))
+def tsv_logs(spark, sf):
+    """Flow and packet logs written as compressed text and read back by position."""
+    flows, packets = T.event_flows(spark, sf)
+    path = shared_dir(spark, "logs")
+    L.write_tsv(flows.select("conn_id", "syn_ts", "synack_ts", "ack_ts", "version", "client_hello", "server_hello", "ssl_est", "len"), f"{path}/flows")
+    L.write_tsv(packets.select("conn_id", "idx", "ts", "direction", "size"), f"{path}/packets")
+    f, p = FL.build_flows(L.flow_log(spark, f"{path}/flows"), L.packet_log(spark, f"{path}/packets"))
+    sums = p.groupBy("conn_id").agg(F.count("*").alias("packets"), F.sum(F.col("ts") - 1.7e9).alias("time_sum"))
+    return pick(f.join(sums, "conn_id"), "conn_id", "version", "syn_ts", "ssl_est", "len", "packets", "time_sum", time_sum=3)
+
+
+@query("flow_tables", X.sql(f"select conn_id, {big('count(*)', 'packets')}, {big('sum(size)', 'total_size')} from a_pkt where conn_id in (select conn_id from a_flow) group by conn_id", "a_pkt", "a_flow"))
+def flow_tables(spark, sf):
+    path = shared_dir(spark, "flows")
+    AR.save_flows(*flows_a(spark, sf), path)
+    flows, packets = AR.load_flows(spark, path)
+    joined = packets.join(flows.select("conn_id"), "conn_id")
+    return pick(joined.groupBy("conn_id").agg(F.count("*").alias("packets"), F.sum("size").alias("total_size")))
+
+
+@query("probe_logs", f"""select proxy, ok, {big('count(*)', 'probes')}, {big('count(url)', 'urls')}, {big('count(status)', 'with_status')}, {big('sum(status)', 'status_sum')} from (
+  select 'batch' as proxy, page_id % 7 <> 0 as ok, url, case when page_id % 7 <> 0 then 200 end as status from pages
+  union all select 'single', page_id % 5 <> 0, null, case when page_id % 5 <> 0 then 204 end from pages) group by proxy, ok""")
+def probe_logs(spark, sf):
+    """Probe results in both shapes, an array file and line files, under one schema."""
+    pages = T.table(spark, sf, "pages")
+
+    def rows(name: str, m: int, status: int, *more: Column) -> DataFrame:
+        ok = F.col("page_id") % m != 0
+        return pages.select(
+            F.lit(name).alias("proxy"), F.regexp_extract("url", "//([^/]+)", 1).alias("domain"), ok.alias("ok"), F.when(ok, status).alias("status"),
+            F.when(~ok, F.lit("timeout")).alias("error"), F.lit("2024-01-01T00:00:00.000Z").alias("startedAt"),
+            F.lit("2024-01-01T00:00:01.500Z").alias("finishedAt"), F.lit("1.3").alias("tlsVersion"), F.lit("on").alias("postQuantum"), *more)
+
+    path = shared_dir(spark, "probes")
+    batch = rows("batch", 7, 200, F.col("url"), F.lit("socks5://proxy").alias("proxyServer"), F.floor(F.col("page_id") / 500).alias("run"))
+    # one array of at most 500 results per file, as one probe run writes it
+    texts = batch.groupBy("run").agg(F.to_json(F.collect_list(F.struct(*[c for c in batch.columns if c != "run"]))).alias("value"))
+    texts.write.partitionBy("run").text(f"{path}/arrays")
+    rows("single", 5, 204).write.json(f"{path}/lines")
+    log = L.probe_log(spark, f"{path}/arrays/*", f"{path}/lines")
+    return pick(log.groupBy("proxy", "ok").agg(F.count("*").alias("probes"), F.count("url").alias("urls"), F.count("status").alias("with_status"),
+                                                F.sum("status").alias("status_sum")))
+
+
+def _listing(spark, sf, files: Column) -> DataFrame:
+    """A file listing with one capture folder per customer, below a folder per nation."""
+    rows = T.table(spark, sf, "customer").select(
+        F.concat_ws("", F.lit("/data/site-"), F.col("c_nationkey").cast("string"), F.lit("/tap-"), F.col("c_custkey").cast("string")).alias("root"),
+        F.explode(files).alias("file"))
+    path = F.concat_ws("/", "root", "file")
+    return rows.select(F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract(path, "([^/]*)$", 1).alias("name"))
+
+
+def _names(*names: str) -> Column:
+    return F.array(*[F.lit(n) for n in names])
+
+
+@query("paired_logs", """select '/data/site-' || c_nationkey || '/tap-' || c_custkey || case when c_custkey % 4 = 3 then '/later' else '' end as dir,
+  'obfuscation.log' as flow_log, 'packets.log.gz' as packet_log from customer where c_custkey % 4 in (0, 3)""")
+def paired_logs(spark, sf):
+    """Some folders have one log of each kind, some miss one, some have two, some have them in a folder below."""
+    m = F.col("c_custkey") % 4
+    files = (F.when(m == 0, _names("obfuscation.log", "packets.log.gz")).when(m == 1, _names("obfuscation.log", "notes.txt"))
+             .when(m == 2, _names("obfuscation.a.log", "obfuscation.b.log", "packets.log"))
+             .otherwise(_names("obfuscation.log", "packets.log", "later/obfuscation.log", "later/packets.log.gz")))
+    return L.paired_logs(_listing(spark, sf, files))
+
+
+@query("flow_shards", "select '/data/site-' || c_nationkey || '/tap-' || c_custkey as dir, unnest(case when c_custkey % 2 = 0 then ['flows.parquet'] else ['flows-a.parquet', 'flows-b.parquet'] end) as name from customer")
+def flow_shards(spark, sf):
+    files = F.when(F.col("c_custkey") % 2 == 0, _names("flows.parquet/part-0", "flows.parquet/part-1", "notes.txt")).otherwise(
+        _names("flows-a.parquet", "flows-b.parquet"))
+    return L.shards(_listing(spark, sf, files))
+
+
+@query("model_json", _quantizer_sql(X.fit(0)).replace("select cast(q.idx", "select 1::bigint as markov_order, cast(q.idx"))
+def model_json(spark, sf):
+    path = shared_dir(spark, "model")
+    AR.write_model(quantizer_b(spark, sf), 1, path)
+    order, kind, table = AR.read_model(spark, path)
+    assert kind == "PerPacket"
+    return _quantizer_rows(table).withColumn("markov_order", F.lit(order).cast("long"))
+
+
+@query("csv_matrix", X.sql(f"select line, {big('count(*)', 'n')} from (select concat_ws(',', {', '.join(f'coalesce(cast(max(case when idx = {i} then case when d0 = 1 then ss else -ss end end) as bigint), -1)' for i in range(4))}) as line from gr{_xm} where idx < 4 group by conn_id) group by line", f"gr{_xm}"))
+def csv_matrix(spark, sf):
+    """Written as CSV without header or id, read back as text."""
+    b = features_b(spark, sf)
+    path = shared_dir(spark, "matrix")
+    AR.write_matrix(E.quantized_matrix(QZ.symbols(b, fitted_b(b)), 4, ("direction", "size")), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- streams
+
+def _streamed(spark, sf) -> str:
+    events = T.packet_events(spark, sf)
+    ends = events.groupBy("conn_id").agg((F.max("arrival") + 1).alias("arrival"), F.max("ts").alias("ts")).select(
+        "conn_id", "arrival", "ts", F.lit(True).alias("is_orig"), F.lit("F").alias("flags"), F.lit(0).cast("long").alias("seq"),
+        F.lit(0).cast("long").alias("len"), F.lit(None).cast("binary").alias("payload_prefix"), F.lit(ST.END).alias("event"),
+        F.lit(None).cast("string").alias("version"))
+    path = shared_dir(spark, "tap")
+    # three slices of arrival, written one after another: connections span micro-batches
+    rows = events.unionByName(ends)
+    for low, high in ((0, 25), (25, 60), (60, None)):
+        part = rows.where((F.col("arrival") >= low) & (F.lit(True) if high is None else F.col("arrival") < high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    out = shared_dir(spark, "assembled")
+    run = ST.stream_assemble(ST.packet_stream(spark, path, 1), out, f"{out}/checkpoint", available_now=True)
+    run.awaitTermination()
+    return out
+
+
+@query("stream_assembled_flows", _flow_sql(True))
+def stream_assembled_flows(spark, sf):
+    return pick(ST.assembled(spark, _streamed(spark, sf))[0])
+
+
+@query("stream_discard_reasons", ORACLES["discard_reasons"])
+def stream_discard_reasons(spark, sf):
+    return pick(ST.reasons(spark, _streamed(spark, sf)))
+
+
+@query("stream_profile", _hist_sql(_xm))
+def stream_profile(spark, sf):
+    b = features_b(spark, sf)
+    q = fitted_b(b)
+    path, out = shared_dir(spark, "packets"), shared_dir(spark, "counts")
+    b.repartition(3).write.parquet(path)
+    rows = spark.readStream.schema(SC.FEATURE_ROWS).option("maxFilesPerTrigger", 1).parquet(path)
+    run = SC.stream_profile(rows, q, "side", out, f"{out}-checkpoint", available_now=True)
+    run.awaitTermination()
+    return pick(P.as_text(spark.read.parquet(f"{out}/{run.lastProgress['batchId']}")))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from seqdrift.operators.skew import chunk_rows, hot_keys
 from seqdrift.schema import HORIZON
+from seqdrift.session import settled
 
 # Discard reasons.
 SYNACK_BEFORE_SYN = "saw SYN+ACK before SYN"
@@ -185,8 +186,10 @@ class Assembly:
 
 
 def assemble(events: DataFrame, allow_shorter: bool = True, horizon: int = HORIZON) -> Assembly:
-    shakes = checked_handshakes(events)
-    marked = clean_prefix(judged_packets(data_packets(events, shakes, horizon)))
+    """Flows, packets and outcomes. Handshakes and judged packets (at most `horizon` per connection) are
+    settled, so that writing all three results reads the events three times and no more."""
+    shakes = settled(checked_handshakes(events), "handshakes")
+    marked = settled(clean_prefix(judged_packets(data_packets(events, shakes, horizon))), "judged")
     # the array holds at most `horizon` arrivals
     ends = marked.groupBy("conn_id").agg(
         F.count_if("taken").alias("len"),

@@ -69,23 +69,25 @@ def leaf_folders(files: DataFrame) -> DataFrame:
     return files.join(dirs.join(ancestors, "dir", "left_anti"), "dir", "left_semi")
 
 
-def paired_logs(spark: SparkSession, root: str) -> DataFrame:
-    """(dir, flow_log, packet_log) of leaf folders holding exactly one log of each kind."""
-    files = leaf_folders(files_below(spark, root))
+def paired_logs(files: DataFrame) -> DataFrame:
+    """(dir, flow_log, packet_log) of leaf folders holding exactly one log of each kind.
+
+    Takes a listing such as `files_below` makes; the two logs of a folder are what `flow_log` and
+    `packet_log` read.
+    """
     is_flow, is_packet = F.col("name").rlike(r"^obfuscation.*\.log"), F.col("name").rlike(r"^packets.*\.log")
-    grouped = files.groupBy("dir").agg(
+    grouped = leaf_folders(files).groupBy("dir").agg(
         F.count_if(is_flow).alias("_f"), F.count_if(is_packet).alias("_p"),
         F.max(F.when(is_flow, F.col("name"))).alias("flow_log"), F.max(F.when(is_packet, F.col("name"))).alias("packet_log"),
     )
     return grouped.where((F.col("_f") == 1) & (F.col("_p") == 1)).select("dir", "flow_log", "packet_log")
 
 
-def shards(spark: SparkSession, root: str) -> DataFrame:
+def shards(files: DataFrame) -> DataFrame:
     """(dir, name) of flow shards (`flows*`, a file or a written table) in leaf folders.
 
     One scan of all of them replaces a loop over shards.
     """
-    files = files_below(spark, root)
     path = F.concat_ws("/", "dir", "name")
     # a table is a folder of part files: cut its path at the table
     table = r"^(.*?)/(flows[^/]*)(?:/.*)?$"
