@@ -63,19 +63,19 @@ def handshakes(events: DataFrame) -> DataFrame:
     known_at_ack = F.coalesce(F.col("sa.arrival") < F.col("ack.arrival"), F.lit(False))
     out = out.select(
         "conn_id", "syn_at", "syn_ts", F.col("sa.ts").alias("synack_ts"), F.col("ack.ts").alias("ack_ts"),
-        F.greatest("sa.arrival", "ack.arrival").alias("last_at"),
+        F.col("sa.arrival").alias("synack_at"), F.col("ack.arrival").alias("ack_at"),
         F.when(F.col("syn_ts") > F.col("sa.ts"), F.lit(SYNACK_BEFORE_SYN)).alias("synack_fault"),
         F.when(F.col("ack").isNotNull() & ~known_at_ack, F.lit(MISSED_SYNACK))
         .when(F.col("sa.ts") > F.col("ack.ts"), F.lit(ACK_BEFORE_SYNACK)).alias("ack_fault"),
     )
     complete = F.col("synack_ts").isNotNull() & F.col("ack_ts").isNotNull()
-    return out.withColumn("complete_at", F.when(complete, F.col("last_at"))).drop("last_at")
+    return out.withColumn("complete_at", F.when(complete, F.greatest("synack_at", "ack_at")))
 
 
 def _milestone_rows(events: DataFrame, shakes: DataFrame) -> DataFrame:
     """Milestone events (a few per connection) beside the handshake of their connection."""
     rows = events.where(F.col("event").isin(*MILESTONES)).select("conn_id", "arrival", "event", "version")
-    return rows.join(shakes.select("conn_id", "syn_at", "complete_at", "synack_fault", "ack_fault"), "conn_id").where(
+    return rows.join(shakes.select("conn_id", "syn_at", "complete_at"), "conn_id").where(
         F.col("arrival") > F.col("syn_at")
     )
 
@@ -87,18 +87,22 @@ def checked_handshakes(events: DataFrame) -> DataFrame:
     packets are looked at.
     """
     shakes = handshakes(events)
-    after = F.coalesce(F.col("arrival") > F.col("complete_at"), F.lit(False))
+    at = F.col("arrival")
+    after = F.coalesce(at >= F.col("complete_at"), F.lit(False))
     seen = _milestone_rows(events, shakes).groupBy("conn_id").agg(
-        F.max(~after).alias("early"),
-        F.min(F.when(after & (F.col("event") == "client_hello"), F.col("arrival"))).alias("client_hello_at"),
-        F.min(F.when(after & (F.col("event") == "server_hello"), F.col("arrival"))).alias("server_hello_at"),
+        F.min(F.when(~after, at)).alias("early_at"),
+        F.min(F.when(after & (F.col("event") == "client_hello"), at)).alias("client_hello_at"),
+        F.min(F.when(after & (F.col("event") == "server_hello"), at)).alias("server_hello_at"),
     )
-    joined = shakes.join(seen, "conn_id", "left")
-    clean = F.col("synack_fault").isNull() & F.col("ack_fault").isNull()
-    early = clean & F.coalesce(F.col("early"), F.lit(False))
-    return joined.withColumn("hello_fault", F.when(early, F.lit(INCOMPLETE))).withColumn(
-        "watched", clean & ~early & F.col("complete_at").isNotNull()
-    ).drop("early")
+
+    def before_early(fault: str, fault_at: str) -> Column:
+        return F.col(fault).isNotNull() & (F.col(fault_at) < F.col("early_at"))
+
+    # a milestone is looked at only while nothing has discarded the flow yet
+    early = F.col("early_at").isNotNull() & ~before_early("synack_fault", "synack_at") & ~before_early("ack_fault", "ack_at")
+    joined = shakes.join(seen, "conn_id", "left").withColumn("hello_fault", F.when(early, F.lit(INCOMPLETE)))
+    faultless = F.col("synack_fault").isNull() & F.col("ack_fault").isNull() & F.col("hello_fault").isNull()
+    return joined.withColumn("watched", faultless & F.col("complete_at").isNotNull()).drop("early_at")
 
 
 def data_packets(events: DataFrame, shakes: DataFrame, horizon: int | None = HORIZON) -> DataFrame:
@@ -202,20 +206,21 @@ def assemble(events: DataFrame, allow_shorter: bool = True, horizon: int = HORIZ
     ending = F.when((n == horizon) | (short & F.lit(allow_shorter)), F.lit(SUCCESS)).when(short, F.lit(TOO_SHORT))
     ends = ends.withColumn("ending", ending)
     # a milestone counts the packets taken in so far; nothing counts once the flow has ended
-    last = F.coalesce(F.col("stop_at"), F.when(n == horizon, F.element_at("arrivals", -1)))
+    last = F.coalesce(F.col("stop_at"), F.when(n == horizon, F.try_element_at(F.col("arrivals"), F.lit(-1))))
     rows = _milestone_rows(events, shakes.where("watched")).select("conn_id", "arrival", "event", "version").join(
         ends.select("conn_id", "arrivals", last.alias("last_at")), "conn_id"
-    ).where(F.col("last_at").isNull() | (F.col("arrival") < F.col("last_at")))
+    )
     so_far = F.size(F.filter("arrivals", lambda a: a <= F.col("arrival"))) - 1
-    rows = rows.withColumn("at", so_far).where(F.col("at") >= 0)
+    rows = rows.withColumn("at", so_far)
+    counts = (F.col("last_at").isNull() | (F.col("arrival") < F.col("last_at"))) & (F.col("at") >= 0)
 
     def mark(name: str) -> Column:
-        return F.max(F.when(F.col("event") == name, F.col("at"))).alias(name)
+        return F.max(F.when(counts & (F.col("event") == name), F.col("at"))).alias(name)
 
+    established = counts & (F.col("event") == "ssl_est")
     marks = rows.groupBy("conn_id").agg(
         *[mark(m) for m in MILESTONES],
-        F.max_by(F.when(F.col("event") == "ssl_est", F.col("version")),
-                 F.when(F.col("event") == "ssl_est", F.col("arrival"))).alias("version"),
+        F.max_by(F.when(established, F.col("version")), F.when(established, F.col("arrival"))).alias("version"),
     )
     outcomes = shakes.join(ends.drop("arrivals", "stop_at"), "conn_id", "left")
     complete = (
