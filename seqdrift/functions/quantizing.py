@@ -87,27 +87,28 @@ def symbol_in_domain(t: Column, d: Column, s: Column) -> Column:
     return in_domain("timestamp", t) & ~F.isnan(t) & in_domain("direction", d) & in_domain("size", s)
 
 
-def _clamp_bin(raw: Column, num_bins: Column) -> Column:
-    return F.greatest(F.lit(0).cast("long"), F.least(F.floor(raw).cast("long"), num_bins - 1)).cast("int")
+def _bin_sql(x: str, q: str) -> str:
+    clamped = f"least(greatest(double({x}), {q}.eff_min), {q}.eff_max)"
+    last = f"{q}.num_bins - 1"
+    return f"""case {q}.kind
+        when 'mask' then {MASKED}
+        when 'identity' then int({x})
+        when 'empirical' then try_element_at({q}.lookup, int({x}))
+        when 'loguniform' then int(greatest(0L, least(floor((ln(1.0D + {clamped}) - ln(1.0D + {q}.eff_min)) * {q}.inv_width), {last})))
+        when 'uniform' then int(greatest(0L, least(floor(({clamped} - {q}.eff_min) * {q}.inv_width), {last})))
+    end"""
 
 
-def to_bin(x: Column, q: Column) -> Column:
-    """Bin of a value that is inside its domain; -1 when masked."""
-    kind, lo, hi = q["kind"], q["eff_min"], q["eff_max"]
-    clamped = F.least(F.greatest(x.cast("double"), lo), hi)
-    return (
-        F.when(kind == "mask", F.lit(MASKED))
-        .when(kind == "identity", x.cast("int"))
-        .when(kind == "empirical", F.try_element_at(q["lookup"], x.cast("int")))
-        .when(kind == "loguniform", _clamp_bin((ln1p(clamped) - ln1p(lo)) * q["inv_width"], q["num_bins"]))
-        .when(kind == "uniform", _clamp_bin((clamped - lo) * q["inv_width"], q["num_bins"]))
-    )
+def to_bin(x: str, q: str) -> Column:
+    """Bin of a value that is inside its domain; -1 when masked. Takes names (or SQL) of value and quantizer."""
+    return F.expr(_bin_sql(x, q))
 
 
-def symbol(t: Column, d: Column, s: Column, q: dict[str, Column]) -> Column:
-    return F.struct(
-        to_bin(t, q["t"]).alias("t"), to_bin(d, q["d"]).alias("d"), to_bin(s, q["s"]).alias("s")
-    )
+def symbol(t: str, d: str, s: str, when: str | None = None) -> Column:
+    """The three bins of a packet of a frame that went through `Quantizer.attach`; null unless `when` holds."""
+    parts = ", ".join(f"'{c}', {_bin_sql(x, f'_q{c}')}" for c, x in (("t", t), ("d", d), ("s", s)))
+    made = f"named_struct({parts})"
+    return F.expr(f"case when {when} then {made} end" if when else made)
 
 
 def outcomes(q: dict[str, Column]) -> Column:
@@ -131,47 +132,44 @@ def running_counts(q: Column) -> Column:
     return make(q["kind"], q["eff_min"], q["eff_max"], q["inv_width"], q["num_bins"], q["lookup"], bins)
 
 
-def _pick_empirical(bin_id: Column, q: Column, u: Column) -> Column:
+def _observed_sql(b: str, q: str, u: str) -> str:
     """Observed value of an empirical bin, weighted by its counts (running sums here); null for an empty bin."""
-    chosen = F.get(q["bins"], bin_id)
-    upto, values = chosen["counts"], chosen["values"]
-    start = F.struct(F.lit(0).alias("pos"), (u * F.try_element_at(upto, F.lit(-1))).alias("target"))
-    steps = F.array(*[F.lit(1 << p) for p in range(10, -1, -1)])
+    upto = f"get({q}.bins, {b}).counts"
+    steps = ", ".join(str(1 << p) for p in range(10, -1, -1))
+    step = f"case when get({upto}, a.pos + step - 1) <= a.target then a.pos + step else a.pos end"
+    found = f"""aggregate(array({steps}), named_struct('pos', 0, 'target', {u} * try_element_at({upto}, -1)),
+        (a, step) -> named_struct('pos', {step}, 'target', a.target), a -> a.pos)"""
+    return f"double(get(get({q}.bins, {b}).values, {found}))"
 
-    def forward(a: Column, step: Column) -> Column:
-        passed = F.get(upto, a["pos"] + step - 1) <= a["target"]
-        return F.struct(F.when(passed, a["pos"] + step).otherwise(a["pos"]).alias("pos"), a["target"].alias("target"))
 
-    return F.get(values, F.aggregate(steps, start, forward, lambda a: a["pos"])).cast("double")
+def to_value(feature: str, b: str, q: str, u: str) -> Column:
+    """A value inside a bin, picked by the uniform u; takes names of bin, quantizer and uniform.
 
-
-def to_value(feature: str, bin_id: Column, q: Column, u: Column) -> Column:
-    """A value inside a bin, picked by the uniform u. Takes a quantizer with `running_counts`.
-
-    Masked discrete features draw inside their domain, so the value can be quantized again. A masked
-    unbounded feature has no interval to draw from and yields its lower bound.
+    The quantizer must have `running_counts`. Masked discrete features draw inside their domain, so the
+    value can be quantized again. A masked unbounded feature has no interval to draw from and yields its
+    lower bound.
     """
-    kind, lo, hi, inv = q["kind"], q["eff_min"], q["eff_max"], q["inv_width"]
-    b = bin_id.cast("double")
-    width = F.when(inv > 0, F.lit(1.0) / inv)
+    lo, hi = f"{q}.eff_min", f"{q}.eff_max"
+    width = f"(case when {q}.inv_width > 0 then 1.0D / {q}.inv_width end)"
 
-    def within(a: Column, z: Column) -> Column:
+    def within(a: str, z: str) -> str:
         if feature in DISCRETE:
-            first = F.ceil(a).cast("double")
-            last = F.greatest(first, F.least(F.floor(z).cast("double"), F.lit(DOMAINS[feature][1])))
-            return first + F.floor(u * (last - first + 1.0)).cast("double")
-        return F.when(a < z, a + u * (z - a)).otherwise(a)
-
-    u_lo = F.coalesce(lo + b * width, lo)
-    u_hi = F.coalesce(F.least(u_lo + width, hi), hi)
-    l_lo = F.coalesce(ln1p(lo) + b * width, ln1p(lo))
-    l_hi = F.coalesce(F.least(l_lo + width, ln1p(hi)), l_lo)
-    log_draw = F.exp(F.when(l_lo < l_hi, l_lo + u * (l_hi - l_lo)).otherwise(l_lo)) - 1.0
-    masked = within(lo, hi) if feature in DISCRETE else lo
-    out = F.when(kind == "mask", masked).when(kind == "identity", b)
-    if feature == "size":
-        out = out.when(kind == "empirical", _pick_empirical(bin_id, q, u))
-    return out.when(kind == "loguniform", F.least(F.greatest(log_draw, lo), hi)).when(kind == "uniform", within(u_lo, u_hi))
+            last = f"greatest(ceil({a}), least(floor({z}), {int(DOMAINS[feature][1])}L))"
+            return f"double(ceil({a}) + floor({u} * ({last} - ceil({a}) + 1)))"
+        return f"(case when {a} < {z} then {a} + {u} * ({z} - {a}) else {a} end)"
+
+    from_u = f"coalesce({lo} + {b} * {width}, {lo})"
+    from_l = f"coalesce(ln(1.0D + {lo}) + {b} * {width}, ln(1.0D + {lo}))"
+    to_l = f"coalesce(least({from_l} + {width}, ln(1.0D + {hi})), {from_l})"
+    logged = f"exp(case when {from_l} < {to_l} then {from_l} + {u} * ({to_l} - {from_l}) else {from_l} end) - 1.0D"
+    empirical = f"when 'empirical' then {_observed_sql(b, q, u)}" if feature == "size" else ""
+    return F.expr(f"""case {q}.kind
+        when 'mask' then {within(lo, hi) if feature in DISCRETE else lo}
+        when 'identity' then double({b})
+        {empirical}
+        when 'loguniform' then least(greatest({logged}, {lo}), {hi})
+        when 'uniform' then {within(from_u, f"coalesce(least({from_u} + {width}, {hi}), {hi})")}
+    end""")
 
 
 def interval_text(bin_id: Column, q: Column) -> Column:

@@ -17,7 +17,7 @@ from seqdrift.functions import quantizing as Q
 from seqdrift.operators import stats as S
 from seqdrift.operators.quantize import Quantizer
 from seqdrift.schema import DEFAULT_DELTA, DEFAULT_EPSILON, FEATURES, MAX_SIZE
-from seqdrift.session import settled
+from seqdrift.session import settled, settled_together
 
 
 def unmasked(mask: Iterable[str]) -> set[str]:
@@ -152,12 +152,15 @@ def fit(features: DataFrame, order: int = 0, epsilon: float = DEFAULT_EPSILON, d
     with `exact`); save a feature frame that is expensive to make.
     """
     timed = "timestamp" in unmasked(mask)
-    if timed and not exact:
-        moments, quantiles = S.summary(features)
+    freq, quantiles = (S.size_frequencies(features), "frequencies"), None
+    if not timed:
+        moments, freq = settled_together((S.moments(features), "moments"), freq)
+    elif exact:
+        moments, freq, quantiles = settled_together(
+            (S.moments(features), "moments"), freq, (S.exact_quantiles(features, columns=("t",)), "quantiles"))
     else:
-        moments = settled(S.moments(features), "moments")
-        quantiles = settled(S.exact_quantiles(features, columns=("t",)), "quantiles") if timed else None
-    freq = settled(S.size_frequencies(features), "frequencies")
+        wide, freq = settled_together((S.summary(features), "summary"), freq)
+        moments, quantiles = S.of_summary(wide)
     return settled(fit_from_stats(moments, freq, quantiles, order, epsilon, delta, mask, max_packets, strict), "quantizer")
 
 

@@ -139,8 +139,7 @@ def _next_position(state: DataFrame, model: DataFrame, quantizer: Quantizer, i:
                    raise_time: bool) -> DataFrame:
     known = [c for c in state.columns if c != "idx"]
     here = quantizer.attach(state.withColumn("idx", F.lit(i)))
-    q = quantizer.columns()
-    past = [Q.symbol(F.col(f"p{j}.t"), F.col(f"p{j}.d"), F.col(f"p{j}.s"), q) for j in range(i - depth, i)]
+    past = [Q.symbol(f"p{j}.t", f"p{j}.d", f"p{j}.s") for j in range(i - depth, i)]
     u = uniform(F.lit(seed), F.col("n"), F.lit(i))
     here = here.withColumn("_u", u).withColumn("_slice", slice_of(u))
     for level in range(depth, -1, -1):
@@ -158,11 +157,12 @@ def _next_position(state: DataFrame, model: DataFrame, quantizer: Quantizer, i:
         ).drop("_ctx", f"_ctx{level}", f"_slice{level}", "_lo", "_hi", "_total")
     sym = F.coalesce(*[F.col(f"_sym{level}") for level in range(depth, -1, -1)])
     used = F.coalesce(*[F.when(F.col(f"_sym{level}").isNotNull(), F.lit(level)) for level in range(depth, -1, -1)])
-    value = {f: Q.to_value(f, sym[c], q[c], uniform(F.lit(seed), F.col("n"), F.lit(i), F.lit(f))) for f, c in SHORT.items()}
-    t = value["timestamp"]
+    uniforms = [uniform(F.lit(seed), F.col("n"), F.lit(i), F.lit(f)).alias(f"_u{c}") for f, c in SHORT.items()]
+    here = here.select(*known, "_qt", "_qd", "_qs", sym.alias("_sym"), used.alias("_level"), *uniforms)
+    t, d, s = (Q.to_value(f, f"_sym.{c}", f"_q{c}", f"_u{c}") for f, c in SHORT.items())
     if raise_time and i > 0:
         t = F.greatest(t, F.col(f"p{i - 1}.t"))
-    packet = F.struct(t.alias("t"), value["direction"].alias("d"), value["size"].alias("s"), sym.alias("sym"), used.alias("level"))
+    packet = F.struct(t.alias("t"), d.alias("d"), s.alias("s"), F.col("_sym").alias("sym"), F.col("_level").alias("level"))
     return here.select(*known, packet.alias(f"p{i}"))
 
 

@@ -30,17 +30,13 @@ def ngrams(features: DataFrame, quantizer: Quantizer, order: int, by: tuple[str,
     if length is not None:
         checked = checked.where(F.col("idx") < length)
     raw = preceding(checked.select("conn_id", *by, "idx", "t", "d", "s"), "conn_id", ["t", "d", "s"], order, CHUNK)
-    q = quantizer.columns()
     attached = quantizer.attach(raw)
-    sym = Q.symbol(F.col("t"), F.col("d"), F.col("s"), q)
     if order == 0:
         ctx = F.array().cast(f"array<{SYMBOL}>")
     else:
-        past = []
-        for j in range(order, 0, -1):
-            lag = F.col(f"_lag{j}")
-            past.append(F.when(lag.isNotNull(), Q.symbol(lag["t"], lag["d"], lag["s"], q)))
+        past = [Q.symbol(f"_lag{j}.t", f"_lag{j}.d", f"_lag{j}.s", f"_lag{j} is not null") for j in range(order, 0, -1)]
         ctx = F.array_compact(F.array(*past)).cast(f"array<{SYMBOL}>")
+    sym = Q.symbol("t", "d", "s")
     return attached.select("conn_id", *by, "idx", ctx.alias("ctx"), sym.alias("sym"))
 
 

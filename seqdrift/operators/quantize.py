@@ -81,14 +81,12 @@ class Quantizer:
 
     def columns(self) -> dict[str, Column]:
         """The feature quantizers as columns of a frame that went through `attach`."""
-        if self.table is not None:
-            return {c: F.col(f"_q{c}") for c in _SYMBOL_COLUMNS}
-        return {c: _literal(self.single[c]) for c in _SYMBOL_COLUMNS}
+        return {c: F.col(f"_q{c}") for c in _SYMBOL_COLUMNS}
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Joins the quantizer of each position. Positions beyond a per-position table drop out."""
         if self.table is None:
-            return df
+            return df.select("*", *[_literal(self.single[c]).alias(f"_q{c}") for c in _SYMBOL_COLUMNS])
         side = self.table.select("idx", *[F.col(c).alias(f"_q{c}") for c in _SYMBOL_COLUMNS])
         if self.positions is not None and self.positions <= BROADCAST_POSITIONS:
             side = F.broadcast(side)
@@ -114,8 +112,7 @@ class Quantizer:
 def symbols(features: DataFrame, quantizer: Quantizer, guard: str = "fail") -> DataFrame:
     """Adds `sym`, the three bins of each packet."""
     attached = quantizer.attach(domain_guard(features, guard))
-    sym = Q.symbol(F.col("t"), F.col("d"), F.col("s"), quantizer.columns())
-    return quantizer.detach(attached.withColumn("sym", sym))
+    return quantizer.detach(attached.withColumn("sym", Q.symbol("t", "d", "s")))
 
 
 def bin_counts(quantizer: DataFrame) -> DataFrame:
@@ -154,18 +151,11 @@ def bin_intervals(quantizer: DataFrame) -> DataFrame:
 
 def dequantized(quantized: DataFrame, quantizer: Quantizer, seed: int) -> DataFrame:
     """Replaces `sym` by values drawn inside its bins: t, d, s. Draws depend only on seed, id and position."""
-    quantizer = quantizer.for_drawing()
-    q = quantizer.columns()
-    attached = quantizer.attach(quantized)
+    attached = quantizer.for_drawing().attach(quantized)
     key = (F.lit(seed), F.col("conn_id"), F.col("idx"))
-
-    def draw(f: str) -> Column:
-        c = SHORT[f]
-        return Q.to_value(f, F.col("sym")[c], q[c], uniform(*key, F.lit(f)))
-
-    drawn = attached.select(*[c for c in quantized.columns if c != "sym"],
-                            draw("timestamp").alias("t"), draw("direction").alias("d"), draw("size").alias("s"))
-    return drawn
+    attached = attached.select("*", *[uniform(*key, F.lit(f)).alias(f"_u{c}") for f, c in SHORT.items()])
+    drawn = [Q.to_value(f, f"sym.{c}", f"_q{c}", f"_u{c}").alias(c) for f, c in SHORT.items()]
+    return attached.select(*[c for c in quantized.columns if c != "sym"], *drawn)
 
 
 def symbol_vectors(quantized: DataFrame, take: int) -> DataFrame:

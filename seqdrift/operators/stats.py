@@ -49,9 +49,13 @@ def sketched_quantiles(features: DataFrame, by: tuple[str, ...] = ()) -> DataFra
     return _quantiles_of(features.groupBy(*by, "idx").agg(*_sketch_columns()), [*by, "idx"])
 
 
-def summary(features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Moments and sketched quantiles of one pass over the packets, settled."""
-    wide = settled(features.groupBy("idx").agg(*_moment_columns(), *_sketch_columns()), "summary")
+def summary(features: DataFrame) -> DataFrame:
+    """Moments and sketched quantiles of one pass over the packets, one row per position."""
+    return features.groupBy("idx").agg(*_moment_columns(), *_sketch_columns())
+
+
+def of_summary(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Moments and quantiles as rows per feature."""
     return _moments_of(wide, ["idx"]), _quantiles_of(wide, ["idx"])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,9 @@ def settled(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
     path = shared_dir(spark, purpose)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled_together(*results: tuple[DataFrame, str]) -> list[DataFrame]:
+    """`settled` for several independent results, as jobs that run side by side."""
+    with ThreadPoolExecutor(max_workers=len(results)) as pool:
+        return list(pool.map(lambda r: settled(*r), results))
