@@ -220,18 +220,20 @@ def handshake_order(spark, sf):
     return shakes.select(F.explode(listed).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def _data(spark, sf, horizon: int | None = None) -> DataFrame:
+@query("data_packets", X.sql(f"select conn_id, {big('arrival', 'arrival')}, {r('ts', 'ts')}, is_orig::int::bigint as is_orig, {big('seq', 'seq')}, {big('len', 'len')} from d_data", "d_data"))
+def data_packets(spark, sf):
     events = T.packet_events(spark, sf)
-    return A.data_packets(events, A.checked_handshakes(events), horizon)
+    out = A.watched_packets(events, A.checked_handshakes(events))
+    return pick(out.withColumn("is_orig", F.col("is_orig").cast("int")), "conn_id", "arrival", "ts", "is_orig", "seq", "len")
 
 
-@query("data_packets", X.sql(f"select conn_id, {big('pos', 'pos')}, {r('ts', 'ts')}, is_orig::int::bigint as is_orig, {big('seq', 'seq')}, {big('len', 'len')} from d_data", "d_data"))
-def data_packets(spark, sf):
-    return pick(_data(spark, sf).withColumn("is_orig", F.col("is_orig").cast("int")), "conn_id", "pos", "ts", "is_orig", "seq", "len")
+def _data(spark, sf) -> DataFrame:
+    events = T.packet_events(spark, sf)
+    return A.data_packets(events, A.checked_handshakes(events))
 
 
 def _faults(spark, sf, *kinds: str) -> DataFrame:
-    judged = A.judged_packets(_data(spark, sf, A.HORIZON))
+    judged = A.judged_packets(_data(spark, sf))
     return pick(judged.where(F.col("fault").isin(*kinds)), "conn_id", "pos", "fault")
 
 
@@ -261,7 +263,7 @@ def early_application_data(spark, sf):
 
 @query("clean_prefix", X.sql(f"select conn_id, {big('pos', 'pos')}, {big('len', 'size')} from d_taken", "d_taken"))
 def clean_prefix(spark, sf):
-    taken = A.clean_prefix(A.judged_packets(_data(spark, sf, A.HORIZON))).where("taken")
+    taken = A.clean_prefix(A.judged_packets(_data(spark, sf))).where("taken")
     return pick(taken.select("conn_id", "pos", F.col("len").alias("size")))
 
 
@@ -862,9 +864,9 @@ def generated_times(spark, sf):
     return pick(G.generate(p.hist, q, 2, T.table(spark, sf, "customer").count(), 3, SEED).drop("sym"))
 
 
-@query("monotonic_time", X.sql(f"select conn_id, {big('idx', 'idx')}, {r('max(t) over (partition by conn_id order by idx)', 't')} from b where idx < 5", "b"))
+@query("monotonic_time", X.sql(f"select conn_id, {big('idx', 'idx')}, {r('max(t) over (partition by conn_id order by idx)', 't')} from b", "b"))
 def monotonic_time(spark, sf):
-    return pick(G.monotonic(T.order_features(spark, sf).where(F.col("idx") < 5)), "conn_id", "idx", "t")
+    return pick(G.monotonic(T.order_features(spark, sf)), "conn_id", "idx", "t")
 
 
 def _synthetic_sql(value: str) -> str:

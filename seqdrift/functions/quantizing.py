@@ -6,6 +6,8 @@ bound of a discrete feature is one above its largest value.
 
 from __future__ import annotations
 
+from collections.abc import Collection, Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,26 +89,31 @@ def symbol_in_domain(t: Column, d: Column, s: Column) -> Column:
     return in_domain("timestamp", t) & ~F.isnan(t) & in_domain("direction", d) & in_domain("size", s)
 
 
-def _bin_sql(x: str, q: str) -> str:
-    clamped = f"least(greatest(double({x}), {q}.eff_min), {q}.eff_max)"
-    last = f"{q}.num_bins - 1"
-    return f"""case {q}.kind
-        when 'mask' then {MASKED}
-        when 'identity' then int({x})
-        when 'empirical' then try_element_at({q}.lookup, int({x}))
-        when 'loguniform' then int(greatest(0L, least(floor((ln(1.0D + {clamped}) - ln(1.0D + {q}.eff_min)) * {q}.inv_width), {last})))
-        when 'uniform' then int(greatest(0L, least(floor(({clamped} - {q}.eff_min) * {q}.inv_width), {last})))
-    end"""
-
-
-def to_bin(x: str, q: str) -> Column:
-    """Bin of a value that is inside its domain; -1 when masked. Takes names (or SQL) of value and quantizer."""
-    return F.expr(_bin_sql(x, q))
+KINDS = ("mask", "identity", "empirical", "loguniform", "uniform")
 
 
-def symbol(t: str, d: str, s: str, when: str | None = None) -> Column:
-    """The three bins of a packet of a frame that went through `Quantizer.attach`; null unless `when` holds."""
-    parts = ", ".join(f"'{c}', {_bin_sql(x, f'_q{c}')}" for c, x in (("t", t), ("d", d), ("s", s)))
+def _bin_sql(x: str, q: str, kinds: Collection[str]) -> str:
+    clamped = f"least(greatest(double({x}), {q}.eff_min), {q}.eff_max)"
+    last = f"{q}.num_bins - 1"
+    rules = {
+        "mask": f"{MASKED}",
+        "identity": f"int({x})",
+        "empirical": f"try_element_at({q}.lookup, int({x}))",
+        "loguniform": f"int(greatest(0L, least(floor((ln(1.0D + {clamped}) - ln(1.0D + {q}.eff_min)) * {q}.inv_width), {last})))",
+        "uniform": f"int(greatest(0L, least(floor(({clamped} - {q}.eff_min) * {q}.inv_width), {last})))",
+    }
+    if len(kinds) == 1:
+        return rules[next(iter(kinds))]
+    return f"case {q}.kind " + " ".join(f"when '{k}' then {rules[k]}" for k in KINDS if k in kinds) + " end"
+
+
+def symbol(t: str, d: str, s: str, when: str | None = None, kinds: Mapping[str, Collection[str]] | None = None) -> Column:
+    """The three bins of a packet of a frame that went through `Quantizer.attach`; null unless `when` holds.
+
+    Takes names (or SQL) of the three values. `kinds` tells which kinds of quantizer occur per feature;
+    knowing them keeps the generated code small enough for the compiler.
+    """
+    parts = ", ".join(f"'{c}', {_bin_sql(x, f'_q{c}', kinds[c] if kinds else KINDS)}" for c, x in (("t", t), ("d", d), ("s", s)))
     made = f"named_struct({parts})"
     return F.expr(f"case when {when} then {made} end" if when else made)
 

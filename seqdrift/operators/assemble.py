@@ -105,12 +105,11 @@ def checked_handshakes(events: DataFrame) -> DataFrame:
     return joined.withColumn("watched", faultless & F.col("complete_at").isNotNull()).drop("early_at")
 
 
-def data_packets(events: DataFrame, shakes: DataFrame, horizon: int | None = HORIZON) -> DataFrame:
-    """Packets with payload after the handshake, numbered by arrival (`pos` from 0), cut at the horizon.
+def watched_packets(events: DataFrame, shakes: DataFrame) -> DataFrame:
+    """Packets with payload that come after the handshake of a watched connection.
 
-    Only the first packets of a connection can matter, and Spark cuts each map task's share of a key to
-    that many rows before the shuffle. The join with the handshakes would bring a whole connection into
-    one task first, so connections too large for that are joined by broadcast (at most MAX_HOT rows).
+    The join with the handshakes would bring all packets of a connection into one task, so connections too
+    large for that, at most MAX_HOT of them, are joined by broadcast.
     """
     packets = events.where(F.col("len") > 0).select(
         "conn_id", "arrival", "ts", "is_orig", "seq", "len", F.substring(F.hex("payload_prefix"), 1, 6).alias("head")
@@ -124,10 +123,17 @@ def data_packets(events: DataFrame, shakes: DataFrame, horizon: int | None = HOR
         )
     else:
         joined = packets.join(marks, "conn_id")
+    return joined.where(F.col("arrival") > F.col("complete_at"))
+
+
+def data_packets(events: DataFrame, shakes: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """The first `horizon` watched packets of each connection, numbered by arrival (`pos` from 0).
+
+    Later ones cannot matter. Spark cuts each map task's share of a connection to that many rows before
+    the shuffle, so the length of a connection does not show in any task.
+    """
     ordered = W.partitionBy("conn_id").orderBy("arrival")
-    numbered = joined.where(F.col("arrival") > F.col("complete_at")).withColumn("_rn", F.row_number().over(ordered))
-    if horizon is not None:
-        numbered = numbered.where(F.col("_rn") <= horizon)
+    numbered = watched_packets(events, shakes).withColumn("_rn", F.row_number().over(ordered)).where(F.col("_rn") <= horizon)
     return numbered.withColumn("pos", F.col("_rn") - 1).drop("_rn")
 
 

@@ -165,9 +165,8 @@ def fit(features: DataFrame, order: int = 0, epsilon: float = DEFAULT_EPSILON, d
 
 
 def fitted(features: DataFrame, order: int = 0, **options) -> Quantizer:
-    """`fit`, ready to apply. The number of positions is read from the settled table."""
-    table = fit(features, order, **options)
-    return Quantizer.per_packet(table, table.count())
+    """`fit`, ready to apply."""
+    return Quantizer.measured(fit(features, order, **options))
 
 
 def plan_bins(moments: DataFrame, freq: DataFrame, quantiles: DataFrame | None, order: int, epsilon: float, delta: float,

@@ -22,21 +22,21 @@ SLICES = 64
 WRITE_EVERY = 8
 
 
-def cumulated(hist: DataFrame) -> DataFrame:
-    """Adds lo, hi, total per (idx, ctx), symbols in their natural order.
+def cumulated(hist: DataFrame, context: tuple[str, ...] = ("idx", "ctx")) -> DataFrame:
+    """Adds lo, hi, total per context, symbols in their natural order.
 
     Summed in two steps, inside a (t, d) pair and over the pairs, so that no task orders the whole
     support of a position: the first step sees at most 1460 sizes, the second only pairs.
     """
-    context, pair = ["idx", "ctx"], ["idx", "ctx", "_t", "_d"]
-    split = hist.select("idx", "ctx", "sym", "cnt", F.col("sym.t").alias("_t"), F.col("sym.d").alias("_d"))
+    pair = [*context, "_t", "_d"]
+    split = hist.select(*context, "sym", "cnt", F.col("sym.t").alias("_t"), F.col("sym.d").alias("_d"))
     pairs = split.groupBy(*pair).agg(F.sum("cnt").alias("_n"))
     earlier = W.partitionBy(*context).orderBy("_t", "_d").rowsBetween(W.unboundedPreceding, -1)
     pairs = pairs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     totals = split.groupBy(*context).agg(F.sum("cnt").alias("total"))
     hi = F.col("_before") + F.sum("cnt").over(W.partitionBy(*pair).orderBy("sym.s"))
     return (
-        split.join(pairs, pair).join(totals, context).withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("cnt"))
+        split.join(pairs, pair).join(totals, list(context)).withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("cnt"))
         .select(*context, "sym", "cnt", "lo", "hi", "total")
     )
 
@@ -113,15 +113,11 @@ def generate(hist: DataFrame, quantizer: Quantizer, order: int, flows: int, leng
     if order == 0:
         return _generate_independent(hist, quantizer, flows, length, seed, raise_time)
     spark = hist.sparkSession
-    levels = shorter_contexts(hist.where(F.col("idx") < length), order)
-    tables = None
-    for level in range(order + 1):
-        part = sliced(cumulated(levels.where(F.col("level") == level))).withColumn("level", F.lit(level))
-        tables = part if tables is None else tables.unionByName(part)
-    model = settled(tables, "model", by="idx")
+    levels = settled(shorter_contexts(hist.where(F.col("idx") < length), order), "contexts")
+    model = settled(sliced(cumulated(levels, ("level", "idx", "ctx"))), "model", by="idx")
     quantizer = quantizer.for_drawing()
     if quantizer.table is not None:
-        quantizer = Quantizer.per_packet(settled(quantizer.table, "quantizer"), quantizer.positions)
+        quantizer = Quantizer(settled(quantizer.table, "quantizer"), quantizer.positions, kinds=quantizer.kinds)
     state = spark.range(flows).withColumnRenamed("id", "n")
     for i in range(length):
         state = _next_position(state, model, quantizer, i, min(order, i), seed, raise_time)
@@ -139,7 +135,7 @@ def _next_position(state: DataFrame, model: DataFrame, quantizer: Quantizer, i:
                    raise_time: bool) -> DataFrame:
     known = [c for c in state.columns if c != "idx"]
     here = quantizer.attach(state.withColumn("idx", F.lit(i)))
-    past = [Q.symbol(f"p{j}.t", f"p{j}.d", f"p{j}.s") for j in range(i - depth, i)]
+    past = [quantizer.symbol(f"p{j}.t", f"p{j}.d", f"p{j}.s") for j in range(i - depth, i)]
     u = uniform(F.lit(seed), F.col("n"), F.lit(i))
     here = here.withColumn("_u", u).withColumn("_slice", slice_of(u))
     for level in range(depth, -1, -1):

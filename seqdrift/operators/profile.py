@@ -34,9 +34,12 @@ def ngrams(features: DataFrame, quantizer: Quantizer, order: int, by: tuple[str,
     if order == 0:
         ctx = F.array().cast(f"array<{SYMBOL}>")
     else:
-        past = [Q.symbol(f"_lag{j}.t", f"_lag{j}.d", f"_lag{j}.s", f"_lag{j} is not null") for j in range(order, 0, -1)]
-        ctx = F.array_compact(F.array(*past)).cast(f"array<{SYMBOL}>")
-    sym = Q.symbol("t", "d", "s")
+        past = [quantizer.symbol(f"_lag{j}.t", f"_lag{j}.d", f"_lag{j}.s", f"_lag{j} is not null") for j in range(order, 0, -1)]
+        # the first packets have a shorter history; a slice stays in compiled code, filtering nulls would not,
+        # and would copy the lookup of the quantizer into every row
+        known = F.least(F.lit(order), F.col("idx"))
+        ctx = F.slice(F.array(*past), F.lit(order + 1) - known, known).cast(f"array<{SYMBOL}>")
+    sym = quantizer.symbol()
     return attached.select("conn_id", *by, "idx", ctx.alias("ctx"), sym.alias("sym"))
 
 

@@ -66,15 +66,23 @@ class Quantizer:
     `positions` is the length of a per-position table when the caller knows it; short tables broadcast.
     """
 
-    def __init__(self, table: DataFrame | None = None, positions: int | None = None, single: Row | dict | None = None):
+    def __init__(self, table: DataFrame | None = None, positions: int | None = None, single: Row | dict | None = None,
+                 kinds: dict[str, set[str]] | None = None):
         if (table is None) == (single is None):
             raise ValueError("give either a table or a single row")
         self.table, self.positions, self.single = table, positions, single
+        self.kinds = kinds if single is None else {c: {single[c]["kind"]} for c in _SYMBOL_COLUMNS}
 
     @classmethod
     def per_packet(cls, table: DataFrame, positions: int | None = None) -> Quantizer:
         return cls(table=table, positions=positions)
 
+    @classmethod
+    def measured(cls, table: DataFrame) -> Quantizer:
+        """Of a settled table: its length and the kinds that occur are read at once (one small row)."""
+        row = table.agg(F.count("*").alias("n"), *[F.collect_set(F.col(c)["kind"]).alias(c) for c in _SYMBOL_COLUMNS]).first()
+        return cls(table=table, positions=row["n"], kinds={c: set(row[c]) for c in _SYMBOL_COLUMNS} if row["n"] else None)
+
     @classmethod
     def everywhere(cls, row: Row) -> Quantizer:
         return cls(single=row)
@@ -92,6 +100,9 @@ class Quantizer:
             side = F.broadcast(side)
         return df.join(side, "idx")
 
+    def symbol(self, t: str = "t", d: str = "d", s: str = "s", when: str | None = None) -> Column:
+        return Q.symbol(t, d, s, when, self.kinds)
+
     def for_drawing(self) -> Quantizer:
         """The same quantizer prepared for drawing values inside bins."""
         if self.table is None:
@@ -103,7 +114,7 @@ class Quantizer:
             row["s"]["bins"] = counts
             return Quantizer(single=row)
         ready = self.table.withColumn("s", Q.running_counts(F.col("s")))
-        return Quantizer(table=ready, positions=self.positions)
+        return Quantizer(table=ready, positions=self.positions, kinds=self.kinds)
 
     def detach(self, df: DataFrame) -> DataFrame:
         return df.drop(*[f"_q{c}" for c in _SYMBOL_COLUMNS])
@@ -112,7 +123,7 @@ class Quantizer:
 def symbols(features: DataFrame, quantizer: Quantizer, guard: str = "fail") -> DataFrame:
     """Adds `sym`, the three bins of each packet."""
     attached = quantizer.attach(domain_guard(features, guard))
-    return quantizer.detach(attached.withColumn("sym", Q.symbol("t", "d", "s")))
+    return quantizer.detach(attached.withColumn("sym", quantizer.symbol()))
 
 
 def bin_counts(quantizer: DataFrame) -> DataFrame:

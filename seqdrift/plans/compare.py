@@ -10,6 +10,7 @@ from seqdrift.operators import divergence as D
 from seqdrift.operators import profile as P
 from seqdrift.operators.quantize import Quantizer
 from seqdrift.schema import DEFAULT_ALPHA
+from seqdrift.session import settled
 
 
 @dataclass(frozen=True)
@@ -21,12 +22,15 @@ class Profile:
 
 def build_profile(features: DataFrame, quantizer: Quantizer, order: int, population: str | None = None,
                   alpha: float = DEFAULT_ALPHA, guard: str = "fail", length: int | None = None) -> Profile:
-    """Profile of a feature frame. With `population`, a column, one profile per value of it in one pass."""
+    """Profile of a feature frame. With `population`, a column, one profile per value of it in one pass.
+
+    Counts are settled: comparing and sampling read them several times, and must not count the packets anew.
+    """
     by = (population,) if population else ()
     length = quantizer.positions if length is None else length
     grams = P.ngrams(features, quantizer, order, by, guard, length)
-    hist = P.histogram(grams, grams[population] if population else "all")
-    return Profile(hist, P.metadata(hist, quantizer, order, alpha), order)
+    hist = settled(P.histogram(grams, grams[population] if population else "all"), "profile")
+    return Profile(hist, settled(P.metadata(hist, quantizer, order, alpha), "metadata"), order)
 
 
 def divergence_terms(profile: Profile, left: str, right: str) -> DataFrame:

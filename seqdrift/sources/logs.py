@@ -8,6 +8,10 @@ from pyspark.sql import types as T
 
 from seqdrift.schema import FLOW_LOG, PACKET_LOG, PROBE_LOG
 
+# Names of the two logs of a capture.
+FLOW_LOG_NAME = r"^obfuscation.*\.log"
+PACKET_LOG_NAME = r"^packets.*\.log"
+
 
 def _tsv(spark: SparkSession, paths: str | list[str], schema: T.StructType, mode: str, recursive: bool) -> DataFrame:
     """Tab-separated, one header line, no quoting; plain, .gz or .zst by suffix. Columns go by position.
@@ -75,7 +79,7 @@ def paired_logs(files: DataFrame) -> DataFrame:
     Takes a listing such as `files_below` makes; the two logs of a folder are what `flow_log` and
     `packet_log` read.
     """
-    is_flow, is_packet = F.col("name").rlike(r"^obfuscation.*\.log"), F.col("name").rlike(r"^packets.*\.log")
+    is_flow, is_packet = F.col("name").rlike(FLOW_LOG_NAME), F.col("name").rlike(PACKET_LOG_NAME)
     grouped = leaf_folders(files).groupBy("dir").agg(
         F.count_if(is_flow).alias("_f"), F.count_if(is_packet).alias("_p"),
         F.max(F.when(is_flow, F.col("name"))).alias("flow_log"), F.max(F.when(is_packet, F.col("name"))).alias("packet_log"),
