@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqdrift.functions.numeric import rtt
 from seqdrift.functions.predicates import everything, normal_version
-from seqdrift.operators.skew import previous_by_direction
+from seqdrift.operators.skew import chunk_rows, previous_by_direction
 
 
 def latest_flows(flow_log: DataFrame, file_order: Column | None = None) -> DataFrame:
@@ -66,6 +66,15 @@ def strip_flows(flows: DataFrame) -> DataFrame:
     return out
 
 
+def chunk_for(flows: DataFrame) -> int | None:
+    """Chunk length for `preprocess`, or None when no flow is longer than one task should order.
+
+    Reads stated lengths only, a filter that reaches the file scan; use it on complete flows.
+    """
+    limit = chunk_rows(flows.sparkSession)
+    return None if flows.where(F.col("len") > limit).isEmpty() else limit
+
+
 def directional_gaps(packets: DataFrame, scale: Column | None = None, chunk: int | None = None,
                      order: tuple[str, ...] = ("idx",)) -> DataFrame:
     """Replaces `ts` by `t`: time since the previous packet of the same direction, 0 for the first one.

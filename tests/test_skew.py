@@ -119,3 +119,23 @@ def test_ngrams_do_not_depend_on_chunks(spark, monkeypatch):
     whole = collected(P.ngrams(features, Quantizer.everywhere(row), 2))
     monkeypatch.setattr(P, "CHUNK", 2)
     assert collected(P.ngrams(features, Quantizer.everywhere(row), 2)) == whole
+
+
+def test_readme_example(spark, small_chunks):
+    from seqdrift.operators import fit
+    from seqdrift.operators.flows import chunk_for, preprocess
+    from seqdrift.plans import compare
+    from seqdrift.session import settled
+
+    flows, packets = T.event_flows(spark, SF)
+    flows = settled(flows.withColumn("site", F.when(F.crc32("conn_id") % 2 == 0, "north").otherwise("south")), "flows")
+    packets = settled(packets, "packets")
+    assert chunk_for(flows) is None
+    plain = collected(preprocess(flows, packets, strip=True, carry=("site",)))
+    with small_chunks:
+        assert chunk_for(flows) == 4
+        features = settled(preprocess(flows, packets, strip=True, chunk=chunk_for(flows), carry=("site",)), "features")
+    assert collected(features) == plain
+    quantizer = fit.fitted(features, order=1, epsilon=0.5, delta=0.5, mask=("timestamp",), max_packets=5)
+    profile = compare.build_profile(features, quantizer, 1, population="site")
+    assert compare.position_divergence(profile, "north", "south").count() == 5
