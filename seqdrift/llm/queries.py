@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqdrift.llm import neardup, packing, quality, sharding
+from seqdrift.llm import decontaminate, neardup, packing, quality, sharding
 from seqdrift.llm.base import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -111,3 +111,35 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_min_slack_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
+OP6_SQL = r"""
+with wd as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from documents),
+wb as (
+  select coalesce(item_id::varchar, '') as item, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
+  from benchmark),
+b as (
+  select item, least(len(ws), 10) as k, array_to_string(ws[i : i + 9], ' ') as g
+  from (select item, ws, unnest(range(1, greatest(len(ws) - 8, 2))) as i from wb where len(ws) > 0)),
+k as (select distinct k from b),
+d as (
+  select doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') as g
+  from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as i from wd, k where len(ws) >= k)),
+h as (select distinct d.doc_id, d.k, d.i, b.item from d join b on d.g = b.g and d.k = b.k),
+c as (
+  select doc_id, count(distinct p) as n from
+  (select doc_id, unnest(range(i, i + k)) as p from (select distinct doc_id, k, i from h)) group by doc_id),
+t as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as s from (select distinct doc_id, item from h) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(c.n, 0)::bigint as n_hit, coalesce(t.n, 0)::bigint as n_items,
+  sha256(coalesce(t.s, '')) as items_sha256, coalesce(c.n, 0) > 0 as contaminated
+from wd left join c using (doc_id) left join t using (doc_id)
+"""
+
+
+@query("op6_fm_index_decontamination", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
