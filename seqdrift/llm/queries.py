@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqdrift.llm import decontaminate, neardup, packing, quality, sharding
-from seqdrift.llm.base import documents
+from seqdrift.llm import decontaminate, language, neardup, packing, quality, sharding
+from seqdrift.llm.base import documents, remainder
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -143,3 +143,10 @@ from wd left join c using (doc_id) left join t using (doc_id)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op2_nearest_centroid_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = language.predict(docs, language.fit(language.training_rows(docs)))
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")

@@ -58,8 +58,8 @@ class Texts(NamedTuple):
     rows: slice
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Texts]:
-    """A text column in steps of about `most` bytes; null counts as empty."""
+def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 16) -> Iterator[Texts]:
+    """A text column in steps of about `most` bytes and at most `rows` texts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
@@ -72,7 +72,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Texts]:
     data = np.frombuffer(values, np.uint8) if values is not None and values.size else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        j = max(i + 1, min(i + rows, int(np.searchsorted(at, at[i] + most, "right")) - 1))
         yield Texts(data[at[i] : at[j]], at[i : j + 1] - at[i], slice(i, j))
         i = j
 
