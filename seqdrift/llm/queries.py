@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqdrift.llm import decontaminate, language, neardup, packing, quality, sharding
+from seqdrift.llm import decontaminate, language, neardup, packing, quality, secrets, sharding
 from seqdrift.llm.base import documents, remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -150,3 +150,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = language.predict(docs, language.fit(language.training_rows(docs)))
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op3_recursive_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
