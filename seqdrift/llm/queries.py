@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqdrift.llm import decontaminate, language, neardup, packing, quality, secrets, sharding
+from seqdrift.llm import decontaminate, language, lm, neardup, packing, quality, secrets, sharding
 from seqdrift.llm.base import documents, remainder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -155,3 +155,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_recursive_secret_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
+
+
+@query("op7_hashed_maxent_scores")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = lm.score(docs, lm.training_rows(docs))
+    return out.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
