@@ -4,11 +4,13 @@
    stood for by its smallest doc_id.
 2. SuperMinHash: each element draws ranks 0, 1, 2... for the components in a random order of its own; the values of
    one element are correlated, and a text is done as soon as no later rank can lower a component.
-3. Three components make a band. Each bucket is a star: its members are compared with its smallest member only.
+3. Three components make a band. Each bucket is a star: its members are compared with one of them only, the one whose
+   buckets are the fullest, which in a group of near copies lies near the middle.
 4. Links are confirmed on full sets and components found by union of the links.
-5. Buckets whose other members are still in several components are settled exactly: of all their documents the
-   rarest shingles are matched (two sets with Jaccard 0.75 share one of their n/4 + 1 rarest), and pairs of different
-   components confirmed as before. A group of thousands of near copies so costs no pair per pair of members.
+5. Buckets whose other members are still in several components are settled exactly, in one of two ways, whichever
+   compares fewer pairs for that cluster of buckets: matching rarest shingles (two sets with Jaccard 0.75 share one of
+   their n/4 + 1 rarest), or, in a dense cluster of almost similar documents, comparing blocks of documents with
+   blocks, where a task holds two blocks and returns links alone. Neither emits the pairs of a group.
 
 A pair at the threshold shares none of the 32 bands with probability 2e-8, one above it with less.
 
@@ -22,14 +24,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqdrift.llm.base import written
 from seqdrift.llm.words import NOT_SPACE, Words, grams, inside_text, mix, slices, stream, words_of
 
 ROWS, BANDS = 3, 32
+BLOCK = 256  # documents of a block, or as many as have 1000 times as many shingles
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,22 +172,28 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("v").alias("doc_id"), F.col("u").alias("component_id")).union(heads.withColumn("component_id", F.col("doc_id")))
 
 
-def rare_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of `docs` (doc_id, component) in different components that share one of their rarest shingles.
+def rare_shingles(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, cluster, component, n, s: of each document its rarest shingles that another one has among its own.
 
     Sorted by how many of the documents have it, a set of n shingles that is similar to another shares with it one of
     its first n - ceil(n * percent / 100) + 1.
     """
-    each = docs.join(sets, "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    common = each.groupBy("s").agg(F.count("*").alias("f"))
-    prefix = (
+    each = docs.join(sets, "doc_id").select(*docs.columns, F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    # a shingle that no other document has comes first in the order, so counting those is enough
+    return (
         each.join(common, "s")
-        .groupBy("doc_id", "component", "n")
+        .groupBy(*docs.columns, "n")
         .agg(F.collect_list(F.struct("f", "s")).alias("_all"))
-        .select("doc_id", "component", "n", F.expr(f"explode(slice(sort_array(_all), 1, int(n - ceil(n * {percent} / 100) + 1))) as p"))
-        .where("p.f > 1")
-        .select("doc_id", "component", "n", "p.s")
+        .withColumn("_take", F.expr(f"n - ceil(n * {percent} / 100) + 1 - (n - size(_all))"))
+        .where("_take > 0")
+        .select(*docs.columns, "n", F.expr("explode(slice(sort_array(_all), 1, int(_take))) as p"))
+        .select(*docs.columns, "n", "p.s")
     )
+
+
+def rare_pairs(prefix: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents in different components that share one of their rarest shingles."""
     other = prefix.select(F.col("doc_id").alias("b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"), "s")
     return (
         prefix.withColumnRenamed("doc_id", "a")
@@ -195,6 +205,71 @@ def rare_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _compare(percent: int):
+    """Confirmed links between two blocks, or within one, of documents in different components."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        ids, label, block = rows["doc_id"].to_numpy(), rows["component"].to_numpy(), rows["block"].to_numpy()
+        size = np.array([len(x) for x in rows["shingles"]])
+        values = np.unique(np.concatenate(rows["shingles"].tolist()), return_inverse=True)[1]
+        first = np.cumsum(size) - size
+        flags = np.zeros(values.max() + 1, np.int64)
+        same = rows["i"].iloc[0] == rows["j"].iloc[0]
+        found: list[tuple] = []
+        for x in np.flatnonzero(block == rows["i"].iloc[0]):
+            own = values[first[x] : first[x] + size[x]]
+            flags[own] = 1
+            shared = np.add.reduceat(flags[values], first)
+            flags[own] = 0
+            near = (100 * shared >= percent * (size + size[x] - shared)) & (label != label[x])
+            near &= np.arange(len(ids)) > x if same else block == rows["j"].iloc[0]
+            found += [(ids[x], ids[y]) for y in np.flatnonzero(near)]
+        # a link per pair of components is enough, and bounds what a task returns
+        once = {(min(label_of), max(label_of)): p for p in found for label_of in [(label[ids == p[0]][0], label[ids == p[1]][0])]}
+        return pd.DataFrame({"a": [p[0] for p in once.values()], "b": [p[1] for p in once.values()]}, dtype=ids.dtype)
+
+    return run
+
+
+def block_links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of one cluster and different components, from comparing its blocks with one another.
+
+    docs: doc_id, cluster, component, blocks (of the cluster).
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    placed = docs.withColumn("block", F.expr("int(pmod(xxhash64(doc_id), blocks))")).withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
+    return (
+        placed.join(sets, "doc_id")
+        .select("doc_id", "cluster", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "shingles")
+        .groupBy("cluster", "i", "j")
+        .applyInPandas(_compare(percent), f"a {kind}, b {kind}")
+        .distinct()
+    )
+
+
+def settle(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of unsettled buckets (doc_id, band, component) that are in different components."""
+    first = rest.groupBy("band").agg(F.min("doc_id").alias("a"))
+    chained = components(rest.join(first, "band").select("a", F.col("doc_id").alias("b")))
+    docs = written(rest.select("doc_id", "component").distinct().join(chained.withColumnRenamed("component_id", "cluster"), "doc_id"), "clusters")
+    prefix = written(rare_shingles(docs.select("doc_id", "cluster", "component"), sets, percent), "rare-shingles")
+    by_rare = prefix.groupBy("cluster", "s").agg(F.count("*").alias("f")).groupBy("cluster").agg(F.sum(F.expr("f * (f - 1) / 2")).alias("rare"))
+    sizes = (
+        docs.join(sets, "doc_id")
+        .groupBy("cluster")
+        .agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("total"))
+        .withColumn("blocks", F.expr(f"int(greatest(ceil(n / {BLOCK}), ceil(total / {BLOCK * 1000})))"))
+        .join(by_rare, "cluster", "left")
+        .withColumn("dense", F.expr("coalesce(rare, 0) > n * (n - 1) / 2"))
+    )
+    sizes = written(sizes, "cluster-sizes")
+    dense = docs.join(sizes.where("dense").select("cluster", "blocks"), "cluster")
+    sparse = prefix.join(sizes.where("not dense").select("cluster"), "cluster", "left_semi")
+    pairs = written(rare_pairs(sparse, percent), "rare-pairs")
+    return confirmed(pairs, sets, percent).union(block_links(dense, sets, percent))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of `docs` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -208,8 +283,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, rows: int =
     classes = written(classes, "classes")
     heads = named.join(classes.withColumnRenamed("head", "doc_id"), ["k1", "k2", "n_shingles", "doc_id"], "left_semi")
     buckets = heads.select("doc_id", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("doc_id").alias("star"), F.max("doc_id").alias("_last")).where("star <> _last").select("band", "star")
-    members = written(buckets.join(shared, "band").where("doc_id <> star"), "members")
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    full = written(buckets.join(shared, "band"), "buckets")
+    middle = full.groupBy("doc_id").agg(F.sum("n").alias("p"))
+    stars = full.join(middle, "doc_id").groupBy("band").agg(F.max(F.struct("p", "doc_id"))["doc_id"].alias("star"))
+    members = written(full.join(stars, "band").where("doc_id <> star").select("doc_id", "band", "star"), "members")
     pairs = members.select(F.col("star").alias("a"), F.col("doc_id").alias("b")).distinct()
     sized = heads.select(F.col("doc_id"), F.col("n_shingles")).distinct()
     pairs = (
@@ -227,8 +305,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, rows: int =
     found = written(components(links), "components")
     left = members.join(found, "doc_id", "left").select("doc_id", "band", F.coalesce("component_id", "doc_id").alias("component"))
     mixed = left.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("band")
-    rest = written(left.join(mixed, "band", "left_semi").select("doc_id", "component").distinct(), "unsettled")
-    more = confirmed(written(rare_pairs(rest, sets, percent), "rare-pairs"), sets, percent)
+    rest = written(left.join(mixed, "band", "left_semi"), "unsettled")
+    more = settle(rest, sets, percent)
     stars = found.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     final = components(stars.union(more)).withColumnRenamed("doc_id", "head")
     grouped = written(classes.join(final, "head", "left").withColumn("component_id", F.coalesce("component_id", "head")).drop("head"), "groups")
