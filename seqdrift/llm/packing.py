@@ -13,22 +13,21 @@ Null text: as empty, so the end id alone. Null ids and repeated rows are packed
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqdrift.llm.base import written
+from seqdrift.llm.words import Texts, mix, slices, stream
 
 END_ID = 0
-MEMO = 200_000  # pieces a worker remembers before it starts afresh
-LONG = 48  # longer pieces are not remembered
-STEP_CHARS = 1 << 21
+MEMO = 1_500_000  # pieces a worker remembers before it starts afresh
 
 
 def padding(length: int, capacity: int) -> int:
@@ -79,74 +78,141 @@ def plan(counts: dict[int, int], capacity: int) -> Iterator[tuple[int, int, int,
         window += times
 
 
-class Encoder:
-    """Ids of whole texts as bytes, with memory of the pieces between single spaces.
+# Kinds of bytes: ASCII white space, blank, point, ASCII letter, first byte of white space outside ASCII
+SPACE, BLANK, POINT, LETTER, LEAD = 1, 2, 4, 8, 16
+KIND = np.zeros(256, np.uint8)
+KIND[list(b" \t\n\r\x0b\x0c")] = SPACE
+KIND[32] |= BLANK
+KIND[list(b".,;:!?")] = POINT
+KIND[65:91] = KIND[97:123] = LETTER
+KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = LEAD
+STEP = 1 << 19  # bytes that are worked on together
+VALUE = stream(40, 256)
+
+
+def piece_starts(texts: Texts) -> np.ndarray:
+    """Where a text may be cut without changing its ids.
 
-    The tokenizer's pattern never joins a space to what stands before it unless that is white space too, so a text may
-    be cut before such spaces without changing its ids.
+    The tokenizer's pattern begins a new match at white space after anything else, at a point after a letter, and
+    after a single white space other than a blank. In doubt, near white space outside ASCII, nothing is cut.
     """
+    kind, bounds = KIND[texts.data], texts.bounds
+    n = len(kind)
+    # the end of white space, perhaps of some outside ASCII
+    near = kind & (SPACE | LEAD)
+    near[2:] |= near[:-2] & LEAD
+    near[1:] |= kind[:-1] & LEAD
+    near = near != 0
+    space = (kind & SPACE) != 0
+    cut = np.zeros(n, bool)
+    cut[1:] = (space[1:] & ~near[:-1]) | (kind[1:] & POINT).astype(bool) & (kind[:-1] & LETTER).astype(bool)
+    if n > 2:
+        cut[2:] |= ((kind[2:] & (SPACE | LEAD)) == 0) & ((kind[1:-1] & (SPACE | BLANK)) == SPACE) & ~near[:-2]
+    cut[bounds[:-1][bounds[:-1] < n]] = True
+    return np.flatnonzero(cut)
+
+
+class Memo:
+    """Ids of known pieces: sorted hashes, with where the ids of each lie in one array. A few dozen bytes a piece."""
+
+    def __init__(self):
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+
+    def add(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        at = np.cumsum(size) - size + len(self.ids)
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.ids = np.append(self.ids, ids.astype(np.uint32))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the memo, and which of the hashes are known."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return place, self.hashes[place] == hashes
+
+
+class Encoder:
+    """Ids of whole texts, each distinct piece of them encoded once for as long as it is remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-
-    def pieces(self, text: str) -> list[str]:
-        head, *rest = text.split(" ")
-        out = [head, *[" " + x for x in rest]]
-        if re.search(r"\s ", text):
-            merged: list[str] = []
-            for x in out:
-                if merged and merged[-1][-1:].isspace():
-                    merged[-1] += x
-                else:
-                    merged.append(x)
-            out = merged
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list(set().union(*split).difference(self.memo))
-        known, extra = self.memo, {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = b"".join(n.to_bytes(4, "little") for n in e.ids)
-                (known if len(x) <= LONG else extra)[x] = ids
-        if not extra:
-            return [b"".join(map(known.__getitem__, p)) for p in split]
-        return [b"".join([known[x] if x in known else extra[x] for x in p]) for p in split]
+        self.tokenizer, self.memo = Tokenizer.from_file(path), Memo()
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and all ids."""
+        parts = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
+        ids = [e.ids for e in parts]
+        return np.array([len(x) for x in ids], np.int32), np.array([i for x in ids for i in x], np.uint32)
+
+    def _encode_lines(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces without white space but for one leading blank: a line break between two is an id of its own."""
+        sizes, all_ids = [], []
+        for i in range(0, len(pieces), 20_000):
+            part = pieces[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+            breaks = ids == self.line[0]
+            ends = np.append(np.flatnonzero(breaks), len(ids))
+            sizes.append(np.diff(np.append(-1, ends)) - 1)
+            all_ids.append(ids[~breaks])
+        return np.concatenate(sizes).astype(np.int32), np.concatenate(all_ids)
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a few texts, and how many each has."""
+        data, n = texts.data, len(texts.bounds) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        starts = piece_starts(texts)
+        lengths = np.diff(np.append(starts, len(data)))
+        place = np.arange(len(data)) - np.repeat(starts, lengths)
+        hashes = mix(np.add.reduceat(VALUE[data] * stream(41, int(lengths.max()))[place], starts))
+        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at, known = self.memo.find(unique)
+        if not known.all():
+            if len(self.memo.hashes) > MEMO or len(self.memo.ids) > 8 * MEMO:
+                self.memo = Memo()
+                known[:] = False
+            new = first[~known]
+            raw = data.tobytes()
+            pieces = [raw[a:b] for a, b in zip(starts[new].tolist(), (starts[new] + lengths[new]).tolist(), strict=True)]
+            odd = (KIND[data] & (SPACE | LEAD)) != 0
+            odd[starts] &= (data[starts] != 32) | (lengths == 1)
+            plain = ~np.maximum.reduceat(odd, starts)[new] if len(self.line) == 1 else np.zeros(len(new), bool)
+            for which, encode in ((plain, self._encode_lines), (~plain, self._encode)):
+                if which.any():
+                    self.memo.add(unique[~known][which], *encode([p for p, w in zip(pieces, which, strict=True) if w]))
+            at, _ = self.memo.find(unique)
+        size, where = self.memo.size[at][inverse], self.memo.at[at][inverse]
+        before = np.cumsum(size) - size
+        ids = self.memo.ids[np.arange(int(size.sum())) + np.repeat(where - before, size)]
+        owner = np.searchsorted(texts.bounds, starts, "right") - 1
+        return ids, np.bincount(owner, size, minlength=n).astype(np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def _tokenize(path: str, capacity: int, with_ids: bool):
-    end, width = END_ID.to_bytes(4, "little"), 4 * capacity
-
-    def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-        i = size = 0
-        for j, t in enumerate(texts):
-            if size + len(t) > STEP_CHARS and j > i:
-                yield i, j
-                i, size = j, 0
-            size += len(t)
-        yield i, len(texts)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:  # a worker keeps it for its next tasks
             _ENCODERS[path] = Encoder(path)
-        encoder = _ENCODERS[path]
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for i, j in groups(texts) if texts else ():
-                ids = [x + end for x in encoder.encode(texts[i:j])]
-                cut = [[x[k : k + width] for k in range(0, len(x), width)] for x in ids]
+            for texts in slices(batch.column("text"), STEP):
+                ids, counts = _ENCODERS[path].encode(texts)
+                ends = np.cumsum(counts)
+                raw, counts = np.insert(ids, ends, np.uint32(END_ID)).astype("<u4").tobytes(), counts + 1
+                ends = np.cumsum(counts)
+                cut = [
+                    [raw[4 * k : 4 * min(k + capacity, b)] for k in range(a, b, capacity)]
+                    for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)
+                ]
                 columns = [
-                    batch.column("doc_id")[i:j],
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    batch.column("doc_id")[texts.rows],
+                    pa.array(counts),
                     pa.array([[zlib.crc32(p) for p in c] for c in cut], pa.list_(pa.int64())),
                 ]
                 if with_ids:
