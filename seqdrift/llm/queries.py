@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqdrift.llm import decontaminate, language, lm, neardup, packing, quality, secrets, sharding
+from seqdrift.llm import decontaminate, language, lm, neardup, packing, quality, secrets, sharding, suffixes
 from seqdrift.llm.base import documents, remainder, shipped
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -168,3 +168,24 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = lm.score(docs, lm.training_rows(docs))
     return out.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+OP5_SQL = r"""
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as ws from documents),
+g as (
+  select doc_id, i, md5(array_to_string(ws[i + 1 : i + 50], ' ')) as h
+  from (select doc_id, ws, unnest(range(0, len(ws) - 49)) as i from w where len(ws) >= 50)),
+r as (select h from g group by h having min(doc_id) <> max(doc_id)),
+k as (select distinct doc_id, i from g where h in (select h from r)),
+s as (select *, i > lag(i) over (partition by doc_id order by i) + 50 as new from k),
+n as (select *, sum(coalesce(new, true)::int) over (partition by doc_id order by i) as run from s)
+select doc_id, min(i)::bigint as first_word, (max(i) + 50)::bigint as end_word, (max(i) + 50 - min(i))::bigint as n_words
+from n group by doc_id, run
+"""
+
+
+@query("op5_repeated_passages", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(documents(spark, sf_dir), length=50)
