@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqdrift.llm import decontaminate, language, lm, neardup, packing, quality, secrets, sharding, suffixes
+from seqdrift.llm import decontaminate, language, licenses, lm, neardup, packing, quality, secrets, sharding, suffixes
 from seqdrift.llm.base import documents, remainder, shipped
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -189,3 +189,9 @@ from n group by doc_id, run
 @query("op5_repeated_passages", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(documents(spark, sf_dir), length=50)
+
+
+@query("op9_licence_paragraphs")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return licenses.find_licences(docs, licenses.train(docs))
