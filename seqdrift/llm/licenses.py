@@ -73,16 +73,18 @@ TEMPLATES: dict[str, list[str]] = {
 NONE, UNKNOWN = "none", "unknown"
 FAMILIES = [*sorted(TEMPLATES), NONE]
 BITS = 14
-LONG, WINDOW, STRIDE = 60, 40, 20  # words: longer lines are read in windows, so far apart
+LONG, WINDOW, STRIDE = 24, 16, 8  # words: longer lines are read in windows, so far apart
 
 
 class Parts(NamedTuple):
-    """Paragraphs of some texts: text, line within it, first and end word."""
+    """Paragraphs of some texts: text, line within it, first and end word, first and end word of the line."""
 
     text: np.ndarray
     line: np.ndarray
     first: np.ndarray
     end: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
 
 def paragraphs(data: np.ndarray, bounds: np.ndarray, words: Words) -> Parts:
@@ -98,7 +100,7 @@ def paragraphs(data: np.ndarray, bounds: np.ndarray, words: Words) -> Parts:
     begin = first[which] + step * STRIDE
     end = np.where(size[which] > LONG, np.minimum(begin + WINDOW, first[which] + size[which]), first[which] + size[which])
     line = above[first] - np.searchsorted(breaks, bounds[text[first]])
-    return Parts(text[first][which], line[which], begin, end)
+    return Parts(text[first][which], line[which], begin, end, first[which], (first + size)[which])
 
 
 def slots(words: Words) -> np.ndarray:
@@ -150,7 +152,7 @@ def variations(seed: int, each: int, noise: list[str]) -> tuple[list[str], list[
         for k in range(each):
             own = templates[k % len(templates)].split(" ")
             kept = [w for w in own if k < len(templates) or draw.random() > 0.1] or own
-            before, after = ([draw.choice(noise) for _ in range(draw.randrange(4))] if noise and k >= len(templates) else [] for _ in range(2))
+            before, after = ([draw.choice(noise) for _ in range(draw.randrange(9))] if noise and k >= len(templates) else [] for _ in range(2))
             texts.append(" ".join([*before, *kept, *after]))
             target.append(FAMILIES.index(family))
     return texts, target
@@ -161,7 +163,8 @@ def whole(texts: list[str]) -> tuple[Words, Parts]:
     [part] = slices(pa.array(texts, pa.string()), 1 << 40)
     words = words_of(part, ALNUM)
     n = np.arange(len(texts))
-    return words, Parts(n, n * 0, words.first[:-1], words.first[1:])
+    a, b = words.first[:-1], words.first[1:]
+    return words, Parts(n, n * 0, a, b, a, b)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -169,7 +172,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def fit(lines: list[str], rounds: int = 150, rate: float = 2.0, least: float = 0.5, seed: int = 0) -> Model:
+def fit(lines: list[str], rounds: int = 200, rate: float = 2.0, least: float = 0.5, seed: int = 0) -> Model:
     """Learns from the templates and from ordinary lines."""
     templates = template_pairs()
     lines = sorted({x for x in lines if any(c.isalnum() for c in x)})
@@ -244,7 +247,8 @@ def _scan(model: Model, enough: float):
                     for k in np.flatnonzero(family != none).tolist():
                         text, a, b = int(parts.text[k]), int(parts.first[k]), int(parts.end[k])
                         name = (*FAMILIES, UNKNOWN)[family[k]]
-                        pairs = word_pairs(words, a, b)
+                        # a long notice reaches over its window
+                        pairs = word_pairs(words, max(a - WINDOW, int(parts.low[k])), min(b + WINDOW, int(parts.high[k])))
                         look = [name] if name in templates else sorted(templates)
                         share, which, of = max(((*likeness(pairs, templates[f]), f) for f in look), key=lambda x: x[0])
                         zero = texts.bounds[text]
@@ -264,12 +268,12 @@ def _scan(model: Model, enough: float):
 
 
 def train(docs: DataFrame, negatives: int = 4000) -> Model:
-    """A model from about `negatives` lines of the corpus (of at most LONG words each) and the templates."""
+    """A model from about `negatives` lines of the corpus (of at most 60 words each) and the templates."""
     ids = docs.where("text is not null").select(F.xxhash64("text").alias("key"), "text")
     total = docs.count()
     lines = ids.where(F.pmod("key", F.lit(1 << 30)) < int(min(1.0, negatives / 4 / max(total, 1)) * (1 << 30)))
     lines = lines.select(F.explode(F.slice(F.shuffle(F.split("text", "\n"), seed=0), F.lit(1), F.lit(4))).alias("x"))
-    lines = lines.select(F.array_join(F.slice(F.split("x", " "), F.lit(1), F.lit(LONG)), " ").alias("x")).limit(2 * negatives)
+    lines = lines.select(F.array_join(F.slice(F.split("x", " "), F.lit(1), F.lit(60)), " ").alias("x")).limit(2 * negatives)
     return fit([r["x"] for r in lines.collect()])
 
 

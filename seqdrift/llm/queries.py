@@ -194,4 +194,5 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_licence_paragraphs")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return licenses.find_licences(docs, licenses.train(docs))
+    found = licenses.find_licences(docs, licenses.train(docs))
+    return found.where("confirmed or family = 'unknown' and similarity >= 0.3")
