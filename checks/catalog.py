@@ -84,7 +84,7 @@ def features_b(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quantizer_b(spark: SparkSession, sf: str, order: int = 0, mask: tuple[str, ...] = (), eps: float = EPS) -> DataFrame:
-    return FT.fit(features_b(spark, sf), order, eps, eps, mask, exact=True)
+    return FT.fit(features_b(spark, sf), order, eps, eps, mask, strict=False, exact=True)
 
 
 def profile_b(spark: SparkSession, sf: str, order: int, mask: tuple[str, ...] = NO_TIME, eps: float = EPS) -> C.Profile:
@@ -93,7 +93,7 @@ def profile_b(spark: SparkSession, sf: str, order: int, mask: tuple[str, ...] =
 
 
 def fitted_b(features: DataFrame, order: int = 0, mask: tuple[str, ...] = NO_TIME, eps: float = EPS) -> Quantizer:
-    return FT.fitted(features, order, epsilon=eps, delta=eps, mask=mask, exact=True)
+    return FT.fitted(features, order, epsilon=eps, delta=eps, mask=mask, strict=False, exact=True)
 
 
 # ---------------------------------------------------------------- flows (F)
@@ -360,7 +360,7 @@ def stats_display(spark, sf):
 def _planned(spark, sf, order: int, mask: tuple[str, ...] = ()) -> DataFrame:
     b = features_b(spark, sf)
     quantiles = None if "timestamp" in mask else S.exact_quantiles(b, columns=("t",))
-    return FT.plan_bins(settled(S.moments(b), "moments"), S.size_frequencies(b), quantiles, order, EPS, EPS, mask)
+    return FT.plan_bins(settled(S.moments(b), "moments"), S.size_frequencies(b), quantiles, order, EPS, EPS, mask, strict=False)
 
 
 for _order in (0, 1, 2):
@@ -370,7 +370,7 @@ for _order in (0, 1, 2):
         f"select {', '.join(big(c, c) for c in ('idx', 'n', 'k', 'root', 'budget'))} from bud{_x}", f"bud{_x}"))
     def sample_budget(spark, sf, order=_order):
         moments = S.moments(T.order_features(spark, sf))
-        counts = FT.cut_positions(FT.samples_per_position(moments, set(FEATURES)), EPS, EPS)
+        counts = FT.cut_positions(FT.samples_per_position(moments, set(FEATURES)), EPS, EPS, strict=False)
         return pick(FT.budgets(counts, order, EPS, set(FEATURES)))
 
     @query(f"bin_plan_order{_order}", X.sql(f"""select {', '.join(big(c, c) for c in ('idx', 'n', 'k', 'budget', 'size_fd', 'size_bins', 'time_fd', 'time_bins'))},
@@ -385,13 +385,21 @@ _x = X.fit(0, 0.05, 0.05)
 @query("sample_budget_default", X.sql(f"select {', '.join(big(c, c) for c in ('idx', 'n', 'k'))} from bud{_x}", f"bud{_x}"))
 def sample_budget_default(spark, sf):
     counts = T.order_features(spark, sf).groupBy("idx").agg(F.count("*").alias("n"))
-    return pick(FT.budgets(FT.cut_positions(counts, 0.05, 0.05), 0, 0.05, set(FEATURES)), "idx", "n", "k")
+    return pick(FT.budgets(FT.cut_positions(counts, 0.05, 0.05, strict=False), 0, 0.05, set(FEATURES)), "idx", "n", "k")
 
 
 @query("position_cut", X.sql(f"select {big('idx', 'idx')}, {big('n', 'n')} from bud{_x} where idx < 3", f"bud{_x}"))
 def position_cut(spark, sf):
     counts = T.order_features(spark, sf).groupBy("idx").agg(F.count("*").alias("n"))
-    return pick(FT.cut_positions(counts, 0.05, 0.05, max_packets=3))
+    return pick(FT.cut_positions(counts, 0.05, 0.05, max_packets=3, strict=False))
+
+
+@query("positions_left_out", X.sql(f"""select {big('count(*)', 'positions')}, {big('coalesce(sum(n), 0)', 'samples')} from b_n
+  where idx not in (select idx from bud{X.fit(0)})""", "b_n", f"bud{X.fit(0)}"))
+def positions_left_out(spark, sf):
+    """What the cut of the fitted queries leaves out; without it, a fit stops at the first thin position."""
+    counts = T.order_features(spark, sf).groupBy("idx").agg(F.count("*").alias("n"))
+    return pick(FT.left_out(counts, FT.cut_positions(counts, EPS, EPS, strict=False)))
 
 
 _x = X.fit(0, mask=NO_TIME)
@@ -485,12 +493,12 @@ def quantizer_fit_from_merged_stats(spark, sf):
     b = features_b(spark, sf)
     moments = S.merge_moments(S.moments(b, by=("side",)))
     freq = S.size_frequencies(b, by=("side",)).groupBy("idx", "value").agg(F.sum("freq").alias("freq"))
-    return _quantizer_rows(FT.fit_from_stats(moments, freq, None, 1, EPS, EPS, NO_TIME), time=False)
+    return _quantizer_rows(FT.fit_from_stats(moments, freq, None, 1, EPS, EPS, NO_TIME, strict=False), time=False)
 
 
 @query("sketched_quantizer")
 def sketched_quantizer(spark, sf):
-    return pick(QZ.bin_counts(FT.fit(T.order_features(spark, sf), 0, EPS, EPS)))
+    return pick(QZ.bin_counts(FT.fit(T.order_features(spark, sf), 0, EPS, EPS, strict=False)))
 
 
 # ---------------------------------------------------------------- quantizing (P)
@@ -560,7 +568,7 @@ def row_features(spark, sf):
 def budget_guard(spark, sf):
     b = features_b(spark, sf)
     k = b.groupBy("idx").agg(F.floor(F.count("*") * (EPS * EPS)).cast("long").alias("k"))
-    return pick(QZ.bin_counts(FT.guarded(FT.fit(b, 0, EPS, EPS, exact=True).join(k, "idx"))), "idx", "outcomes")
+    return pick(QZ.bin_counts(FT.guarded(FT.fit(b, 0, EPS, EPS, strict=False, exact=True).join(k, "idx"))), "idx", "outcomes")
 
 
 @query("bin_intervals", X.sql(f"""select {big('idx', 'idx')}, feature, {big('bin', 'bin')}, label from (
@@ -923,35 +931,35 @@ def _exported(spark, sf, **options) -> DataFrame:
 SIGNED = "case when d = 1 then s else -s end"
 
 
-@query("export_raw", X.sql(X.wide("a_gap", WIDTH, "t", SIGNED), "a_gap"))
+@query("export_raw", X.sql(X.wide_flows("a_gap", WIDTH, "t", SIGNED), "a_gap", "a_flow"))
 def export_raw(spark, sf):
     return pick(_exported(spark, sf))
 
 
-@query("export_rtt", X.sql(X.wide("a_gap", WIDTH, "raw", SIGNED, ", cast(round(rtt, 6) as double) as rtt"), "a_gap"))
+@query("export_rtt", X.sql(X.wide_flows("a_gap", WIDTH, "raw", SIGNED, rtt=True), "a_gap", "a_flow"))
 def export_rtt(spark, sf):
     return pick(_exported(spark, sf, include_rtt=True))
 
 
-@query("export_no_timing", X.sql(X.wide("a_gap", WIDTH, None, SIGNED), "a_gap"))
+@query("export_no_timing", X.sql(X.wide_flows("a_gap", WIDTH, None, SIGNED), "a_gap", "a_flow"))
 def export_no_timing(spark, sf):
     return pick(_exported(spark, sf, skip_timing=True))
 
 
-@query("export_no_direction", X.sql(X.wide("a_gap", WIDTH, "t", "s"), "a_gap"))
+@query("export_no_direction", X.sql(X.wide_flows("a_gap", WIDTH, "t", "s"), "a_gap", "a_flow"))
 def export_no_direction(spark, sf):
     return pick(_exported(spark, sf, mask=("direction",)))
 
 
-@query("export_min_packets", X.sql(X.wide(
-    "a_prep", WIDTH, "t", SIGNED, where="conn_id in (select conn_id from a_prep group by conn_id having count(*) >= 60)"), "a_prep"))
+@query("export_min_packets", X.sql(X.wide_flows(
+    "a_prep", WIDTH, "t", SIGNED, where="f.conn_id in (select conn_id from a_prep group by conn_id having count(*) >= 60)"), "a_prep", "a_flow"))
 def export_min_packets(spark, sf):
     return pick(_exported(spark, sf, strip=True, min_packets=60))
 
 
-@query("export_sampled", X.sql(X.wide(
+@query("export_sampled", X.sql(X.wide_flows(
     "a_gap", WIDTH, "t", SIGNED,
-    where=f"conn_id in (select conn_id from (select distinct conn_id from a_gap) order by {u(str(SEED), 'conn_id')}, conn_id limit 40)"), "a_gap"))
+    where=f"f.conn_id in (select conn_id from a_flow where rtt > 0 order by {u(str(SEED), 'conn_id')}, conn_id limit 40)"), "a_gap", "a_flow"))
 def export_sampled(spark, sf):
     return pick(_exported(spark, sf, rows=40, rate=0.01, seed=SEED))
 
@@ -1031,14 +1039,14 @@ def _names(*names: str) -> Column:
 
 
 @query("paired_logs", """select '/data/site-' || c_nationkey || '/tap-' || c_custkey || case when c_custkey % 4 = 3 then '/later' else '' end as dir,
-  'obfuscation.log' as flow_log, 'packets.log.gz' as packet_log from customer where c_custkey % 4 in (0, 3)""")
+  'connections.log' as flow_log, 'packets.log.gz' as packet_log from customer where c_custkey % 4 in (0, 3)""")
 def paired_logs(spark, sf):
     """Some folders have one log of each kind, some miss one, some have two, some have them in a folder below."""
     m = F.col("c_custkey") % 4
-    files = (F.when(m == 0, _names("obfuscation.log", "packets.log.gz")).when(m == 1, _names("obfuscation.log", "notes.txt"))
-             .when(m == 2, _names("obfuscation.a.log", "obfuscation.b.log", "packets.log"))
-             .otherwise(_names("obfuscation.log", "packets.log", "later/obfuscation.log", "later/packets.log.gz")))
-    return L.paired_logs(_listing(spark, sf, files))
+    files = (F.when(m == 0, _names("connections.log", "packets.log.gz")).when(m == 1, _names("connections.log", "notes.txt"))
+             .when(m == 2, _names("connections.a.log", "connections.b.log", "packets.log"))
+             .otherwise(_names("connections.log", "packets.log", "later/connections.log", "later/packets.log.gz")))
+    return L.paired_logs(_listing(spark, sf, files), flow_name=r"^connections.*\.log")
 
 
 @query("flow_shards", "select '/data/site-' || c_nationkey || '/tap-' || c_custkey as dir, unnest(case when c_custkey % 2 = 0 then ['flows.parquet'] else ['flows-a.parquet', 'flows-b.parquet'] end) as name from customer")
@@ -1079,7 +1087,7 @@ def _streamed(spark, sf) -> str:
     rows = events.unionByName(ends)
     for low, high in ((0, 25), (25, 60), (60, None)):
         part = rows.where((F.col("arrival") >= low) & (F.lit(True) if high is None else F.col("arrival") < high))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
     out = shared_dir(spark, "assembled")
     run = ST.stream_assemble(ST.packet_stream(spark, path, 1), out, f"{out}/checkpoint", available_now=True)
     run.awaitTermination()
@@ -1101,7 +1109,7 @@ def stream_profile(spark, sf):
     b = features_b(spark, sf)
     q = fitted_b(b)
     path, out = shared_dir(spark, "packets"), shared_dir(spark, "counts")
-    b.repartition(3).write.parquet(path)
+    b.write.parquet(path)
     rows = spark.readStream.schema(SC.FEATURE_ROWS).option("maxFilesPerTrigger", 1).parquet(path)
     run = SC.stream_profile(rows, q, "side", out, f"{out}-checkpoint", available_now=True)
     run.awaitTermination()

@@ -42,7 +42,7 @@ def big(expr: str, name: str) -> str:
 def u(*parts: str) -> str:
     """Uniform of the md5 of its parts, as in functions.numeric.uniform."""
     text = "concat_ws('|', " + ", ".join(f"cast({p} as varchar)" for p in parts) + ")"
-    return f"(cast(('0x' || substr(md5({text}), 1, 8)) as ubigint) / 4294967296.0)"
+    return f"(cast(('0x' || substr(md5({text}), 1, 13)) as ubigint) / 4503599627370496.0)"
 
 
 RTT = "((synack_ts - syn_ts) + 2.0 * ((ack_ts - synack_ts) / 2.0))"
@@ -71,14 +71,14 @@ block("a_full", ("a_flow", "a_pkt"), "select p.*, f.rtt, f.ssl_est, f.len, f.ver
 block("a_gap", ("a_full",), """
 select conn_id, idx, direction as d, size as s, rtt,
   coalesce(ts - lag(ts) over (partition by conn_id, direction order by idx), 0.0) as raw,
-  coalesce(ts - lag(ts) over (partition by conn_id, direction order by idx), 0.0) / rtt as t
-from a_full where rtt > 0""")
+  coalesce(ts - lag(ts) over (partition by conn_id, direction order by idx), 0.0) / case when rtt > 0 then rtt end as t
+from a_full""")
 block("a_strip", ("a_full",), """
 select conn_id, idx - (ssl_est + 1) as idx, ts, direction, size, rtt from a_full where idx > ssl_est""")
 block("a_prep", ("a_flow", "a_strip"), """
 select conn_id, idx, direction as d, size as s,
-  coalesce(ts - lag(ts) over (partition by conn_id, direction order by idx), 0.0) / rtt as t
-from a_strip where rtt > 0""")
+  coalesce(ts - lag(ts) over (partition by conn_id, direction order by idx), 0.0) / case when rtt > 0 then rtt end as t
+from a_strip""")
 
 # ---- order lines as flows
 block("b", (), """
@@ -344,3 +344,14 @@ def wide(src: str, n: int, t: str | None, s: str | None, extra: str = "", where:
             if expr is not None:
                 cols.append(f"cast(round(coalesce(max(case when idx = {i} then {expr} end), -1), 6) + 0.0 as double) as {name}_{i:03d}")
     return f"select conn_id{extra}, {', '.join(cols)} from {src} where {where} group by conn_id{extra.replace('cast(round(rtt, 6) as double) as rtt', 'rtt')} having count(*) filter (idx < {n}) > 0"
+
+
+def wide_flows(src: str, n: int, t: str | None, s: str | None, rtt: bool = False, where: str = "true") -> str:
+    """Pivot of a feature block, written from the flow table: also a flow without packets has a row, all -1."""
+    cols = ["cast(round(any_value(f.rtt), 6) as double) as rtt"] if rtt else []
+    for i in range(n):
+        for name, expr in (("t", t), ("s", s)):
+            if expr is not None:
+                cols.append(f"cast(round(coalesce(max(case when g.idx = {i} then {expr} end), -1), 6) + 0.0 as double) as {name}_{i:03d}")
+    usable = "f.rtt > 0 and " if t == "t" else ""
+    return f"select f.conn_id, {', '.join(cols)} from a_flow f left join {src} g on g.conn_id = f.conn_id where {usable}({where}) group by f.conn_id"

@@ -65,12 +65,12 @@ def ln1p(x: Column) -> Column:
 
 
 def uniform(*parts: str | int | Column) -> Column:
-    """A number in [0, 1) fixed by its arguments: 32 bits of an md5.
+    """A number in [0, 1) fixed by its arguments: 52 bits of an md5, as many as a double holds exactly.
 
     The same on any partitioning and on every retry, unlike a random generator per partition.
     """
     text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
 def rounded(x: Column, digits: int = 6) -> Column:

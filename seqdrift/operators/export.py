@@ -30,6 +30,13 @@ def _wide(rows: DataFrame, key: list[str], num_packets: int, values: dict[str, C
     return rows.where(F.col("idx") < num_packets).groupBy(*key).agg(*columns)
 
 
+def for_every_flow(matrix: DataFrame, flows: DataFrame) -> DataFrame:
+    """The matrix with a row for each of `flows` (conn_id, perhaps rtt): padding alone where a flow has no packets."""
+    values = [c for c in matrix.columns if c not in flows.columns]
+    joined = flows.join(matrix.select("conn_id", *values), "conn_id", "left")
+    return joined.select(*flows.columns, *[F.coalesce(c, F.lit(PADDING)).alias(c) for c in values])
+
+
 def _check(features: Iterable[str]) -> set[str]:
     features = set(features)
     if features - set(FEATURES):

@@ -34,10 +34,10 @@ def samples_per_position(moments: DataFrame, active: set[str]) -> DataFrame:
 
 
 def cut_positions(counts: DataFrame, epsilon: float, delta: float, max_packets: int | None = None,
-                  strict: bool = False) -> DataFrame:
-    """Positions with enough samples: all before the first one that has too few.
+                  strict: bool = True) -> DataFrame:
+    """Positions below `max_packets`; too few samples at any of them is an error.
 
-    With `strict` too few samples at any kept position is an error instead.
+    Without `strict` the positions before the first one that has too few are kept instead; `left_out` counts the rest.
     """
     if max_packets is not None and max_packets <= 0:
         raise ValueError("max_packets must be greater than 0")
@@ -47,8 +47,14 @@ def cut_positions(counts: DataFrame, epsilon: float, delta: float, max_packets:
     if strict:
         message = F.concat(F.lit("not enough samples at position "), F.col("idx").cast("string"))
         return counts.where(F.when(enough, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
-    # one row per position is left at this point, so a single ordered pass is cheap
-    return counts.withColumn("_ok", F.bool_and(enough).over(W.orderBy("idx"))).where("_ok").drop("_ok")
+    first_thin = counts.where(~enough).agg(F.min("idx").alias("_thin"))  # one row
+    return counts.join(F.broadcast(first_thin)).where(F.col("_thin").isNull() | (F.col("idx") < F.col("_thin"))).drop("_thin")
+
+
+def left_out(counts: DataFrame, kept: DataFrame) -> DataFrame:
+    """Positions and samples that a cut leaves out: one row (positions, samples)."""
+    return counts.join(kept.select("idx"), "idx", "left_anti").agg(
+        F.count("*").alias("positions"), F.coalesce(F.sum("n"), F.lit(0)).alias("samples"))
 
 
 def budgets(counts: DataFrame, order: int, epsilon: float, active: set[str]) -> DataFrame:
@@ -145,7 +151,7 @@ def guarded(quantizer: DataFrame, k: str = "k") -> DataFrame:
 
 
 def fit(features: DataFrame, order: int = 0, epsilon: float = DEFAULT_EPSILON, delta: float = DEFAULT_DELTA,
-        mask: Iterable[str] = (), max_packets: int | None = None, strict: bool = False, exact: bool = False) -> DataFrame:
+        mask: Iterable[str] = (), max_packets: int | None = None, strict: bool = True, exact: bool = False) -> DataFrame:
     """Quantizer of a feature frame: one row (idx, t, d, s) per position, computed at once and settled.
 
     Quantiles of time come from a sketch, or exactly with `exact`. Reads the features twice (once more
@@ -170,7 +176,7 @@ def fitted(features: DataFrame, order: int = 0, **options) -> Quantizer:
 
 
 def plan_bins(moments: DataFrame, freq: DataFrame, quantiles: DataFrame | None, order: int, epsilon: float, delta: float,
-              mask: Iterable[str] = (), max_packets: int | None = None, strict: bool = False) -> DataFrame:
+              mask: Iterable[str] = (), max_packets: int | None = None, strict: bool = True) -> DataFrame:
     """Bin counts per position before the quantizers are built."""
     active = unmasked(mask)
     counts = cut_positions(samples_per_position(moments, active), epsilon, delta, max_packets, strict)
@@ -181,7 +187,7 @@ def plan_bins(moments: DataFrame, freq: DataFrame, quantiles: DataFrame | None,
 
 def fit_from_stats(moments: DataFrame, freq: DataFrame, quantiles: DataFrame | None, order: int = 0,
                    epsilon: float = DEFAULT_EPSILON, delta: float = DEFAULT_DELTA, mask: Iterable[str] = (),
-                   max_packets: int | None = None, strict: bool = False) -> DataFrame:
+                   max_packets: int | None = None, strict: bool = True) -> DataFrame:
     """Quantizer from saved or merged statistics."""
     active = unmasked(mask)
     planned = settled(plan_bins(moments, freq, quantiles, order, epsilon, delta, mask, max_packets, strict), "plan")

@@ -43,7 +43,7 @@ def with_rtt(flows: DataFrame) -> DataFrame:
 
 
 def usable_rtt(flows: DataFrame) -> DataFrame:
-    """Flows with a positive round trip. A zero one has no normalised gaps, so such flows are left out."""
+    """Flows with a positive round trip: those that have normalised gaps."""
     return flows.where(F.col("rtt") > 0)
 
 
@@ -90,15 +90,16 @@ def preprocess(flows: DataFrame, packets: DataFrame, keep: Column | None = None,
                normalise: bool = True, chunk: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Filter, strip, normalise, in that order: the feature frame (conn_id, idx, t, d, s).
 
-    The filter runs on the flow table before any packet is shuffled. `carry` names flow columns to keep.
+    The filter runs on the flow table before any packet is shuffled. `carry` names flow columns to keep. A flow
+    without a positive round trip has a null time, its directions and sizes stay.
     """
     chosen = flows.where(everything() if keep is None else keep)
-    chosen = usable_rtt(with_rtt(chosen)) if normalise else with_rtt(chosen)
+    chosen = with_rtt(chosen)
     side = chosen.select("conn_id", "rtt", "ssl_est", *carry)
     joined = packets.join(side, "conn_id")
     if strip:
         joined = strip_handshake(joined)
-    gaps = directional_gaps(joined, F.col("rtt") if normalise else None, chunk)
+    gaps = directional_gaps(joined, F.when(F.col("rtt") > 0, F.col("rtt")) if normalise else None, chunk)
     return gaps.select("conn_id", *carry, *([] if normalise else ["rtt"]), "idx", "t",
                        F.col("direction").alias("d"), F.col("size").alias("s"))
 

@@ -78,6 +78,7 @@ def sample_symbols(cells: DataFrame, cdf: DataFrame) -> DataFrame:
 
 def generate_order0(hist: DataFrame, flows: int, length: int, seed: int) -> DataFrame:
     """Independent symbols per position: (conn_id, idx, sym)."""
+    check_profile(hist, 0, length)
     cdf = cumulated(hist.where(F.col("idx") < length))
     return sample_symbols(draws(hist.sparkSession, flows, length, seed), cdf)
 
@@ -94,6 +95,16 @@ def check_length(meta: DataFrame, length: int) -> None:
         raise ValueError(f"length {length} exceeds the {0 if available is None else available + 1} positions of the profile")
 
 
+def check_profile(hist: DataFrame, order: int, length: int) -> None:
+    """The profile must reach as far as the sequences and be of the order asked for. One row is collected."""
+    found = hist.agg(F.max("idx").alias("idx"), F.max(F.size("ctx")).alias("depth")).first()
+    available = 0 if found["idx"] is None else found["idx"] + 1
+    if length > available:
+        raise ValueError(f"length {length} exceeds the {available} positions of the profile")
+    if available and found["depth"] != min(order, available - 1):
+        raise ValueError(f"the profile has contexts of {found['depth']}, order {order} asked for")
+
+
 def shorter_contexts(hist: DataFrame, order: int) -> DataFrame:
     """The profile at every context length: (level, idx, ctx, sym, cnt), contexts being suffixes."""
     levels = F.sequence(F.lit(0), F.size("ctx"))
@@ -113,6 +124,7 @@ def generate(hist: DataFrame, quantizer: Quantizer, order: int, flows: int, leng
     if order == 0:
         return _generate_independent(hist, quantizer, flows, length, seed, raise_time)
     spark = hist.sparkSession
+    check_profile(hist, order, length)
     levels = settled(shorter_contexts(hist.where(F.col("idx") < length), order), "contexts")
     model = settled(sliced(cumulated(levels, ("level", "idx", "ctx"))), "model", by="idx")
     quantizer = quantizer.for_drawing()

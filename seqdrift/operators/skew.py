@@ -125,6 +125,8 @@ def previous_by_direction(df: DataFrame, key: str, value: str, direction: Column
     if chunk:
         df = df.withColumn("_chunk", F.floor(F.col("idx") / chunk).cast("long"))
         part, order = [key, "_chunk"], ("idx",)
+        # a join by the key alone would satisfy the window below and leave all chunks of a key in one task
+        df = df.repartition(*part)
     before = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
 
     def last_of(side: bool) -> Column:
@@ -136,8 +138,8 @@ def previous_by_direction(df: DataFrame, key: str, value: str, direction: Column
         return df.withColumn("prev", inside).drop("_dir")
     earlier = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     carry = df.groupBy(*part).agg(
-        F.max_by(F.when(F.col("_dir"), F.col(value)), F.when(F.col("_dir"), F.col("idx"))).alias("_fwd"),
-        F.max_by(F.when(~F.col("_dir"), F.col(value)), F.when(~F.col("_dir"), F.col("idx"))).alias("_bwd"),
+        F.max_by(F.when(F.col("_dir"), F.col(value)), F.when(F.col("_dir") & F.col(value).isNotNull(), F.col("idx"))).alias("_fwd"),
+        F.max_by(F.when(~F.col("_dir"), F.col(value)), F.when(~F.col("_dir") & F.col(value).isNotNull(), F.col("idx"))).alias("_bwd"),
     )
     carry = carry.select(
         *part, *[F.last(c, ignorenulls=True).over(earlier).alias(c) for c in ("_fwd", "_bwd")]

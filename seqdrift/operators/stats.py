@@ -123,9 +123,10 @@ def exact_quantiles(features: DataFrame, by: tuple[str, ...] = (), columns: tupl
     rows = F.array(*[F.struct(F.lit(feature_of[c]).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
     counted = (
         features.select(*by, "idx", F.explode(rows).alias("r")).select(*by, "idx", "r.feature", "r.v")
-        .groupBy(*keys, "v").agg(F.count("*").alias("c"))
+        .where(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.count("*").alias("c"))
     )
-    pieces = 64
+    # a piece holds about `limit` values at most
+    pieces = min(4096, max(64, 2 * largest // max(limit, 1)))
     cuts = counted.groupBy(*keys).agg(
         F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 1000).alias("cuts")
     )

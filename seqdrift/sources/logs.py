@@ -8,8 +8,7 @@ from pyspark.sql import types as T
 
 from seqdrift.schema import FLOW_LOG, PACKET_LOG, PROBE_LOG
 
-# Names of the two logs of a capture.
-FLOW_LOG_NAME = r"^obfuscation.*\.log"
+FLOW_LOG_NAME = r"^flows.*\.log"
 PACKET_LOG_NAME = r"^packets.*\.log"
 
 
@@ -73,13 +72,13 @@ def leaf_folders(files: DataFrame) -> DataFrame:
     return files.join(dirs.join(ancestors, "dir", "left_anti"), "dir", "left_semi")
 
 
-def paired_logs(files: DataFrame) -> DataFrame:
+def paired_logs(files: DataFrame, flow_name: str = FLOW_LOG_NAME, packet_name: str = PACKET_LOG_NAME) -> DataFrame:
     """(dir, flow_log, packet_log) of leaf folders holding exactly one log of each kind.
 
-    Takes a listing such as `files_below` makes; the two logs of a folder are what `flow_log` and
+    Takes a listing such as `files_below` makes, and patterns of the two names; the two logs of a folder are what `flow_log` and
     `packet_log` read.
     """
-    is_flow, is_packet = F.col("name").rlike(FLOW_LOG_NAME), F.col("name").rlike(PACKET_LOG_NAME)
+    is_flow, is_packet = F.col("name").rlike(flow_name), F.col("name").rlike(packet_name)
     grouped = leaf_folders(files).groupBy("dir").agg(
         F.count_if(is_flow).alias("_f"), F.count_if(is_packet).alias("_p"),
         F.max(F.when(is_flow, F.col("name"))).alias("flow_log"), F.max(F.when(is_packet, F.col("name"))).alias("packet_log"),

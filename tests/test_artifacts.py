@@ -55,12 +55,12 @@ def test_finding_logs(spark, tmp_path):
         os.makedirs(p.parent, exist_ok=True)
         p.write_text("x")
 
-    touch("a", "obfuscation.log"), touch("a", "packets.log.gz")
-    touch("b", "obfuscation.log"), touch("b", "deeper", "obfuscation.1.log"), touch("b", "packets.log"), touch("b", "deeper", "packets.1.log")
-    touch("c", "obfuscation.log"), touch("c", "obfuscation.2.log"), touch("c", "packets.log")
+    touch("a", "connections.log"), touch("a", "packets.log.gz")
+    touch("b", "connections.log"), touch("b", "deeper", "connections.1.log"), touch("b", "packets.log"), touch("b", "deeper", "packets.1.log")
+    touch("c", "connections.log"), touch("c", "connections.2.log"), touch("c", "packets.log")
     touch("d", "flows.parquet", "part-0"), touch("d", "flows.parquet", "part-1"), touch("e", "flows-2.parquet")
     files = L.files_below(spark, str(tmp_path))
-    assert sorted(r["dir"].rsplit("/", 1)[1] for r in L.paired_logs(files).collect()) == ["a", "deeper"]
+    assert sorted(r["dir"].rsplit("/", 1)[1] for r in L.paired_logs(files, flow_name=r"^connections.*\.log").collect()) == ["a", "deeper"]
     assert sorted((r["dir"].rsplit("/", 1)[1], r["name"]) for r in L.shards(files).collect()) == [("d", "flows.parquet"), ("e", "flows-2.parquet")]
 
 
