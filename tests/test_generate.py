@@ -27,7 +27,7 @@ def features(spark):
 
 @pytest.fixture(scope="module")
 def timed(features):
-    q = FT.fitted(features, 1, epsilon=0.1, delta=0.1)
+    q = FT.fitted(features, 1, epsilon=0.1, delta=0.1, strict=False)
     return q, C.build_profile(features, q, 1)
 
 

@@ -188,7 +188,7 @@ def test_domain(spark):
 
 def test_uniform_from_md5(spark):
     row = spark.range(1).select(N.uniform("a"), N.uniform(7, 3, F.lit(12))).first()
-    assert list(row) == [214005177 / 2**32, 1886259562 / 2**32]
+    assert list(row) == [224400693268251 / 2**52, 1977886506867633 / 2**52]
 
 
 def test_unusable_round_trips(spark, one_flow):
