@@ -4,11 +4,12 @@
    (minimiser). Equal windows choose alike, so only suffixes at chosen positions are kept, about one word in twenty.
 2. Chosen runs that occur in one document only are dropped. Of the others the context is read: the words before and
    after, as far as a window around the run can reach. Equal contexts are one entry.
-3. Entries are sorted by run and following words, in ranges that no frequent run can fill; neighbours are compared and
-   their matches extended right and left.
-4. The longest match to the right need not be the longest in all. Where a neighbour leaves windows of an entry open,
-   the windows of the entries of that run are counted by hash, so the result is exact: a word is reported if and only
-   if it lies in a window of `length` words that also occurs in another document.
+3. Entries are sorted by run and following words, and by run and preceding words, in ranges that no frequent run can
+   fill. Neighbours are compared and their matches extended right and left. The longest common stretch to the right and
+   to the left of an entry is one with a neighbour, so no window reaches beyond either.
+4. The longest match to the right need not be the longest in all. Where the matches leave a window within both reaches
+   open, the windows of the entries of that run are counted by hash, so the result is exact: a word is reported if and
+   only if it lies in a window of `length` words that also occurs in another document.
 
 Rows of one id count as one document. Null ids and null texts: nothing to report. Texts shorter than a window neither.
 Other columns are ignored. A result row: doc_id, first_word, end_word (the last one is left out), n_words.
@@ -109,59 +110,73 @@ def common(x: bytes, y: bytes) -> int:
     return int(gap[0]) if len(gap) else n
 
 
-def _neighbours(length: int):
-    """Of sorted entries what their neighbours cover, and whether windows remain open."""
+def _neighbours(length: int, side: str):
+    """Of entries sorted by run and `side` what matches with their neighbours cover, and how far they agree on that side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
-
-        def compared(x: dict, y: dict) -> tuple[int, int] | None:
-            if x["run"] != y["run"] or x["low"] == x["high"] == y["low"] == y["high"]:
-                return None
+        before, rows = None, []
+
+        def opened(x: dict, edge: bool) -> dict:
+            whole = (-(len(x["left"]) // 4), len(x["right"]) // 4)
+            x["found"] = {whole} if x["low"] != x["high"] else set()
+            # what stands beyond the border of a task is not known
+            x["reach"] = len(x[side]) // 4 if edge or x["found"] else 0
+            return x
+
+        def compare(x: dict, y: dict) -> None:
+            if x["run"] != y["run"]:
+                return
             right, left = common(x["right"], y["right"]), common(x["left"], y["left"])
-            return (-left, right) if left + right >= length else None
-
-        def finished(x: dict) -> tuple:
-            ends = (-(len(x["left"]) // 4), len(x["right"]) // 4)
-            done = ends in x["found"]
-            return x["entry"], x["run"], [{"a": a, "b": b} for a, b in sorted(x["found"])], not done
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["entry", "run", "ranges", "open"])
+            for z in (x, y):
+                z["reach"] = max(z["reach"], right if side == "right" else left)
+            if left + right >= length and not x["low"] == x["high"] == y["low"] == y["high"]:
+                for z in (x, y):
+                    z["found"].add((-left, right))
+
+        def out() -> pa.RecordBatch:
+            columns = [
+                pa.array([x["entry"] for x in rows], pa.int64()),
+                pa.array([[{"a": a, "b": b} for a, b in sorted(x["found"])] for x in rows], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+                pa.array([x["reach"] for x in rows], pa.int32()),
+            ]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, ["entry", "ranges", "reach"])
 
         for batch in batches:
-            rows = []
             for x in batch.to_pylist():
-                whole = (-(len(x["left"]) // 4), len(x["right"]) // 4)
-                x["found"] = {whole} if x["low"] != x["high"] else set()
+                x = opened(x, before is None)
                 if before is not None:
-                    if match := compared(before, x):
-                        before["found"].add(match)
-                        x["found"].add(match)
-                    rows.append(finished(before))
+                    compare(before, x)
+                    rows.append(before)
                 before = x
-            yield out(rows)
+            yield out()
         if before is not None:
-            yield out([finished(before)])
+            before["reach"] = len(before[side]) // 4
+            rows.append(before)
+            yield out()
 
     return run
 
 
 def _windows(length: int):
+    """Hashes of the windows of entries whose offsets lie between `first` and `last`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+            n, a, h = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for left, right, first, last in zip(*[batch.column(c).to_pylist() for c in ("left", "right", "first", "last")], strict=True):
                 words = np.concatenate([np.frombuffer(left, "<u4")[::-1], np.frombuffer(right, "<u4")])
-                parts.append((grams(mix(words.astype(np.uint64)), length, 50), len(left) // 4))
-            n = [len(h) for h, _ in parts]
+                zero = len(left) // 4
+                h.append(grams(mix(words[zero + first : zero + last + length].astype(np.uint64)), length, 50))
+                a.append(np.arange(first, last + 1))
+                n.append(last + 1 - first)
             rows = pa.array(np.repeat(np.arange(len(n)), n))
-            a = np.concatenate([np.arange(len(h)) - k for h, k in parts]) if parts else np.zeros(0)
-            h = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(rows) for c in ("entry", "low", "high")], pa.array(a.astype(np.int32)), pa.array(h.view(np.int64))],
+                [
+                    *[batch.column(c).take(rows) for c in ("entry", "low", "high")],
+                    pa.array(np.concatenate(a).astype(np.int32)),
+                    pa.array(np.concatenate(h).view(np.int64)),
+                ],
                 ["entry", "low", "high", "a", "window"],
             )
 
@@ -179,15 +194,25 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     found = written(found.withColumn("entry", F.xxhash64("run", "right", "left")), "contexts")
     entries = found.groupBy("entry", "run", "right", "left").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     entries = written(entries, "entries")
-    compared = written(
-        entries.repartitionByRange("run", "right", "low", "entry")
-        .sortWithinPartitions("run", "right", "low", "entry")
-        .mapInArrow(_neighbours(length), f"entry long, run long, ranges {RANGES}, open boolean"),
-        "neighbours",
+    sides = []
+    for side, other in (("right", "left"), ("left", "right")):
+        order = ["run", side, other, "entry"]
+        dealt = entries.repartitionByRange(*order).sortWithinPartitions(*order)
+        sides.append(written(dealt.mapInArrow(_neighbours(length, side), f"entry long, ranges {RANGES}, reach int"), f"by-{side}"))
+    by_right, by_left = (x.select("entry", F.col("ranges").alias(f"r{i}"), F.col("reach").alias(f"reach{i}")) for i, x in enumerate(sides))
+    compared = by_right.join(by_left, "entry").select("entry", F.array_union("r0", "r1").alias("ranges"), "reach0", "reach1")
+    compared = written(compared, "neighbours")
+    # the windows that another entry may hold too, and whether all of them lie in a match
+    offsets = (
+        entries.join(compared, "entry")
+        .withColumn("first", F.expr("int(-reach1)"))
+        .withColumn("last", F.expr(f"int(reach0 - {length})"))
+        .where("first <= last")
+        .withColumn("open", F.expr(f"exists(sequence(first, last), x -> not exists(ranges, r -> r.a <= x and x + {length} <= r.b))"))
     )
-    unclear = compared.groupBy("run").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("open and n > 1").select("run")
+    unclear = offsets.groupBy("run").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("open and n > 1").select("run")
     windows = written(
-        entries.join(unclear, "run", "left_semi").mapInArrow(_windows(length), f"entry long, low {kind}, high {kind}, a int, window long"),
+        offsets.drop("ranges").join(unclear, "run", "left_semi").mapInArrow(_windows(length), f"entry long, low {kind}, high {kind}, a int, window long"),
         "windows",
     )
     shared = windows.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("window")
