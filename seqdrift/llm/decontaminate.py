@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from seqdrift.llm.words import ALNUM, Words, covered, slices, words_of
 
 END, BREAK, FIRST = 0, 1, 2  # symbols of an index: end of the shard, separator, first benchmark word
+SHARD = 1 << 21  # bytes of text
 RATE = 8  # every so many positions of the text are kept
 
 
@@ -195,7 +196,7 @@ def _scan(windows: Windows):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), SHARD):
                 n = texts.rows.stop - texts.rows.start
                 words, hit, pairs = hits_of(words_of(texts, ALNUM), windows)
                 items: list[list] = [[] for _ in range(n)]
@@ -228,7 +229,7 @@ def _scan(windows: Windows):
 def _without(windows: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), SHARD):
                 clean = np.ones(texts.rows.stop - texts.rows.start, bool)
                 clean[hits_of(words_of(texts, ALNUM), windows).pairs[:, 0]] = False
                 yield batch.slice(texts.rows.start, len(clean)).filter(pa.array(clean))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqdrift.llm.base import written
-from seqdrift.llm.words import Texts, mix, slices, stream
+from seqdrift.llm.words import Texts, hashed, slices
 
 END_ID = 0
 MEMO = 1_500_000  # pieces a worker remembers before it starts afresh
@@ -87,7 +87,6 @@ KIND[list(b".,;:!?")] = POINT
 KIND[65:91] = KIND[97:123] = LETTER
 KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = LEAD
 STEP = 1 << 19  # bytes that are worked on together
-VALUE = stream(40, 256)
 
 
 def piece_starts(texts: Texts) -> np.ndarray:
@@ -168,8 +167,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         starts = piece_starts(texts)
         lengths = np.diff(np.append(starts, len(data)))
-        place = np.arange(len(data)) - np.repeat(starts, lengths)
-        hashes = mix(np.add.reduceat(VALUE[data] * stream(41, int(lengths.max()))[place], starts))
+        hashes = hashed(np.append(data, np.zeros(8, np.uint8)), starts, lengths)
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         at, known = self.memo.find(unique)
         if not known.all():

@@ -1,18 +1,18 @@
 """Words of many texts at once, as numpy arrays over Arrow's bytes: the kernel that several operators share.
 
 Words are hashed to 64 bits with fixed random weights, so that equal words have equal hashes on every executor.
-Both word patterns in use are sets of bytes in UTF-8: every byte of a character outside ASCII is a word byte.
+Both kinds of words in use are runs of bytes of a set in UTF-8: every byte of a character outside ASCII is a word byte.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21  # of text that one step of a task works on; a longer text is a step of its own
+SLICE_BYTES = 1 << 19  # of text that one step of a task works on; a longer text is a step of its own
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,14 +31,22 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-LOWER = np.arange(256)
-LOWER[65:91] += 32
-BYTES = stream(1, 256)[LOWER]  # A-Z count as a-z
+# The two kinds of words, as functions of the bytes after lower-casing A-Z
+def NOT_SPACE(low: np.ndarray) -> np.ndarray:  # noqa: N802
+    """[^\\x20\\x09-\\x0D]"""
+    return (low != 32) & (low - np.uint8(9) > 4)
 
-NOT_SPACE = np.ones(256, bool)  # [^\x20\x09-\x0D]
-NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
-ALNUM = np.zeros(256, bool)  # [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing
-ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
+
+def ALNUM(low: np.ndarray) -> np.ndarray:  # noqa: N802
+    """[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"""
+    return (low - np.uint8(97) < 26) | (low - np.uint8(48) < 10) | (low > 127)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z, and eight zeros behind."""
+    out = np.zeros(len(data) + 8, np.uint8)
+    np.add(data, (data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5), out=out[: len(data)])
+    return out
 
 
 class Words(NamedTuple):
@@ -77,13 +85,41 @@ def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 16) -> It
         i = j
 
 
-def words_of(texts: Texts, keep: np.ndarray) -> Words:
-    """Splits texts into maximal runs of the bytes in `keep`; no word reaches over the border of two texts."""
+FIRST_BYTES = np.append(np.uint64(2) ** (np.arange(8, dtype=np.uint64) * np.uint64(8)) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
+LONG_WORD = 512
+
+
+def hashed(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes: eight bytes at a time, each mixed with its place, and the length. `low` ends with eight zeros."""
+    eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+    total = mix(lengths.astype(np.uint64) + np.uint64(11))
+    weights, which, k = stream(2, LONG_WORD // 8 + 1), None, 0
+    while True:
+        at, left = (starts, lengths) if which is None else (starts[which] + 8 * k, lengths[which] - 8 * k)
+        part = mix((eight[at] & FIRST_BYTES[np.minimum(left, 8)]) + weights[k])
+        if which is None:
+            total += part
+        else:
+            total[which] += part
+        more = (left > 8) & (left + 8 * k <= LONG_WORD)
+        which, k = (np.flatnonzero(more) if which is None else which[more]), k + 1
+        if not len(which):
+            break
+    for i in np.flatnonzero(lengths > LONG_WORD):  # whole words at once
+        word = low[starts[i] : starts[i] + lengths[i]]
+        word = np.append(word, np.zeros(-len(word) % 8, np.uint8)).view("<u8")
+        total[i : i + 1] = mix(lengths[i : i + 1].astype(np.uint64) + np.uint64(11)) + mix(word + stream(2, len(word))).sum(dtype=np.uint64)
+    return mix(total)
+
+
+def words_of(texts: Texts, kind: Callable[[np.ndarray], np.ndarray]) -> Words:
+    """Splits texts into maximal runs of the bytes of a kind; no word reaches over the border of two texts."""
     data, bounds = texts.data, texts.bounds
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), none, none, np.zeros(len(bounds), np.int64))
-    inside = keep[data]
+    low = lowered(data)
+    inside = kind(low[:-8])
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     edge = bounds[:-1][bounds[:-1] < len(data)]
@@ -94,13 +130,7 @@ def words_of(texts: Texts, keep: np.ndarray) -> Words:
     end[last] = inside[last]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     first = np.searchsorted(starts, bounds)
-    if not len(starts):
-        return Words(np.zeros(0, np.uint64), starts, ends, first)
-    lengths = ends - starts
-    at = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
-    value = BYTES[data[inside]] * stream(2, int(lengths.max()))[place]
-    return Words(mix(np.add.reduceat(value, at)), starts, ends, first)
+    return Words(hashed(low, starts, ends - starts) if len(starts) else np.zeros(0, np.uint64), starts, ends, first)
 
 
 def grams(hashes: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
