@@ -146,7 +146,8 @@ def generate(hist: DataFrame, quantizer: Quantizer, order: int, flows: int, leng
 def _next_position(state: DataFrame, model: DataFrame, quantizer: Quantizer, i: int, depth: int, seed: int,
                    raise_time: bool) -> DataFrame:
     known = [c for c in state.columns if c != "idx"]
-    here = quantizer.attach(state.withColumn("idx", F.lit(i)))
+    # a column rather than a constant, so that the one-row table is joined by key and not by cross product
+    here = quantizer.at(i).attach(state.withColumn("idx", (F.col("n") * 0 + i).cast("int")))
     past = [quantizer.symbol(f"p{j}.t", f"p{j}.d", f"p{j}.s") for j in range(i - depth, i)]
     u = uniform(F.lit(seed), F.col("n"), F.lit(i))
     here = here.withColumn("_u", u).withColumn("_slice", slice_of(u))

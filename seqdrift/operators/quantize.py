@@ -12,8 +12,10 @@ from seqdrift.functions.numeric import uniform
 from seqdrift.schema import FEATURE_QUANTIZER, FEATURES, SHORT
 
 _SYMBOL_COLUMNS = ("t", "d", "s")
-#: quantizer rows (about 6 KB each) that are sure to fit a broadcast; longer models join by shuffle
-BROADCAST_POSITIONS = 4096
+#: quantizer rows (at most about 23 KB each) that are sure to fit a broadcast; longer models join by shuffle
+BROADCAST_POSITIONS = 1024
+#: copies of a longer model, over which the rows of a position are spread
+COPIES = 64
 
 
 def domain_guard(features: DataFrame, mode: str = "fail") -> DataFrame:
@@ -97,8 +99,18 @@ class Quantizer:
             return df.select("*", *[_literal(self.single[c]).alias(f"_q{c}") for c in _SYMBOL_COLUMNS])
         side = self.table.select("idx", *[F.col(c).alias(f"_q{c}") for c in _SYMBOL_COLUMNS])
         if self.positions is not None and self.positions <= BROADCAST_POSITIONS:
-            side = F.broadcast(side)
-        return df.join(side, "idx")
+            return df.join(F.broadcast(side), "idx")
+        # a position holds a row of every flow, so the table is repeated and each position spread over its copies
+        side = side.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+        key = [c for c, kind in df.dtypes if not kind.startswith("map")]
+        spread = df.withColumn("_copy", F.pmod(F.xxhash64(*key), F.lit(COPIES)).cast("int"))
+        return spread.join(side, ["idx", "_copy"]).drop("_copy")
+
+    def at(self, position: int) -> Quantizer:
+        """The quantizer of one position: a table of one row."""
+        # not as an equality, from which a join by position would become a cross join
+        here = F.col("idx").between(position, position)
+        return self if self.table is None else Quantizer(self.table.where(here), 1, kinds=self.kinds)
 
     def symbol(self, t: str = "t", d: str = "d", s: str = "s", when: str | None = None) -> Column:
         return Q.symbol(t, d, s, when, self.kinds)
