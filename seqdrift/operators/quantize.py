@@ -106,12 +106,6 @@ class Quantizer:
         spread = df.withColumn("_copy", F.pmod(F.xxhash64(*key), F.lit(COPIES)).cast("int"))
         return spread.join(side, ["idx", "_copy"]).drop("_copy")
 
-    def at(self, position: int) -> Quantizer:
-        """The quantizer of one position: a table of one row."""
-        # not as an equality, from which a join by position would become a cross join
-        here = F.col("idx").between(position, position)
-        return self if self.table is None else Quantizer(self.table.where(here), 1, kinds=self.kinds)
-
     def symbol(self, t: str = "t", d: str = "d", s: str = "s", when: str | None = None) -> Column:
         return Q.symbol(t, d, s, when, self.kinds)
 
