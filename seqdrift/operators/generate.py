@@ -147,7 +147,7 @@ def _next_position(state: DataFrame, model: DataFrame, quantizer: Quantizer, i:
                    raise_time: bool) -> DataFrame:
     known = [c for c in state.columns if c != "idx"]
     # a column rather than a constant, from which the join by position would become a cross product
-    here = quantizer.attach(state.withColumn("idx", (F.col("n") * 0 + i).cast("int")))
+    here = quantizer.attach(state.withColumn("idx", (F.pmod("n", F.lit(1)) + i).cast("int")))
     past = [quantizer.symbol(f"p{j}.t", f"p{j}.d", f"p{j}.s") for j in range(i - depth, i)]
     u = uniform(F.lit(seed), F.col("n"), F.lit(i))
     here = here.withColumn("_u", u).withColumn("_slice", slice_of(u))
