@@ -40,21 +40,29 @@ def query(name: str, oracle: str | None = None):
 
 
 OP8_SQL = """
-with r as (
-  select doc_id, text, octet_length(encode(coalesce(text, ''))) + 1 as size,
+with tab as (
+  select list(c order by i) as tab from (
+    select i, list_reduce(list_prepend(i::bigint, range(8)),
+      lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+h as (select doc_id, source, octet_length(encode(coalesce(text, ''))) as n, hex(encode(coalesce(text, ''))) as hex from documents),
+b as (
+  select *, list_prepend(4294967295, list_transform(range(0, n),
+    lambda i: ('0x' || substr(hex, (2 * i + 1)::bigint, 2))::bigint)) as bytes from h),
+r as (
+  select doc_id, n + 1 as size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) as crc,
     coalesce('=' || source, '') as stratum, md5('0:' || coalesce(doc_id::varchar, '')) as draw
-  from documents),
+  from b, tab),
 f as (
-  select *, (2 * row_number() over (partition by stratum order by draw, doc_id) - 1)::double
+  select *, (2 * row_number() over (partition by stratum order by draw, doc_id, crc, size) - 1)::double
     / (2.0 * count(*) over (partition by stratum))::double as fraction from r),
-p as (select *, row_number() over (order by fraction, draw, doc_id) - 1 as at, count(*) over () as total from f),
-s as (select *, (at * 16) // total as shard from p)
-select doc_id, size::bigint as size, 'rows' as law, shard::int as shard,
-  (at - (shard * total + 15) // 16)::bigint as slot, null::int as grown_shard from s
+p as (select *, row_number() over (order by fraction, draw, doc_id, crc, size) - 1 as pos, count(*) over () as total from f),
+s as (select *, (pos * 16) // total as shard from p)
+select doc_id, size::bigint as size, crc::bigint as text_crc32, 'rows' as law, shard::int as shard,
+  (pos - (shard * total + 15) // 16)::bigint as slot, null::int as grown_shard from s
 """
 
 
-@query("op8_stratified_shards")
+@query("op8_stratified_shards", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave(documents(spark, sf_dir), shards=16)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
