@@ -31,7 +31,7 @@ from seqdrift.llm.words import mix, slices, stream
 BITS = 12
 WIDTH = 1 << BITS
 N = (1, 2, 3)
-ROWS = 512  # texts whose dense vectors are in memory at once
+ROWS = 256  # texts whose dense vectors are in memory at once
 SHORT = 32
 LENGTHS = 32  # classes of text length, by powers of two
 

@@ -178,13 +178,15 @@ def rare_shingles(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Sorted by how many of the documents have it, a set of n shingles that is similar to another shares with it one of
     its first n - ceil(n * percent / 100) + 1.
     """
-    each = docs.join(sets, "doc_id").select(*docs.columns, F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    named = sets.join(docs, "doc_id").select(*docs.columns, F.size("shingles").alias("n"))
+    each = sets.join(docs, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     # a shingle that no other document has comes first in the order, so counting those is enough
     return (
         each.join(common, "s")
-        .groupBy(*docs.columns, "n")
+        .groupBy("doc_id")
         .agg(F.collect_list(F.struct("f", "s")).alias("_all"))
+        .join(named, "doc_id")
         .withColumn("_take", F.expr(f"n - ceil(n * {percent} / 100) + 1 - (n - size(_all))"))
         .where("_take > 0")
         .select(*docs.columns, "n", F.expr("explode(slice(sort_array(_all), 1, int(_take))) as p"))
