@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks import sql as X
@@ -334,9 +335,34 @@ def feature_quantiles(spark, sf):
     return pick(S.exact_quantiles(T.order_features(spark, sf)).withColumn("iqr", F.col("q75") - F.col("q25")))
 
 
-@query("sketched_quantiles")
+RANK_ERROR = 0.005
+_ALL_FEATURES = " union all ".join(f"select '{f}' as feature, idx, 5 as within from b_n" for f in SHORT)
+
+
+def _within(features: DataFrame, quantiles: DataFrame) -> DataFrame:
+    """How many of a position's quantiles have their rank in the data, within the error of a sketch."""
+    rows = FL.long_features(features).join(F.broadcast(quantiles), ["feature", "idx"])
+    ok = [
+        ((F.avg((F.col("value") < F.col(n)).cast("double")) <= q + RANK_ERROR)
+         & (F.avg((F.col("value") <= F.col(n)).cast("double")) >= q - RANK_ERROR)).cast("long")
+        for n, q in zip(S.QUANTILE_NAMES, S.QUANTILES)
+    ]
+    return rows.groupBy("feature", "idx").agg(sum(ok[1:], ok[0]).alias("within"))
+
+
+@query("sketched_quantiles", X.sql(f"select feature, {big('idx', 'idx')}, {big('within', 'within')} from ({_ALL_FEATURES})", "b_n"))
 def sketched_quantiles(spark, sf):
-    return pick(S.sketched_quantiles(T.order_features(spark, sf)))
+    b = T.order_features(spark, sf)
+    return pick(_within(b, S.sketched_quantiles(b)))
+
+
+@query("merged_sketches", X.sql(f"select feature, {big('idx', 'idx')}, {big('within', 'within')} from ({_ALL_FEATURES})", "b_n"))
+def merged_sketches(spark, sf):
+    """Sketches of two shards, saved, read back as one table and merged."""
+    b, path = T.order_features(spark, sf), shared_dir(spark, "sketches")
+    AR.save(S.quantile_sketches(b, by=("side",)), path, by="side")
+    merged = S.merge_sketches(AR.load(spark, [f"{path}/side=P", f"{path}/side=Q"]))
+    return pick(_within(b, S.quantiles_of_sketches(merged)))
 
 
 @query("size_frequencies", X.sql(f"select {big('idx', 'idx')}, {big('value', 'value')}, {big('freq', 'freq')} from b_freq", "b_freq"))
@@ -496,9 +522,36 @@ def quantizer_fit_from_merged_stats(spark, sf):
     return _quantizer_rows(FT.fit_from_stats(moments, freq, None, 1, EPS, EPS, NO_TIME, strict=False), time=False)
 
 
-@query("sketched_quantizer")
+def _checked_bounds(features: DataFrame, quantizer: DataFrame) -> DataFrame:
+    """Bins that depend on counts alone, and whether the time bounds have the ranks 1 % and 99 % in the data."""
+    rows = features.join(F.broadcast(quantizer.select("idx", "t.eff_min", "t.eff_max")), "idx")
+
+    def at(bound: str, q: float) -> Column:
+        below, upto = (F.avg(x.cast("double")) for x in (F.col("t") < F.col(bound), F.col("t") <= F.col(bound)))
+        return (below <= q + RANK_ERROR) & (upto >= q - RANK_ERROR)
+
+    ranks = rows.groupBy("idx").agg((at("eff_min", 0.01) & at("eff_max", 0.99)).alias("time_bounds_hold"))
+    return pick(QZ.bin_counts(quantizer).join(ranks, "idx"), "idx", "direction_bins", "size_bins", "time_bounds_hold")
+
+
+def _checked_bounds_sql(x: str) -> str:
+    return X.sql(f"select {big('idx', 'idx')}, {big('db', 'direction_bins')}, {big('sb', 'size_bins')}, true as time_bounds_hold from qz{x}", f"qz{x}")
+
+
+@query("sketched_quantizer", _checked_bounds_sql(X.fit(0)))
 def sketched_quantizer(spark, sf):
-    return pick(QZ.bin_counts(FT.fit(T.order_features(spark, sf), 0, EPS, EPS, strict=False)))
+    b = T.order_features(spark, sf)
+    return _checked_bounds(b, FT.fit(b, 0, EPS, EPS, strict=False))
+
+
+@query("fit_from_merged_shards", _checked_bounds_sql(X.fit(1)))
+def fit_from_merged_shards(spark, sf):
+    """Statistics, size counts and sketches per shard, merged, then a fit with time."""
+    b = features_b(spark, sf)
+    moments = S.merge_moments(S.moments(b, by=("side",)))
+    freq = S.size_frequencies(b, by=("side",)).groupBy("idx", "value").agg(F.sum("freq").alias("freq"))
+    quantiles = S.quantiles_of_sketches(S.merge_sketches(settled(S.quantile_sketches(b, by=("side",)), "sketches")))
+    return _checked_bounds(b, FT.fit_from_stats(moments, freq, quantiles, 1, EPS, EPS, strict=False))
 
 
 # ---------------------------------------------------------------- quantizing (P)
@@ -863,13 +916,21 @@ def generation_fallbacks(spark, sf):
     return pick(G.fallbacks(G.generate(p.hist, q, 1, n, LENGTH, SEED), 1))
 
 
-@query("generated_times")
+@query("generated_times", f"""select {big('idx', 'idx')}, {big('n', 'drawn')}, {big('n', 'in_bounds')}, {big('n', 'not_falling')}
+  from (select count(*) as n from customer), (select unnest(range(3)) as idx)""")
 def generated_times(spark, sf):
-    """Order 2 with times; draws and logarithms leave no exact SQL, the tests check the invariants."""
+    """Order 2 with times. Logarithms leave no exact SQL for the values; every draw must lie in the bounds and none may fall."""
     b = features_b(spark, sf)
     q = fitted_b(b, 2, ())
     p = C.build_profile(b, q, 2)
-    return pick(G.generate(p.hist, q, 2, T.table(spark, sf, "customer").count(), 3, SEED).drop("sym"))
+    out = G.generate(p.hist, q, 2, T.table(spark, sf, "customer").count(), 3, SEED)
+    before = F.lag("t").over(W.partitionBy("conn_id").orderBy("idx"))
+    out = out.withColumn("before", before).join(F.broadcast(q.table.select("idx", "t.eff_min", "t.eff_max")), "idx")
+    # a time raised to the one before may exceed its own upper bound
+    inside = (F.col("t") >= F.col("eff_min") - 1e-9) & (F.col("t") <= F.greatest("eff_max", "before") + 1e-9)
+    return pick(out.groupBy("idx").agg(
+        F.count("*").alias("drawn"), F.count_if(inside).alias("in_bounds"),
+        F.count_if(F.col("before").isNull() | (F.col("t") >= F.col("before"))).alias("not_falling")))
 
 
 @query("monotonic_time", X.sql(f"select conn_id, {big('idx', 'idx')}, {r('max(t) over (partition by conn_id order by idx)', 't')} from b", "b"))
