@@ -252,8 +252,9 @@ def block_links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def settle(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between documents of unsettled buckets (doc_id, band, component) that are in different components."""
+    # merge joins by band, here and below: Spark splits a full bucket in them
     first = rest.groupBy("band").agg(F.min("doc_id").alias("a"))
-    chained = components(rest.join(first, "band").select("a", F.col("doc_id").alias("b")))
+    chained = components(rest.join(first.hint("merge"), "band").select("a", F.col("doc_id").alias("b")))
     docs = written(rest.select("doc_id", "component").distinct().join(chained.withColumnRenamed("component_id", "cluster"), "doc_id"), "clusters")
     prefix = written(rare_shingles(docs.select("doc_id", "cluster", "component"), sets, percent), "rare-shingles")
     by_rare = prefix.groupBy("cluster", "s").agg(F.count("*").alias("f")).groupBy("cluster").agg(F.sum(F.expr("f * (f - 1) / 2")).alias("rare"))
@@ -289,7 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, rows: int =
     full = written(buckets.join(shared, "band"), "buckets")
     middle = full.groupBy("doc_id").agg(F.sum("n").alias("p"))
     stars = full.join(middle, "doc_id").groupBy("band").agg(F.max(F.struct("p", "doc_id"))["doc_id"].alias("star"))
-    members = written(full.join(stars, "band").where("doc_id <> star").select("doc_id", "band", "star"), "members")
+    members = written(full.join(stars.hint("merge"), "band").where("doc_id <> star").select("doc_id", "band", "star"), "members")
     pairs = members.select(F.col("star").alias("a"), F.col("doc_id").alias("b")).distinct()
     sized = heads.select(F.col("doc_id"), F.col("n_shingles")).distinct()
     pairs = (
@@ -307,7 +308,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, rows: int =
     found = written(components(links), "components")
     left = members.join(found, "doc_id", "left").select("doc_id", "band", F.coalesce("component_id", "doc_id").alias("component"))
     mixed = left.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("band")
-    rest = written(left.join(mixed, "band", "left_semi"), "unsettled")
+    rest = written(left.join(mixed.hint("merge"), "band", "left_semi"), "unsettled")
     more = settle(rest, sets, percent)
     stars = found.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     final = components(stars.union(more)).withColumnRenamed("doc_id", "head")
