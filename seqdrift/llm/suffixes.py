@@ -189,7 +189,9 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     picked = written(docs.mapInArrow(_choose(length), f"doc_id {kind}, run long, at long"), "minimisers")
     runs = picked.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-    places = picked.join(runs.select("run"), "run", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("run", "at")).alias("places"))
+    # small sides of joins are written first: Spark then splits the keys that are frequent on the large side
+    runs = written(runs.select("run"), "repeated-runs")
+    places = picked.join(runs, "run", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("run", "at")).alias("places"))
     found = docs.join(places, "doc_id").mapInArrow(_contexts(length), f"doc_id {kind}, run long, at long, right binary, left binary")
     found = written(found.withColumn("entry", F.xxhash64("run", "right", "left")), "contexts")
     entries = found.groupBy("entry", "run", "right", "left").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -211,15 +213,17 @@ def repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
         .withColumn("open", F.expr(f"exists(sequence(first, last), x -> not exists(ranges, r -> r.a <= x and x + {length} <= r.b))"))
     )
     unclear = offsets.groupBy("run").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("open and n > 1").select("run")
+    unclear = written(unclear, "unclear-runs")
     windows = written(
         offsets.drop("ranges").join(unclear, "run", "left_semi").mapInArrow(_windows(length), f"entry long, low {kind}, high {kind}, a int, window long"),
         "windows",
     )
     shared = windows.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("window")
+    shared = written(shared, "shared-windows")
     more = windows.join(shared, "window", "left_semi").select("entry", "a", (F.col("a") + length).alias("b"))
     ranges = compared.select("entry", F.explode("ranges").alias("r")).select("entry", "r.a", "r.b").union(more)
     # a few dozen ranges an entry at most
-    ranges = ranges.groupBy("entry").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    ranges = written(ranges.groupBy("entry").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "ranges")
     spans = (
         found.select("entry", "doc_id", "at")
         .join(ranges, "entry")
