@@ -1,19 +1,23 @@
 """Licence notices by a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line; a long one is read in overlapping windows of words, so a notice inside it is seen. Features are
-its words and word pairs, hashed; a logistic regression over families, `none` among them, is trained here: on variations
-of the templates and on lines of the corpus that resemble no template. Its probabilities are calibrated by a temperature
-on examples kept out of training. A paragraph that is more likely some licence than `none`, but of no family with the
-least probability, is `unknown`. A prediction is confirmed if a template of its family has enough of its word pairs in
-the paragraph.
+A paragraph is a line; a long one is read in overlapping windows of words, and so are the words around each line break,
+so a notice inside a line or wrapped over lines is seen. Features are words and word pairs, hashed; a logistic
+regression over families, `none` among them, is trained here: on variations of the templates and on lines of the corpus
+that resemble no template. Its probabilities are calibrated by a temperature on examples kept out of training. A
+paragraph that is more likely some licence than `none`, but of no family with the least probability, is `unknown`. A
+prediction is confirmed if a stretch of the words in and around it has enough of the word pairs of a template of its
+family. Stretches do not overlap, the likest come first, so each of several notices of a text is a row; its start, end
+and line are those of the stretch. Predictions that no stretch touches are unconfirmed rows, overlapping ones of a
+family a single row.
 
 The lines for training are a sample of about `negatives` (by a hash), everything else reads all rows and whole texts.
 Null or empty texts have no paragraphs. Ties: the first family in order. Repeated rows each give their rows. Other
-columns are ignored. Result: a row per notice and line.
+columns are ignored. Result: a row per notice.
 """
 
 from __future__ import annotations
 
+import bisect
 import random
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -77,30 +81,34 @@ LONG, WINDOW, STRIDE = 24, 16, 8  # words: longer lines are read in windows, so
 
 
 class Parts(NamedTuple):
-    """Paragraphs of some texts: text, line within it, first and end word, first and end word of the line."""
+    """Paragraphs of some texts: text, first and end word."""
 
     text: np.ndarray
-    line: np.ndarray
     first: np.ndarray
     end: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
+
+
+def windows(first: np.ndarray, size: np.ndarray, longer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of words with more than `longer` in windows, others whole: number of the run, first and end word."""
+    pieces = np.where(size > longer, -(-np.maximum(size - WINDOW, 0) // STRIDE) + 1, 1)
+    which = np.repeat(np.arange(len(first)), pieces)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin, end = first[which] + step * STRIDE, (first + size)[which]
+    return which, begin, np.where(size[which] > longer, np.minimum(begin + WINDOW, end), end)
 
 
 def paragraphs(data: np.ndarray, bounds: np.ndarray, words: Words) -> Parts:
-    breaks = np.flatnonzero(data == 10)
+    """Lines, in windows if they are long, and windows that reach over line breaks."""
+    above = np.searchsorted(np.flatnonzero(data == 10), words.starts)
     text = np.searchsorted(bounds, words.starts, "right") - 1
-    above = np.searchsorted(breaks, words.starts)
     new = np.append(True, (above[1:] != above[:-1]) | (text[1:] != text[:-1]))[: len(above)]
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(above)))
-    pieces = np.where(size > LONG, -(-np.maximum(size - WINDOW, 0) // STRIDE) + 1, 1)
-    which = np.repeat(np.arange(len(first)), pieces)
-    step = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = first[which] + step * STRIDE
-    end = np.where(size[which] > LONG, np.minimum(begin + WINDOW, first[which] + size[which]), first[which] + size[which])
-    line = above[first] - np.searchsorted(breaks, bounds[text[first]])
-    return Parts(text[first][which], line[which], begin, end, first[which], (first + size)[which])
+    _, begin, end = windows(first, np.diff(np.append(first, len(above))), LONG)
+    some = np.flatnonzero(np.diff(words.first) > 0)
+    _, a, b = windows(words.first[some], np.diff(words.first)[some], WINDOW)
+    over = above[a] != above[b - 1]
+    begin, end = np.append(begin, a[over]), np.append(end, b[over])
+    return Parts(text[begin], begin, end)
 
 
 def slots(words: Words) -> np.ndarray:
@@ -164,7 +172,7 @@ def whole(texts: list[str]) -> tuple[Words, Parts]:
     words = words_of(part, ALNUM)
     n = np.arange(len(texts))
     a, b = words.first[:-1], words.first[1:]
-    return words, Parts(n, n * 0, a, b, a, b)
+    return words, Parts(n, a, b)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -226,12 +234,102 @@ def predict(model: Model, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(licence, np.where(chance >= model.least, best, len(FAMILIES)), none), np.where(licence, chance, p[:, none])
 
 
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping ranges as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+class Stretch(NamedTuple):
+    share: float
+    first: int
+    end: int
+    family: str
+    which: int
+
+
+def stretches(pairs: list[int], looks: dict[str, list[tuple[int, int]]], templates: dict[str, list[set[int]]], enough: float) -> list[Stretch]:
+    """Stretches of words that do not overlap, with enough of a template's pairs, the likest first; `looks`: where to look for each family."""
+    found: list[Stretch] = []
+    while looks:
+        here: list[tuple[tuple, Stretch]] = []
+        for family, ranges in looks.items():
+            for which, own in enumerate(templates[family]):
+                for a, b in ranges:
+                    at = [i for i in range(a, b - 1) if pairs[i] in own]
+                    for j, i in enumerate(at):
+                        seen: set[int] = set()
+                        last = i
+                        for k in at[j:]:
+                            if k >= i + len(own) + 2 * WINDOW or len(seen) == len(own):
+                                break
+                            if pairs[k] not in seen:
+                                seen.add(pairs[k])
+                                last = k
+                        if len(seen) >= enough * len(own):
+                            s = Stretch(len(seen) / len(own), i, last + 2, family, which)
+                            here.append(((-s.share, -len(own), s.end - s.first, s.first, family, which), s))
+        taken: set[int] = set()
+        for _, s in sorted(here):
+            if taken.isdisjoint(range(s.first, s.end)):
+                taken.update(range(s.first, s.end))
+                found.append(s)
+        # what lies between them is looked at again without them
+        cut = merged([(s.first, s.end) for s in found])
+        looks = {f: left for f, ranges in looks.items() if taken and (left := [x for r in ranges for x in without(r, cut)])}
+    return found
+
+
+def without(of: tuple[int, int], cut: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a range, two words at least."""
+    out, (a, b) = [], of
+    for x, y in cut[max(0, bisect.bisect(cut, (a, a)) - 1) :]:
+        if x >= b:
+            break
+        if y > a:
+            out.append((a, x))
+            a = y
+    return [(x, y) for x, y in [*out, (a, b)] if y - x > 1]
+
+
 COLUMNS = [
     ("line", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64()),
     ("template", pa.string()), ("similarity", pa.float64()), ("confirmed", pa.bool_()),
 ]
 
 
+def notices(pairs: list[int], low: int, high: int, seen: list[tuple[int, int, str, float]], templates: dict, enough: float) -> Iterator[dict]:
+    """Rows of a text with the words low to high, from its predictions (first, end, family, probability)."""
+    wide = lambda a, b: (max(a - WINDOW, low), min(b + WINDOW, high))  # noqa: E731  a long notice reaches over its window
+    families = sorted({f for _, _, f, _ in seen})
+    found = stretches(pairs, {f: merged([wide(a, b) for a, b, g, _ in seen if g == f]) for f in families if f in templates}, templates, enough)
+    by = {f: sorted((*wide(a, b), p) for a, b, g, p in seen if g == f) for f in families}
+    for s in found:
+        near = by[s.family]
+        near = near[bisect.bisect(near, (s.first - 2 * WINDOW - LONG,)) : bisect.bisect(near, (s.end,))]
+        chance = max(p for a, b, p in near if b > s.first)
+        yield dict(first=s.first, last=s.end, family=s.family, probability=chance, template=TEMPLATES[s.family][s.which], similarity=s.share, confirmed=True)
+    cut = merged([(s.first, s.end) for s in found])
+    touched = lambda a, b: any(y > a for x, y in cut[max(0, bisect.bisect(cut, (a, a)) - 1) : bisect.bisect(cut, (b,))])
+    for family in families:
+        rest = sorted((a, b, p) for a, b, g, p in seen if g == family and not touched(a, b))
+        k = 0
+        for a, b in merged([(a, b) for a, b, _ in rest]):
+            chance = 0.0
+            while k < len(rest) and rest[k][0] < b:
+                chance, k = max(chance, rest[k][2]), k + 1
+            i, j = wide(a, b)
+            own = set(pairs[i : j - 1])
+            share, which, of = max(((*likeness(own, templates[f]), f) for f in ([family] if family in templates else sorted(templates))), key=lambda x: x[0])
+            template = TEMPLATES[of][which] if share > 0 else None
+            yield dict(first=a, last=b, family=family, probability=chance, template=template, similarity=share, confirmed=False)
+
+
 def _scan(model: Model, enough: float):
     none = FAMILIES.index(NONE)
 
@@ -240,27 +338,29 @@ def _scan(model: Model, enough: float):
         for batch in batches:
             for texts in slices(batch.column("text")):
                 words = words_of(texts, ALNUM)
-                rows: dict[tuple, dict] = {}
+                found: list[dict] = []
                 if len(words.hashes):
                     parts = paragraphs(texts.data, texts.bounds, words)
                     family, chance = predict(model, logits(model.weights, model.bias, slots(words), parts))
+                    seen: dict[int, list] = {}
                     for k in np.flatnonzero(family != none).tolist():
-                        text, a, b = int(parts.text[k]), int(parts.first[k]), int(parts.end[k])
                         name = (*FAMILIES, UNKNOWN)[family[k]]
-                        # a long notice reaches over its window
-                        pairs = word_pairs(words, max(a - WINDOW, int(parts.low[k])), min(b + WINDOW, int(parts.high[k])))
-                        look = [name] if name in templates else sorted(templates)
-                        share, which, of = max(((*likeness(pairs, templates[f]), f) for f in look), key=lambda x: x[0])
-                        zero = texts.bounds[text]
-                        begin, end = (len(texts.data[zero:at].tobytes().decode("utf-8", "replace")) for at in (words.starts[a], words.ends[b - 1]))
-                        new = dict(
-                            row=texts.rows.start + text, line=int(parts.line[k]), start=begin, end=end, family=name, probability=float(chance[k]),
-                            template=TEMPLATES[of][which] if share > 0 else None, similarity=share, confirmed=name != UNKNOWN and share >= enough,
-                        )
-                        key = (text, new["line"], name)  # windows of one line overlap
-                        if key not in rows or (share, new["probability"]) > (rows[key]["similarity"], rows[key]["probability"]):
-                            rows[key] = new
-                found = list(rows.values())
+                        seen.setdefault(int(parts.text[k]), []).append((int(parts.first[k]), int(parts.end[k]), name, float(chance[k])))
+                    two = grams(words.hashes, 2)
+                    for text, own in seen.items():
+                        zero, low, high = (int(x[text]) for x in (texts.bounds, words.first, words.first[1:]))
+                        pairs, at, chars, lines = two[low : high - 1].tolist(), zero, 0, 0
+                        place = {}  # of byte offsets: code points and line breaks before them
+                        rows = list(notices(pairs, 0, high - low, [(a - low, b - low, f, p) for a, b, f, p in own], templates, enough))
+                        for r in rows:
+                            r["first"], r["last"] = int(words.starts[low + r["first"]]), int(words.ends[low + r["last"] - 1])
+                        for x in sorted({r[c] for r in rows for c in ("first", "last")}):
+                            piece = texts.data[at:x]
+                            chars, lines, at = chars + int(((piece & 0xC0) != 0x80).sum()), lines + int((piece == 10).sum()), x
+                            place[x] = chars, lines
+                        for r in sorted(rows, key=lambda r: (r["first"], r["last"], r["family"])):
+                            (start, line), (end, _) = place[r["first"]], place[r["last"]]
+                            found.append({**r, "row": texts.rows.start + text, "line": line, "start": start, "end": end})
                 ids = batch.column("doc_id").take(pa.array([r["row"] for r in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[c] for r in found], t) for c, t in COLUMNS]], ["doc_id", *[c for c, _ in COLUMNS]])
 

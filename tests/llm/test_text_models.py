@@ -143,3 +143,34 @@ def test_licence_notices_and_ordinary_text(table):
         assert [r.family for r in own] == [family] and own[0].line == 1
         assert docs[1000 + i][own[0].start : own[0].end].strip('."') in notice
     assert len({r.doc_id for r in rows if r.doc_id >= 2000}) > 0.9 * len(notices)
+
+
+WRAPPED = {
+    "gpl": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction, including",
+}
+
+
+def test_notices_wrapped_over_lines_and_two_in_one_line(table):
+    draw = random.Random(6)
+    plain = [prose(draw, draw.choice(["aa", "bb", "cc"]), 30) for _ in range(300)]
+    docs = dict(enumerate(plain))
+    for i, notice in enumerate(WRAPPED.values()):
+        docs[1000 + i] = f"{plain[i]}\n\n{notice}\n\n{plain[i + 1]}"
+        docs[1010 + i] = "/*\n" + "\n".join(f" * {x}" for x in notice.split("\n")) + f"\n */\n{plain[i]}"
+        docs[1020 + i] = f"{plain[i]}\n" + notice.replace("\n", "\r\n# ") + f"\n{plain[i + 1]}"
+    short = "Released under the MIT License."
+    docs[2000] = f"{plain[3]} {short} {plain[4]} {plain[5]} {short} {plain[6]}"
+    docs[2001] = f"{plain[3]} {short} {short} {plain[6]}"
+    frame = table(list(docs.items()))
+    rows = [r for r in licenses.find_licences(frame, licenses.train(frame)).collect() if r.confirmed]
+    for i, family in enumerate(WRAPPED):
+        for k in (1000, 1010, 1020):
+            [own] = [r for r in rows if r.doc_id == k + i]
+            assert own.family == family and own.similarity > 0.9 and "\n" in docs[k + i][own.start : own.end]
+            assert own.line == docs[k + i][: own.start].count("\n")
+    for k in (2000, 2001):
+        spans = sorted((r.start, r.end) for r in rows if r.doc_id == k)
+        assert spans == [m.span() for m in re.finditer(re.escape(short.rstrip(".")), docs[k])]
+    assert all(r.doc_id >= 1000 for r in rows)
