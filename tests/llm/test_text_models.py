@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from seqdrift.llm import language, licenses, lm, secrets
+from seqdrift.llm.queries import QUERIES
 
 SYLLABLES = {
     "aa": ["the", "ing", "and", "ough", "wh"], "bb": ["sch", "ein", "ung", "ü", "tz"], "cc": ["eau", "ç", "oi", "ette", "é"],
@@ -174,3 +175,18 @@ def test_notices_wrapped_over_lines_and_two_in_one_line(table):
         spans = sorted((r.start, r.end) for r in rows if r.doc_id == k)
         assert spans == [m.span() for m in re.finditer(re.escape(short.rstrip(".")), docs[k])]
     assert all(r.doc_id >= 1000 for r in rows)
+
+
+def test_query_returns_notices_that_no_template_confirms(spark, table, tmp_path, monkeypatch):
+    draw = random.Random(7)
+    plain = [prose(draw, draw.choice(["aa", "bb", "cc"]), 30) for _ in range(300)]
+    strange = ["Licensed under the EUPL, Version 1.2 only", "This library is licensed under the Zlib License"]
+    docs = {**dict(enumerate(plain)), **{1000 + i: f"{plain[i]}\n{x}\n{plain[i + 1]}" for i, x in enumerate(strange)}}
+    table(list(docs.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    model = licenses.fit(plain)
+    monkeypatch.setattr(licenses, "train", lambda docs: model)  # so small a table would be learned from whole, these notices as ordinary lines
+    rows = QUERIES["op9_licence_paragraphs"](spark, str(tmp_path)).collect()
+    for i, x in enumerate(strange):
+        at = docs[1000 + i].index(x)
+        assert any(r.start < at + len(x) and r.end > at for r in rows if r.doc_id == 1000 + i and not r.confirmed)
+    assert sum(r.doc_id < 1000 for r in rows) < 0.05 * len(plain)
