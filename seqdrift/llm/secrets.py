@@ -8,7 +8,9 @@ layer is worked on once (cycle detection by its text and place); layers without
 Kinds: `assign`, `access` and `hex` are finds in the text itself. Finds in decoded layers are named by the way to them,
 such as `url/assign` or `base64/gzip/access`, and counted in n_decoded, not with the base kinds.
 
-Decompression stops at `most_bytes` a stream, so that a hostile stream cannot exhaust a task; n_cut counts such streams.
+Compressed streams are read to the end, all members and all compressed layers in them. More than `most_bytes` of content
+are scanned in pieces that overlap, so that a stream cannot exhaust the memory of a task; n_cut counts such streams. A
+run of base64 or hexadecimal digits goes on in the next piece, up to four pieces long.
 Null or empty text: no spans. Repeated rows each get their row. Other columns are ignored (`redact` hands them on).
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -40,6 +43,9 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX_BYTES = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
 MOST_BYTES = 1 << 24
+STEP = 1 << 18  # bytes of a stream at a time
+OVERLAP = 1 << 12  # bytes that two pieces of a stream share at least
+RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\\r\n"
 
 
 class Span(NamedTuple):
@@ -75,31 +81,126 @@ def printable(raw: bytes) -> str | None:
     return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def unpack(raw: bytes, most: int) -> tuple[str, bytes, bool] | None:
-    """Name, content and whether it was cut, of a compressed stream."""
-    for name, magic, make in (
-        ("gzip", b"\x1f\x8b", lambda: zlib.decompressobj(31)),
-        ("zlib", b"\x78", lambda: zlib.decompressobj()),
-        ("bzip2", b"BZh", bz2.BZ2Decompressor),
-        ("xz", b"\xfd7zXZ", lzma.LZMADecompressor),
-    ):
-        if raw.startswith(magic):
-            try:
-                work = make()
-                out = work.decompress(raw, most)
-                return name, out, not work.eof and len(out) >= most
-            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-                return None
-    if raw.startswith(b"\x28\xb5\x2f\xfd"):
-        import zstandard
-
-        try:
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out = reader.read(most)
-                return "zstd", out, len(out) >= most
-        except zstandard.ZstdError:
-            return None
-    return None
+def zstd():
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj()
+
+
+PACKED = {
+    "gzip": (b"\x1f\x8b", lambda: zlib.decompressobj(31)),
+    "zlib": (b"\x78", zlib.decompressobj),
+    "bzip2": (b"BZh", bz2.BZ2Decompressor),
+    "xz": (b"\xfd7zXZ", lzma.LZMADecompressor),
+    "zstd": (b"\x28\xb5\x2f\xfd", zstd),
+}
+
+
+def packing(head: bytes) -> str | None:
+    return next((name for name, (magic, _) in PACKED.items() if head.startswith(magic)), None)
+
+
+def member(name: str, source: Iterator[bytes], rest: list[bytes], most: int) -> Iterator[bytes]:
+    """Content of the first member of a stream, in chunks; `rest` gets what was read beyond it, or all if nothing came out."""
+    work, eaten, some = PACKED[name][1](), [], False
+    for chunk in source:
+        if not some:
+            eaten.append(chunk)
+        at = 0
+        while at < len(chunk) and not work.eof:
+            piece = chunk[at : at + (64 if name == "zstd" else STEP)]  # a few bytes of zstd can hold much, and it has no other limit
+            at += len(piece)
+            while True:
+                try:
+                    out = work.decompress(piece) if name == "zstd" else work.decompress(piece, min(most, STEP))
+                except Exception as e:
+                    if isinstance(e, MemoryError):
+                        raise
+                    if not some:
+                        rest += eaten
+                    return
+                if out:
+                    some = True
+                    yield out
+                piece = work.unconsumed_tail if name in ("gzip", "zlib") else b""
+                if work.eof or not (piece or name in ("bzip2", "xz") and not work.needs_input):
+                    break
+        if work.eof:
+            rest += [work.unused_data, chunk[at:]]
+            return
+    if not some and not work.eof:
+        rest += eaten
+
+
+def begun(source: Iterator[bytes]) -> tuple[bytes, Iterator[bytes]]:
+    """The first bytes of a stream, and the whole stream."""
+    head = b""
+    for chunk in source:
+        head += chunk
+        if len(head) >= 8:
+            break
+    return head, itertools.chain([head] if head else [], source)
+
+
+def unpacked(source: Iterator[bytes], most: int) -> Iterator[bytes]:
+    """Content of all members of a compressed stream one after the other, and of what follows them."""
+    head, source = begun(source)
+    while name := packing(head):
+        rest: list[bytes] = []
+        some = False
+        for out in member(name, source, rest, most):
+            some = True
+            yield out
+        left, before = b"".join(rest).lstrip(b"\0"), head
+        head, source = begun(itertools.chain([left] if left else [], source))
+        if not some and left.startswith(before):  # not compressed after all
+            break
+    yield from source
+
+
+def contents(raw: bytes, most: int) -> Iterator[tuple[tuple[str, ...], bytes, bool]]:
+    """The way to what is in `raw` through all compressed layers, its pieces, and whether a second piece begins."""
+    way, source, seen = (), iter([raw]), set()
+    head, source = begun(source)
+    while name := packing(head):
+        if (mark := hashlib.sha256(head).digest()) in seen:  # holds itself
+            break
+        seen.add(mark)
+        rest: list[bytes] = []
+        first = next(inside := member(name, source, rest, most), None)
+        if first is None and rest:  # not compressed after all
+            source = itertools.chain(rest, source)
+            break
+        more = unpacked_rest(inside, rest, source, most)
+        way += (name,)
+        head, source = begun(itertools.chain([first] if first else [], more))
+    parts, size, kept, n = [], 0, 0, 0
+    for chunk in source:
+        parts.append(chunk)
+        size += len(chunk)
+        if size - kept >= most:
+            piece = b"".join(parts)
+            n += 1
+            yield way, piece, n == 2
+            parts = [tail(piece, most)]
+            size = kept = len(parts[0])
+    if size > kept:
+        yield way, b"".join(parts), n == 1
+
+
+def unpacked_rest(inside: Iterator[bytes], rest: list[bytes], source: Iterator[bytes], most: int) -> Iterator[bytes]:
+    yield from inside
+    left = b"".join(rest).lstrip(b"\0")
+    yield from unpacked(itertools.chain([left] if left else [], source), most)
+
+
+def tail(piece: bytes, most: int) -> bytes:
+    """What the next piece of a stream begins with: an overlap, or the run that reaches its end; a run of four pieces is cut."""
+    begin = max(0, len(piece) - OVERLAP)
+    run = len(piece) - len(piece.rstrip(RUN))
+    if len(piece) - begin < run + OVERLAP <= 4 * most:
+        begin = max(0, len(piece) - run - OVERLAP)
+    return piece[begin - begin % 2 :]
 
 
 def replaced(layer: Layer, name: str, pattern: re.Pattern, decode) -> Layer | None:
@@ -157,16 +258,9 @@ def inner(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         else:
             raw = bytes.fromhex(m[0])
-        packed, cut = unpack(raw, most), False
-        way = (*layer.way, name)
-        if packed:
-            inside, raw, cut = packed
-            way = (*way, inside)
-        content = printable(raw)
-        if content:
-            yield Layer(content, way, *layer.place(*m.span())), cut
-        elif cut:
-            yield Layer("", way, *layer.place(*m.span())), cut
+        place = layer.place(*m.span())
+        for way, piece, cut in contents(raw, most):
+            yield Layer(printable(piece) or "", (*layer.way, name, *way), *place), cut
 
 
 def scan(text: str, most: int = MOST_BYTES) -> tuple[list[Span], list[Span], int]:
@@ -174,22 +268,27 @@ def scan(text: str, most: int = MOST_BYTES) -> tuple[list[Span], list[Span], int
     base = sorted(base_spans(text), key=lambda s: (s.start, KINDS.index(s.kind)))
     n = len(text)
     first = Layer(text, (), np.arange(n), np.arange(1, n + 1))
-    work, seen, more, n_cut = [first], set(), set(), 0
+    seen, more, n_cut = set(), set(), 0
     known = {(s.start, s.end, s.kind) for s in base}
+    work = [inner(first, most)]  # layers are made when their turn comes, so few are in memory
     while work:
-        layer = work.pop()
-        for below, cut in inner(layer, most):
-            n_cut += cut
-            mark = (hashlib.sha256(below.text.encode("utf-8", "surrogatepass")).digest(), below.place(0, len(below.text)) if below.text else 0)
-            if mark in seen:
-                continue
-            seen.add(mark)
-            work.append(below)
-            for s in base_spans(below.text):
-                a, b = below.place(s.start, s.end)
-                # a find that no decoding touched was found in the text itself
-                if (a, b, s.kind) not in known:
-                    more.add(Span(a, b, "/".join((*below.way, s.kind))))
+        if (new := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        below, cut = new
+        n_cut += cut
+        if not below.text:
+            continue
+        mark = (hashlib.sha256(below.text.encode("utf-8", "surrogatepass")).digest(), below.place(0, len(below.text)))
+        if mark in seen:
+            continue
+        seen.add(mark)
+        work.append(inner(below, most))
+        for s in base_spans(below.text):
+            a, b = below.place(s.start, s.end)
+            # a find that no decoding touched was found in the text itself
+            if (a, b, s.kind) not in known:
+                more.add(Span(a, b, "/".join((*below.way, s.kind))))
     unique: dict[tuple[int, int, str], Span] = {}
     for s in sorted(more, key=lambda s: (s.kind.count("/"), s.kind)):  # the shortest way names a find
         unique.setdefault((s.start, s.end, s.kind.rpartition("/")[2]), s)

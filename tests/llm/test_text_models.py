@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import random
 import re
@@ -190,3 +192,24 @@ def test_query_returns_notices_that_no_template_confirms(spark, table, tmp_path,
         at = docs[1000 + i].index(x)
         assert any(r.start < at + len(x) and r.end > at for r in rows if r.doc_id == 1000 + i and not r.confirmed)
     assert sum(r.doc_id < 1000 for r in rows) < 0.05 * len(plain)
+
+
+def hidden(raw, text="vor {} nach"):
+    """Kinds of what a scan finds in base64 of these bytes."""
+    return {s.kind for s in secrets.scan(text.format(base64.b64encode(raw).decode()))[1]}
+
+
+def test_compressed_layers_in_layers_members_and_long_streams():
+    key = b"password: hunter2hunter"
+    assert hidden(gzip.compress(gzip.compress(key))) == {"base64/gzip/gzip/assign"}
+    assert hidden(lzma.compress(bz2.compress(lzma.compress(key)))) == {"base64/xz/bzip2/xz/assign"}
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        assert len(hidden(pack(b"nothing") + pack(b"here ") + pack(key))) == 1
+    for at in (990, 1500, 50_000):  # also over the border of two pieces
+        long = b"x " * (at // 2) + "é".encode() + key + b" y" * 3000
+        text = base64.b64encode(gzip.compress(long)).decode()
+        base, more, n_cut = secrets.scan(text, most=1000)
+        assert [s.kind for s in more] == ["base64/gzip/assign"] and n_cut == 1
+    run = base64.b64encode(b"z " * 900 + key)  # a run over a border
+    assert [s.kind for s in secrets.scan(base64.b64encode(gzip.compress(b"x " * 400 + run)).decode(), most=1000)[1]] == ["base64/gzip/base64/assign"]
+    assert secrets.redacted(f"a {base64.b64encode(gzip.compress(gzip.compress(key))).decode()} b", "[x]") == "a [x] b"
