@@ -2,7 +2,7 @@
 
 The whole text is the first layer. From each layer come new ones, until none is new: the layer with its URL or Unicode
 escapes replaced, and what each base64 or hexadecimal run holds, decompressed if it is a compressed stream. Every layer
-is scanned with the same patterns, and a find is mapped back to the characters of the original text it came from. A
+is scanned with the same patterns, whatever else it holds (bytes that are no UTF-8 or UTF-16 are replaced), and a find is mapped back to the characters of the original text it came from. A
 layer is worked on once (cycle detection by its text and place); layers without a find or a further encoding end there.
 
 Kinds: `assign`, `access` and `hex` are finds in the text itself. Finds in decoded layers are named by the way to them,
@@ -73,12 +73,12 @@ def base_spans(text: str) -> list[Span]:
     return found + [Span(*m.span(), "hex") for m in HEX.finditer(text)]
 
 
-def printable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
+def texts_of(raw: bytes) -> list[str]:
+    """What bytes say as UTF-8, and as UTF-16 if there are zeros or a mark; bytes that say nothing are replaced."""
+    out = [raw.decode("utf-8", "replace")]
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff") or b"\0" in raw:
+        out += [raw.decode(kind, "replace") for kind in ("utf-16-le", "utf-16-be")]
+    return out
 
 
 def zstd():
@@ -232,14 +232,13 @@ def replaced(layer: Layer, name: str, pattern: re.Pattern, decode) -> Layer | No
     return Layer("".join(parts), way, layer.starts, layer.ends) if whole else Layer("".join(parts), way, np.concatenate(starts), np.concatenate(ends))
 
 
-def from_url(run: str) -> str | None:
-    return printable(unquote_to_bytes(run))
+def from_url(run: str) -> str:
+    return unquote_to_bytes(run).decode("utf-8", "replace")
 
 
-def from_unicode(run: str) -> str | None:
+def from_unicode(run: str) -> str:
     raw = "".join(chr(min(int(a or b or c, 16), 0x10FFFF)) for a, b, c in ESCAPE.findall(run))
-    text = raw.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
-    return text if "�" not in text else None
+    return raw.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 def inner(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
@@ -260,7 +259,8 @@ def inner(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
             raw = bytes.fromhex(m[0])
         place = layer.place(*m.span())
         for way, piece, cut in contents(raw, most):
-            yield Layer(printable(piece) or "", (*layer.way, name, *way), *place), cut
+            for i, content in enumerate(texts_of(piece)):
+                yield Layer(content, (*layer.way, name, *way), *place), cut and i == 0
 
 
 def scan(text: str, most: int = MOST_BYTES) -> tuple[list[Span], list[Span], int]:

@@ -213,3 +213,20 @@ def test_compressed_layers_in_layers_members_and_long_streams():
     run = base64.b64encode(b"z " * 900 + key)  # a run over a border
     assert [s.kind for s in secrets.scan(base64.b64encode(gzip.compress(b"x " * 400 + run)).decode(), most=1000)[1]] == ["base64/gzip/base64/assign"]
     assert secrets.redacted(f"a {base64.b64encode(gzip.compress(gzip.compress(key))).decode()} b", "[x]") == "a [x] b"
+
+
+@pytest.mark.parametrize("odd", ["\ufeff", "\xa0", "\x0c", "\u200d", "\0"])
+def test_layers_with_odd_characters_are_scanned(odd):
+    key = "password: hunter2hunter"
+    assert "base64/assign" in hidden(f"{odd} {key} {odd}".encode())
+    assert "base64/base64/assign" in hidden(f"{odd} {base64.b64encode(key.encode()).decode()}".encode())
+    assert "base64/gzip/assign" in hidden(gzip.compress(f"{odd} {key}".encode()))
+
+
+def test_layers_in_other_encodings_are_scanned():
+    key = "password: hunter2hunter"
+    for kind in ("utf-16", "utf-16-le", "utf-16-be"):
+        assert "base64/assign" in hidden(key.encode(kind))
+    assert "base64/assign" in hidden(b"caf\xe9 " + key.encode())
+    assert [s.kind for s in secrets.scan("".join(f"%{b:02x}" for b in b"caf\xe9 " + key.encode()))[1]] == ["url/assign"]
+    assert [s.kind for s in secrets.scan("\\ud800" + "".join(f"\\u{ord(c):04x}" for c in key))[1]] == ["unicode/assign"]
