@@ -1,7 +1,7 @@
 """Secret scans with a worklist of decoded layers.
 
 The whole text is the first layer. From each layer come new ones, until none is new: the layer with its URL or Unicode
-escapes replaced, and what each base64 or hexadecimal run holds, decompressed if it is a compressed stream. Every layer
+escapes replaced, and what each base64 or hexadecimal run (over line breaks, from each alignment) holds, decompressed if it is a compressed stream. Every layer
 is scanned with the same patterns, whatever else it holds (bytes that are no UTF-8 or UTF-16 are replaced), and a find is mapped back to the characters of the original text it came from. A
 layer is worked on once (cycle detection by its text and place); layers without a find or a further encoding end there.
 
@@ -39,8 +39,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so short ones need no lo
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-HEX_BYTES = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
+# a run goes on after a line break, as long as its lines are long enough for a run
+BREAK = r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"
+BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{BREAK}[A-Za-z0-9+/_-]{{16,}}+)*+(?:{BREAK}[A-Za-z0-9+/_-]++)?={{0,2}}")
+HEX_BYTES = re.compile(rf"(?<![0-9a-fA-F])[0-9a-fA-F]{{24,}}+(?:{BREAK}[0-9a-fA-F]{{24,}}+)*+(?:{BREAK}[0-9a-fA-F]++)?")
+BROKEN = re.compile(BREAK)
+# how compressed streams begin that stand behind something else
+WITHIN = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY|\xfd7zXZ\0|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
 MOST_BYTES = 1 << 24
 STEP = 1 << 18  # bytes of a stream at a time
@@ -96,6 +101,9 @@ PACKED = {
 }
 
 
+BROKEN_STREAM = b"\0broken"  # in place of what follows a fault
+
+
 def packing(head: bytes) -> str | None:
     return next((name for name, (magic, _) in PACKED.items() if head.startswith(magic)), None)
 
@@ -116,8 +124,7 @@ def member(name: str, source: Iterator[bytes], rest: list[bytes], most: int) ->
                 except Exception as e:
                     if isinstance(e, MemoryError):
                         raise
-                    if not some:
-                        rest += eaten
+                    rest += [BROKEN_STREAM] if some else eaten
                     return
                 if out:
                     some = True
@@ -151,6 +158,8 @@ def unpacked(source: Iterator[bytes], most: int) -> Iterator[bytes]:
         for out in member(name, source, rest, most):
             some = True
             yield out
+        if BROKEN_STREAM in rest:
+            return
         left, before = b"".join(rest).lstrip(b"\0"), head
         head, source = begun(itertools.chain([left] if left else [], source))
         if not some and left.startswith(before):  # not compressed after all
@@ -158,9 +167,13 @@ def unpacked(source: Iterator[bytes], most: int) -> Iterator[bytes]:
     yield from source
 
 
-def contents(raw: bytes, most: int) -> Iterator[tuple[tuple[str, ...], bytes, bool]]:
-    """The way to what is in `raw` through all compressed layers, its pieces, and whether a second piece begins."""
-    way, source, seen = (), iter([raw]), set()
+def contents(raw: bytes, most: int, within: int = 0) -> Iterator[tuple[tuple[str, ...], bytes, bool]]:
+    """The way to what is in `raw` through all compressed layers, its pieces, and whether a second piece begins.
+
+    A faulty stream is also content itself. From a place within `raw` on, only compressed streams count."""
+    way, source, seen, faults = (), iter([raw]), set(), []
+    if within:
+        source = (raw[i : i + STEP] for i in range(within, len(raw), STEP))
     head, source = begun(source)
     while name := packing(head):
         if (mark := hashlib.sha256(head).digest()) in seen:  # holds itself
@@ -173,7 +186,10 @@ def contents(raw: bytes, most: int) -> Iterator[tuple[tuple[str, ...], bytes, bo
             break
         more = unpacked_rest(inside, rest, source, most)
         way += (name,)
+        faults.append(rest)
         head, source = begun(itertools.chain([first] if first else [], more))
+    if within and not way:
+        return
     parts, size, kept, n = [], 0, 0, 0
     for chunk in source:
         parts.append(chunk)
@@ -186,10 +202,14 @@ def contents(raw: bytes, most: int) -> Iterator[tuple[tuple[str, ...], bytes, bo
             size = kept = len(parts[0])
     if size > kept:
         yield way, b"".join(parts), n == 1
+    if way and not within and any(BROKEN_STREAM in rest for rest in faults):
+        yield (), raw, False
 
 
 def unpacked_rest(inside: Iterator[bytes], rest: list[bytes], source: Iterator[bytes], most: int) -> Iterator[bytes]:
     yield from inside
+    if BROKEN_STREAM in rest:
+        return
     left = b"".join(rest).lstrip(b"\0")
     yield from unpacked(itertools.chain([left] if left else [], source), most)
 
@@ -249,18 +269,37 @@ def inner(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
     if "\\" in text and (new := replaced(layer, "unicode", UNICODE, from_unicode)):
         yield new, False
     runs = [("base64", m) for m in BASE64.finditer(text)] + [("hex", m) for m in HEX_BYTES.finditer(text)]
-    for name, m in runs:
-        if name == "base64":
-            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            if len(body) % 4 == 1:
+    for name, a, b in ((name, a, b) for name, m in runs for a, b in whole_and_lines(m)):
+        place, opened = layer.place(a, b), False
+        for raw, within in decoded(name, BROKEN.sub("", text[a:b])):
+            if within and opened:  # part of the stream that the run is
                 continue
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
+            for way, piece, cut in contents(raw, most, within):
+                opened = opened if within else bool(way)
+                for i, content in enumerate(texts_of(piece)):
+                    yield Layer(content, (*layer.way, name, *way), *place), cut and i == 0
+
+
+def whole_and_lines(m: re.Match) -> list[tuple[int, int]]:
+    """Where a run lies, and where each of its lines does: they can be runs of their own."""
+    breaks = [b.span() for b in BROKEN.finditer(m.string, *m.span())]
+    lines = zip([m.start(), *[b for _, b in breaks]], [*[a for a, _ in breaks], m.end()], strict=True)
+    return [m.span(), *[(a, b) for a, b in lines if breaks and b - a >= 16]]
+
+
+def decoded(name: str, run: str) -> Iterator[tuple[bytes, int]]:
+    """The bytes of a run from each alignment, 0 or where a compressed stream may begin in them."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/") if name == "base64" else run
+    for begin in range(4 if name == "base64" else 2):
+        if name == "base64":
+            own = body[begin:]
+            own = own[: len(own) - (len(own) % 4 == 1)]
+            raw = base64.b64decode(own + "=" * (-len(own) % 4))
         else:
-            raw = bytes.fromhex(m[0])
-        place = layer.place(*m.span())
-        for way, piece, cut in contents(raw, most):
-            for i, content in enumerate(texts_of(piece)):
-                yield Layer(content, (*layer.way, name, *way), *place), cut and i == 0
+            raw = bytes.fromhex(body[begin : len(body) - (len(body) - begin) % 2])
+        yield raw, 0
+        for m in WITHIN.finditer(raw, 1):
+            yield raw, m.start()
 
 
 def scan(text: str, most: int = MOST_BYTES) -> tuple[list[Span], list[Span], int]:

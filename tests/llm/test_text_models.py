@@ -230,3 +230,20 @@ def test_layers_in_other_encodings_are_scanned():
     assert "base64/assign" in hidden(b"caf\xe9 " + key.encode())
     assert [s.kind for s in secrets.scan("".join(f"%{b:02x}" for b in b"caf\xe9 " + key.encode()))[1]] == ["url/assign"]
     assert [s.kind for s in secrets.scan("\\ud800" + "".join(f"\\u{ord(c):04x}" for c in key))[1]] == ["unicode/assign"]
+
+
+def test_wrapped_and_misaligned_runs():
+    key = b"password: hunter2hunter"
+    plain = b"some words, " * 3 + b"and more of them " + key + b" " + b"then others. " * 9
+    for width in (64, 76):
+        for end in ("\n", "\r\n", "\n    ", "\\n"):
+            wrap = lambda raw: end.join(re.findall(f".{{1,{width}}}", raw))  # noqa: E731, B023
+            text = f"vor {wrap(base64.b64encode(plain).decode())} nach"
+            assert secrets.redacted(text, "[x]") == "vor [x] nach"
+            assert secrets.redacted(f"vor {wrap(plain.hex())} nach", "[x]") == "vor [x] nach"
+            noise = random.Random(8).randbytes(300)
+            assert "base64/gzip/assign" in {s.kind for s in secrets.scan(wrap(base64.b64encode(gzip.compress(noise + key)).decode()))[1]}
+    for before in ("a-", "ab_", "abc/", "abcd-", "key"):
+        assert "assign" in {s.kind.rpartition("/")[2] for s in secrets.scan(before + base64.b64encode(key).decode())[1]}
+        assert "base64/gzip/assign" in {s.kind for s in secrets.scan(before + base64.b64encode(gzip.compress(key)).decode())[1]}
+    assert [s.kind for s in secrets.scan("0x0" + key.hex())[1]] == ["hex/assign"]
