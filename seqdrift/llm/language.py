@@ -2,8 +2,10 @@
 
 A text is the vector of its letter n-grams (one to three letters, word borders included, hashed), weighted by
 sublinear counts and inverse document frequency and normalised. Fitting clusters a bounded sample of each language into
-a few centroids; a text gets the language of the centroid with the largest cosine. Distance rejects: a text that is much
-further from its centroid than any sample that is no longer than it belongs to none.
+a few centroids; a text gets the language of the centroid with the largest cosine. Distance rejects: each language has a
+bound for each class of length, from the cosines of its sampled texts of that length (longer ones cut to it where few
+are), each taken against centroids of the half of the sample that it is not in: three times as far below their median as
+their 5 % quantile is, and not below the bound of shorter texts. A text below the bound of its language is rejected.
 
 The sample: about `per_language` labelled rows of each language (binomial, by a hash of the id), so what one clustering
 task holds is bounded. Everything else reads all rows and whole texts.
@@ -32,7 +34,7 @@ BITS = 12
 WIDTH = 1 << BITS
 N = (1, 2, 3)
 ROWS = 256  # texts whose dense vectors are in memory at once
-SHORT = 32
+MANY = 200  # texts of a length that are enough for its bound
 LENGTHS = 32  # classes of text length, by powers of two
 
 
@@ -91,7 +93,7 @@ class Model(NamedTuple):
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray  # the number of the language of each centroid
-    least: np.ndarray  # by length class: a smaller cosine rejects
+    least: np.ndarray  # by language and length class: a smaller cosine rejects
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,6 +106,35 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(WIDTH), -1)), pa.array(np.append(total, n))], ["slot", "n"])
 
 
+def bounds(texts: list[str], v: np.ndarray, size: np.ndarray, idf: np.ndarray, k: int) -> list[float]:
+    """By length class, the cosine that texts of a language hardly go below."""
+    halves = [cluster(v[i::2] if len(v) > 1 else v, k) for i in (1, 0)]  # of the texts that are not in the half
+    other = lambda x, row: np.where(row % 2 == 0, *[(x @ c.T).max(axis=1) for c in halves])
+    near = other(v, np.arange(len(v)))
+    out: list[float] = []
+    for c in range(LENGTHS):
+        own = near[size == c]
+        longer = np.flatnonzero(size > c)[: MANY - len(own)] if len(own) < MANY else []
+        if len(longer):  # parts with between 2^c and 2^(c+1) letters
+            parts = ["".join(_until(texts[i], (3 << c) // 2)) for i in longer]
+            own = np.append(own, other(vectors(counts(parts)[0], idf), longer))
+        if len(own):
+            low, middle = np.quantile(own, [0.05, 0.5])
+            out.append(max(out[-1] if out else 0.0, float(3 * low - 2 * middle)))
+        else:  # longer than all: no closer than the longest
+            out.append(out[-1] if out else 0.0)
+    return out
+
+
+def _until(text: str, letters: int) -> Iterator[str]:
+    """The characters of a text up to so many letters."""
+    for x in text:
+        yield x
+        letters -= x.isalpha()
+        if letters <= 0:
+            return
+
+
 def _fit_one(idf: np.ndarray, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id")
@@ -114,18 +145,18 @@ def _fit_one(idf: np.ndarray, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             v.append(vectors(found, idf))
             letters.append(many)
         v, letters = np.concatenate(v), np.concatenate(letters)
+        texts = [t for t, n in zip(texts, letters, strict=True) if n]
         v, letters = v[letters > 0], letters[letters > 0]
         if not len(v):
             return pd.DataFrame({"lang": [], "centroids": [], "least": []})
         centroids = cluster(v, k)
-        near, size = (v @ centroids.T).max(axis=1), length_class(letters)
-        least = [float(near[size <= c].min()) if (size <= c).any() else 1.0 for c in range(LENGTHS)]
+        least = bounds(texts, v, length_class(letters), idf, k)
         return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "centroids": [centroids.astype("<f4").tobytes()], "least": [least]})
 
     return run
 
 
-def fit(docs: DataFrame, per_language: int = 2000, clusters: int = 4, slack: float = 0.4, max_languages: int = 1000) -> Model:
+def fit(docs: DataFrame, per_language: int = 2000, clusters: int = 4, max_languages: int = 1000) -> Model:
     """Learns from rows of `docs` (doc_id, text, lang) with a label; the caller leaves out what is held out."""
     labelled = docs.select("doc_id", "text", "lang").where("lang is not null and doc_id is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
@@ -141,9 +172,7 @@ def fit(docs: DataFrame, per_language: int = 2000, clusters: int = 4, slack: flo
     idf = (np.log((1 + seen[-1]) / (1 + seen[:WIDTH])) + 0.1).astype(np.float32)
     found = sample.groupBy("lang").applyInPandas(_fit_one(idf, clusters), "lang string, centroids binary, least array<double>")
     rows = sorted(found.collect(), key=lambda r: r["lang"])
-    # shorter texts lie further off; below SHORT letters distance says nothing
-    least = slack * np.array([r["least"] for r in rows]).reshape(len(rows), LENGTHS).min(axis=0, initial=1.0)
-    least[: int(np.log2(SHORT))] = 0.0
+    least = np.array([r["least"] for r in rows]).reshape(len(rows), LENGTHS)
     centroids = [np.frombuffer(r["centroids"], "<f4").reshape(-1, WIDTH) for r in rows]
     return Model(
         [r["lang"] for r in rows],
@@ -164,7 +193,7 @@ def classify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarr
     best = near.argmax(axis=1)
     score = np.where(some, np.clip(near[np.arange(len(texts)), best], 0.0, 1.0), 0.0).astype(np.float64)
     lang = model.owner[best]
-    accepted = some & (score >= model.least[length_class(letters)])
+    accepted = some & (score >= model.least[lang, length_class(letters)])
     return [model.languages[i] if s else "und" for i, s in zip(lang, some, strict=True)], score, accepted
 
 

@@ -247,3 +247,15 @@ def test_wrapped_and_misaligned_runs():
         assert "assign" in {s.kind.rpartition("/")[2] for s in secrets.scan(before + base64.b64encode(key).decode())[1]}
         assert "base64/gzip/assign" in {s.kind for s in secrets.scan(before + base64.b64encode(gzip.compress(key)).decode())[1]}
     assert [s.kind for s in secrets.scan("0x0" + key.hex())[1]] == ["hex/assign"]
+
+
+def test_foreign_and_junk_texts_in_latin_script_are_rejected(table):
+    draw = random.Random(9)
+    own = [(i, prose(draw, lang, draw.randint(1, 120)), lang, "s") for i in range(900) for lang in [("aa", "bb", "cc")[i % 3]]]
+    short = [(1000 + i, t, lang, "s") for i, (t, lang) in enumerate([("ok", "aa"), ("Kim", "bb"), ("x", "cc")] * 5)]
+    model = language.fit(language.training_rows(table(own + short)))
+    foreign = [" ".join("".join(draw.choices(["ki", "lo", "nju", "mba", "pa"], k=3)) for _ in range(n)) for n in (30, 60, 200)]
+    junk = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=k)) for k in (24, 300, 2000)]
+    assert not language.classify(foreign + junk, model)[2].any()
+    held = [t for i, t, _, _ in own if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert language.classify(held, model)[2].mean() > 0.98
