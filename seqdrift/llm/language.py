@@ -8,7 +8,7 @@ are), each taken against centroids of the half of the sample that it is not in:
 their 5 % quantile is, and not below the bound of shorter texts. A text below the bound of its language is rejected.
 
 The sample: about `per_language` labelled rows of each language (binomial, by a hash of the id), so what one clustering
-task holds is bounded. Everything else reads all rows and whole texts.
+task holds is bounded. Document frequencies and everything else are of all rows and whole texts.
 
 Null text or text without a letter: `und`, score 0, rejected. Null id: never used to fit. Null labels are not learned.
 No labelled row: every prediction is `und`. Ties: the first language in order. Repeated rows each get their row.
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, per_language: int = 2000, clusters: int = 4, max_langua
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(sizes.items())], F.lit(0.0))
     unit = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     sample = written(labelled.where(unit < share), "language-sample")
-    frequency = sample.select("text").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    frequency = labelled.select("text").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros(WIDTH + 1)
     for r in frequency:
         seen[r["slot"]] = r["n"]

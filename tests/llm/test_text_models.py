@@ -259,3 +259,9 @@ def test_foreign_and_junk_texts_in_latin_script_are_rejected(table):
     assert not language.classify(foreign + junk, model)[2].any()
     held = [t for i, t, _, _ in own if zlib.crc32(str(i).encode()) % 4 == 2]
     assert language.classify(held, model)[2].mean() > 0.98
+
+
+def test_document_frequencies_are_of_all_training_rows(table, corpus):
+    model = language.fit(table(corpus), per_language=20)
+    seen = (language.counts([t for _, t, _, _ in corpus])[0] > 0).sum(axis=0)
+    assert np.allclose(model.idf, np.log((1 + len(corpus)) / (1 + seen)) + 0.1, atol=1e-5)
