@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqdrift.llm import decontaminate, language, licenses, lm, neardup, packing, quality, secrets, sharding, suffixes
+from seqdrift.llm import decontaminate, language, licenses, lm, manifest, neardup, packing, quality, secrets, sharding, suffixes
 from seqdrift.llm.base import documents, remainder, shipped
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -203,3 +203,63 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return licenses.find_licences(docs, licenses.train(docs))
+
+
+OP13_SQL = r"""
+with recursive tab as (
+  select list(c order by i) as tab from (
+    select i, list_reduce(list_prepend(i::bigint, range(8)),
+      lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+d as (
+  select *, 'd' || coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-') as head,
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(doc_id::varchar) + 1),
+      lambda i: ord(substr(doc_id::varchar, i::bigint, 1))::bigint)),
+      lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 2 = 0 as even
+  from documents, tab),
+l as (
+  select doc_id, source, sha256(substr(head, 2) || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    sha256(substr(head, 2) || case when text is null then '-' when even
+      then strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') else strlen(text) || ':' || text end) as altered
+  from d),
+p as (select *, dense_rank() over (order by source nulls first) as g,
+  row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos from l),
+t as (
+  select g, 0 as lvl, pos, leaf as h from p
+  union all
+  select g, lvl + 1, q, sha256(string_agg(h, '' order by pos)) from (
+    select *, pos // 3 as q, count(*) over (partition by g) as n from t) where n > 1 group by g, lvl, q),
+s as (select g, max_by(h, lvl) as subroot, max(lvl) as height from t group by g),
+u as (
+  select 0 as lvl, g - 1 as pos, subroot as h from s
+  union all
+  select lvl + 1, q, sha256(string_agg(h, '' order by pos)) from (
+    select *, pos // 3 as q, count(*) over () as n from u) where n > 1 group by lvl, q),
+r as (select max_by(h, lvl) as root, max(lvl) as height from u),
+a as (
+  select p.g, p.pos, k.lvl, p.pos // (3 ** k.lvl)::bigint as own from p join s using (g), range(0, 40) k(lvl) where k.lvl < s.height),
+b as (select s.g, k.lvl, (s.g - 1) // (3 ** k.lvl)::bigint as own from s, r, range(0, 40) k(lvl) where k.lvl < r.height),
+x as (
+  select a.g, a.pos, a.lvl, coalesce(string_agg(h, '' order by t.pos) filter (t.pos < own), '') || '|'
+    || coalesce(string_agg(h, '' order by t.pos) filter (t.pos > own), '') as sides
+  from a join t on t.g = a.g and t.lvl = a.lvl and t.pos // 3 = own // 3 group by all),
+y as (
+  select b.g, b.lvl, coalesce(string_agg(h, '' order by u.pos) filter (u.pos < own), '') || '|'
+    || coalesce(string_agg(h, '' order by u.pos) filter (u.pos > own), '') as sides
+  from b join u on u.lvl = b.lvl and u.pos // 3 = own // 3 group by all),
+e as (select g, pos, list(sides order by lvl) as path from x group by all),
+f as (select g, list(sides order by lvl) as path from y group by all),
+o as (
+  select p.*, subroot, root, list_concat(coalesce(e.path, []), coalesce(f.path, [])) as path
+  from p join s using (g) left join e on e.g = p.g and e.pos = p.pos left join f on f.g = p.g, r),
+z as (select *, list_reduce(list_prepend(altered, path),
+  lambda c, x: sha256(split_part(x, '|', 1) || c || split_part(x, '|', 2))) as folded_root from o)
+select doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) as proof_sha256, folded_root,
+  folded_root = root as verified
+from z
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(manifest.manifest(documents(spark, sf_dir)))
