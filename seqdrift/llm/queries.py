@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqdrift.llm import decontaminate, language, licenses, lm, manifest, neardup, packing, quality, secrets, sharding, suffixes
+from seqdrift.llm import decontaminate, language, licenses, lm, manifest, neardup, packing, quality, runs, secrets, sharding, suffixes
 from seqdrift.llm.base import documents, remainder, shipped
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -263,3 +263,8 @@ from z
 @query("op13_merkle_manifest", OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(manifest.manifest(documents(spark, sf_dir)))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(runs.implanted(documents(spark, sf_dir))))
