@@ -19,9 +19,10 @@ stretches found with several periods count once, with the smallest. Only the nam
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import compress
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -199,8 +200,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_runs, first, best, texts, sizes = [], [0], [], [], []
         for text in batch.column("text").cast(pa.large_binary()):
             words = (text.as_py() or b"").split()  # bytes: exactly \x20 and \x09 to \x0D
-            numbers: dict[bytes, int] = {}
-            ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+            numbers: dict[bytes, int] = defaultdict(count().__next__)
+            ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
             runs = runs_of(ids)
             all_runs.append(runs)
             first.append(first[-1] + len(runs))
