@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqdrift.llm import decontaminate, language, licenses, lm, manifest, neardup, packing, quality, runs, secrets, sharding, suffixes
+from seqdrift.llm import decontaminate, language, licenses, lm, manifest, neardup, packing, quality, runs, secrets, sharding, suffixes, webtext
 from seqdrift.llm.base import documents, remainder, shipped
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -268,3 +268,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_periodic_runs")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find_runs(runs.implanted(documents(spark, sf_dir))))
+
+
+@query("op12_page_templates")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
