@@ -1,26 +1,40 @@
-"""Flow assembly from a stream of packet events.
-
-Each micro-batch is put beside what is still needed of open connections and goes through the batch
-operators, which order rows by arrival and keep no more than the horizon of any connection. Connections
-that have ended are assembled and written; of the others a bounded remainder is carried over: three
-handshake rows, the milestones, and at most 50 packets each.
-
-Results and carried rows of a micro-batch live in folders named by its number, so a batch that is run
-again after a failure replaces its own output and reads the same input.
+"""Flow assembly from a stream of packet events, with keyed state.
+
+Each connection has a record (`Connection`), the packets taken in so far, at most the horizon, and events that wait for
+their turn. Events may come shuffled, late and repeated: they wait until the watermark has passed their time and are then
+applied by arrival, so `delay` must cover how far the tap's order and the timestamps differ. A connection is written at
+its 50th packet, at its `end` event, or after `idle` seconds of silence, whichever comes first. From then on a done
+flag swallows what still comes for it, and expires `keep` seconds after the last of it. So the state of a connection is a record,
+50 packets and the events of its last `delay` seconds, and it is gone some time after the connection.
+
+State lives in the state store of the stream, results in a file sink: after a failure the query goes on from its
+checkpoint and writes nothing twice. Unlike the batch form, which sees the end of the table first, a SYN after
+the 50th packet does not undo a flow that has been written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from seqdrift.operators import assemble as A
-from seqdrift.schema import FLOW_LOG, HORIZON, PACKET_EVENTS, PACKET_LOG
-from seqdrift.session import settled
+from seqdrift.schema import FLOW_LOG, HORIZON, PACKET_EVENTS
+from seqdrift.streaming.connection import END, Connection
 
-#: event that marks the end of a connection
-END = "end"
+__all__ = ["END", "assembled", "packet_stream", "reasons", "stream_assemble", "tick"]
+
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EVENT = "arrival long, ms long, ts double, is_orig boolean, flags string, seq long, len long, head string, event string, version string"
+EVENT_FIELDS = [f.split(" ")[0] for f in EVENT.split(", ")]
+PACKET = "ts double, direction int, size int"
+RECORD = Connection.schema() + ", last_ms long, waiting long, timer long"
+FLOW_FIELDS = FLOW_LOG.fieldNames()[1:]
+OUTCOME = (
+    "conn_id string, flow struct<syn_ts:double,synack_ts:double,ack_ts:double,version:string,client_hello:int,server_hello:int,ssl_est:int,len:bigint>,"
+    " packets array<struct<ts:double,direction:int,size:int>>, reasons array<string>"
+)
 
 
 def packet_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -31,58 +45,139 @@ def packet_stream(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.parquet(path)
 
 
-def remainder(rows: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """What later packets of open connections still need: the SYN, establishment and first ACK that count,
-    the milestones, the packets up to the horizon. Packets before the handshake never count."""
-    flags = F.coalesce(F.col("flags"), F.lit(""))
-    marks = rows.where(flags != "").groupBy("conn_id").agg(
-        F.max(F.when((flags == "S") & F.col("is_orig"), F.col("arrival"))).alias("_syn"),
-        F.min(F.when((flags == "SA") & ~F.col("is_orig"), F.col("arrival"))).alias("_sa"),
-        F.min(F.when(F.col("is_orig") & flags.contains("A"), F.col("arrival"))).alias("_ack"),
-    )
-    kept = A.data_packets(rows, A.checked_handshakes(rows), horizon).select("conn_id", "arrival", F.lit(True).alias("_kept"))
-    joined = rows.join(marks, "conn_id", "left").join(kept, ["conn_id", "arrival"], "left")
-    at = F.col("arrival")
-    needed = (at == F.col("_syn")) | (at == F.col("_sa")) | (at == F.col("_ack")) | F.col("event").isin(*A.MILESTONES) | F.col("_kept")
-    return joined.where(F.coalesce(needed, F.lit(False))).select(rows.columns)
-
-
-def ended(rows: DataFrame, idle: float | None) -> DataFrame:
-    """Connections with an end event, and with `idle` those silent for that many seconds of event time."""
-    last = rows.groupBy("conn_id").agg(F.max("ts").alias("_last"), F.max(F.coalesce(F.col("event") == END, F.lit(False))).alias("_end"))
-    if idle is None:
-        return last.where("_end").select("conn_id")
-    now = rows.agg(F.max("ts")).first()[0]
-    return last.where(F.col("_end") | (F.col("_last") < F.lit(now) - idle)).select("conn_id")
-
-
-def stream_assemble(events: DataFrame, out: str, checkpoint: str, allow_shorter: bool = True, idle: float | None = None,
-                    available_now: bool = False) -> StreamingQuery:
-    """Starts assembling. Flows and packets appear below `out`, one folder per micro-batch."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = rows.unionByName(spark.read.schema(PACKET_EVENTS).parquet(f"{out}/open/{number - 1}"))
-        rows = rows.persist()
-        over = settled(ended(rows, idle), "ended")
-        done = A.assemble(rows.join(over, "conn_id", "left_semi"), allow_shorter)
-        done.flows.write.mode("overwrite").parquet(f"{out}/flows/{number}")
-        done.packets.write.mode("overwrite").parquet(f"{out}/packets/{number}")
-        done.reasons().write.mode("overwrite").parquet(f"{out}/reasons/{number}")
-        remainder(rows.join(over, "conn_id", "left_anti")).write.mode("overwrite").parquet(f"{out}/open/{number}")
-        rows.unpersist()
-
-    writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+def tick(spark: SparkSession, ts: float) -> DataFrame:
+    """An event of no connection that moves the watermark on, so that a tap that falls silent still ends its connections."""
+    values = {"conn_id": None, "arrival": 0, "ts": ts}
+    return spark.createDataFrame([tuple(values.get(c) for c in PACKET_EVENTS.fieldNames())], PACKET_EVENTS)
+
+
+class Assembler(StatefulProcessor):
+    """State per connection: record (value), packets taken in and waiting events (lists), one event-time timer."""
+
+    def __init__(self, allow_shorter: bool, horizon: int, idle_ms: int, keep_ms: int) -> None:
+        self.allow_shorter, self.horizon, self.idle_ms, self.keep_ms = allow_shorter, horizon, idle_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", RECORD)
+        self.packets = handle.getListState("packets", PACKET)
+        self.waiting = handle.getListState("waiting", EVENT)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803 - names of the interface
+        if key[0] is None:
+            return
+        yield from self._go_on(key[0], [tuple(r[c] for c in EVENT_FIELDS) for r in rows], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        yield from self._go_on(key[0], [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+
+    def _go_on(self, conn_id: str, new: list[tuple], now: int, fired: int | None = None) -> Iterator[Row]:
+        known = self.record.get()
+        if known is None:
+            connection, last_ms, held, timer = Connection(), -1, 0, None
+        else:
+            *values, last_ms, held, timer = known
+            connection = Connection(*values)
+        if timer is not None and timer == fired:
+            timer = None
+        if connection.over:
+            self._swallow(known, max([last_ms, *(e[1] for e in new)]), now, timer)
+            return
+        events = {e[0]: e for e in self.waiting.get()} if held else {}
+        events.update((e[0], e) for e in new if connection.last_arrival is None or e[0] > connection.last_arrival)
+        last_ms = max([last_ms, *(e[1] for e in new)])
+        order, done = sorted(events), 0
+        void, taken = False, []
+        while done < len(order) and not connection.over and events[order[done]][1] <= now:
+            reset, packet = connection.apply(dict(zip(EVENT_FIELDS, events[order[done]])), self.horizon)
+            if reset:
+                void, taken = True, []
+            if packet is not None:
+                taken.append(packet)
+            done += 1
+        left = order[done:]
+        # silence counts from the last event, once everything before it has had its turn
+        silent = not left and not connection.over and now >= last_ms + self.idle_ms
+        if connection.over or silent:
+            yield from self._finish(conn_id, connection, void, taken)
+            self.packets.clear()
+            if held:
+                self.waiting.clear()
+            connection, left = Connection(over=True), []
+            last_ms, due = max(last_ms, now), max(last_ms, now) + self.keep_ms
+        else:
+            if void:
+                self.packets.put(taken) if taken else self.packets.clear()
+            elif taken:
+                self.packets.appendList(taken)
+            if left and (new or done):
+                self.waiting.put([events[a] for a in left])
+            elif held and not left:
+                self.waiting.clear()
+            due = events[left[0]][1] + 1 if left else last_ms + self.idle_ms
+        due = max(due, now + 1)
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.record.update((*connection.values(), last_ms, len(left), due))
+
+    def _swallow(self, known: tuple, newest: int, now: int, timer: int | None) -> None:
+        """The done flag: later events prolong it, written down only when half its time has passed."""
+        last_ms = known[-3]
+        if timer is None and now >= newest + self.keep_ms:
+            self.record.clear()
+        elif timer is None or newest > last_ms + self.keep_ms // 2:
+            due = max(newest + self.keep_ms, now + 1)
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            self.record.update((*known[:-3], newest, 0, due))
+
+    def _finish(self, conn_id: str, connection: Connection, void: bool, taken: list[tuple]) -> Iterator[Row]:
+        why = connection.reasons(self.allow_shorter, self.horizon)
+        if not why:
+            return
+        flow = connection.flow(self.allow_shorter, self.horizon)
+        packets = ([] if void else [tuple(p) for p in self.packets.get()]) + taken if flow else []
+        yield Row(conn_id=conn_id, flow=None if flow is None else Row(**flow), packets=[Row(ts=t, direction=d, size=s) for t, d, s in packets], reasons=why)
+
+    def close(self) -> None:
+        pass
+
+
+def outcomes(events: DataFrame, allow_shorter: bool = True, idle: float = 3600.0, delay: float = 60.0, keep: float | None = None,
+             horizon: int = HORIZON) -> DataFrame:
+    """The stream of ended connections: conn_id, flow (null if it was discarded), packets, reasons."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    rows = events.select(
+        "conn_id", "arrival", F.timestamp_micros((F.col("ts") * 1e6).cast("long")).alias("_time"), (F.col("ts") * 1000).cast("long").alias("ms"),
+        "ts", "is_orig", "flags", "seq", "len", F.substring(F.hex("payload_prefix"), 1, 6).alias("head"), "event", "version",
+    ).withWatermark("_time", f"{int(delay * 1000)} milliseconds")
+    keep = delay if keep is None else keep
+    processor = Assembler(allow_shorter, horizon, int(idle * 1000), int(keep * 1000))
+    return rows.groupBy("conn_id").transformWithState(processor, OUTCOME, "append", "EventTime")
+
+
+def stream_assemble(events: DataFrame, out: str, checkpoint: str, allow_shorter: bool = True, idle: float = 3600.0, delay: float = 60.0,
+                    keep: float | None = None, available_now: bool = False) -> StreamingQuery:
+    """Starts assembling. Ended connections are appended to the table `out`, each one once."""
+    ended = outcomes(events, allow_shorter, idle, delay, keep)
+    writer = ended.writeStream.format("parquet").option("path", f"{out}/ended").option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _ended(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(OUTCOME).parquet(f"{out}/ended")
+
+
 def assembled(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     """Flows and packets written so far."""
-    return spark.read.schema(FLOW_LOG).parquet(f"{out}/flows/*"), spark.read.schema(PACKET_LOG).parquet(f"{out}/packets/*")
+    ended = _ended(spark, out).where("flow is not null")
+    packets = ended.select("conn_id", F.posexplode("packets").alias("idx", "_p")).select("conn_id", "idx", "_p.*")
+    return ended.select("conn_id", *[F.col(f"flow.{c}").alias(c) for c in FLOW_FIELDS]), packets
 
 
 def reasons(spark: SparkSession, out: str) -> DataFrame:
-    read = spark.read.schema("reason string, n bigint").parquet(f"{out}/reasons/*")
-    return read.groupBy("reason").agg(F.sum("n").alias("n"))
+    return _ended(spark, out).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))

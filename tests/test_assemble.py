@@ -9,6 +9,7 @@ from seqdrift.operators import assemble as A
 from seqdrift.schema import PACKET_EVENTS
 from seqdrift.session import shared_dir
 from seqdrift.streaming import assembler as ST
+from seqdrift.streaming.connection import Connection
 
 
 def walk(events, allow_shorter, horizon):
@@ -160,27 +161,178 @@ def test_against_a_walk(spark, connections, allow_shorter, horizon):
     check(got.flows, got.packets, got.reasons(), want)
 
 
-def test_stream_equals_batch(spark, connections):
-    some = {k: v for k, v in connections.items() if k < "c120"}
-    path, out = shared_dir(spark, "tap"), shared_dir(spark, "out")
+def applied(rows, horizon=50):
+    connection, packets = Connection(), []
+    for e in sorted(rows, key=lambda e: e["arrival"]):
+        void, packet = connection.apply(dict(e, head=(e["payload_prefix"] or b"")[:3].hex().upper()), horizon)
+        packets = ([] if void else packets) + ([packet] if packet else [])
+    return connection, packets
+
+
+@pytest.mark.parametrize("allow_shorter,horizon", [(True, 50), (True, 6), (False, 6)])
+def test_event_by_event(connections, allow_shorter, horizon):
+    for name, rows in connections.items():
+        flow, taken, why = walk(rows, allow_shorter, horizon)
+        connection, packets = applied(rows, horizon)
+        assert Counter(connection.reasons(allow_shorter, horizon)) == why, name
+        assert connection.flow(allow_shorter, horizon) == (flow or None), name
+        assert packets == taken or not flow
+        assert Connection(*connection.values()) == connection
+
+
+def with_end(events):
+    last = events[-1]
+    return [*events, dict(last, arrival=last["arrival"] + 1, flags="F", len=0, event=ST.END, version=None, payload_prefix=None)]
+
+
+def shuffled(connections, seed):
+    """Connections spread over time, each row up to 30 s late, every tenth row twice, in ten files."""
+    rng = random.Random(seed)
     rows = []
-    for name, events in some.items():
-        # repeated SYNs are handled by the last one, which a stream cannot know beforehand; all come early here
-        last = events[-1]
-        rows += events + [dict(last, arrival=last["arrival"] + 1, flags="F", len=0, event=ST.END, version=None, payload_prefix=None)]
-    for part in (range(0, 5), range(5, 11), range(11, 100)):
-        frame(spark, [r for r in rows if r["arrival"] in part]).coalesce(1).write.mode("append").parquet(path)
-    run = ST.stream_assemble(ST.packet_stream(spark, path, 1), out, f"{out}/checkpoint", available_now=True)
-    run.awaitTermination()
-    check(*ST.assembled(spark, out), ST.reasons(spark, out), expected(some, True, 50))
-    # nothing is left open, and what is carried between batches is bounded
-    last = run.lastProgress["batchId"]
-    assert spark.read.schema(PACKET_EVENTS).parquet(f"{out}/open/{last}").count() == 0
-
-
-def test_silent_connections_end(spark, connections):
-    events = frame(spark, [r for k, v in connections.items() if k < "c004" for r in v])
-    late = frame(spark, [dict(conn_id="new", arrival=0, ts=1e6, is_orig=True, flags="S", seq=0, len=0, payload_prefix=None, event=None, version=None)])
-    over = ST.ended(events.unionByName(late), idle=60.0)
-    assert {r[0] for r in over.collect()} == {"c000", "c001", "c002", "c003"}
-    assert ST.ended(events, idle=None).count() == 0
+    for k, events in enumerate(connections.values()):
+        for e in with_end(events):
+            row = dict(e, ts=e["ts"] + 7.0 * k)
+            rows += [(row["ts"] + rng.random() * 30, row)] * (2 if rng.random() < 0.1 else 1)
+    rows = [r for _, r in sorted(rows, key=lambda x: x[0])]
+    return [rows[i * len(rows) // 10 : (i + 1) * len(rows) // 10] for i in range(10)]
+
+
+def moved(connections):
+    return {n: [dict(e, ts=e["ts"] + 7.0 * k) for e in rows] for k, (n, rows) in enumerate(connections.items())}
+
+
+def test_stream_equals_batch_over_shuffled_late_and_repeated_rows(spark, connections):
+    some = {k: v for k, v in connections.items() if k < "c060"}
+    path, out = shared_dir(spark, "tap"), shared_dir(spark, "out")
+    parts = shuffled(some, 3)
+
+    def go_on():
+        run = ST.stream_assemble(ST.packet_stream(spark, path, 3), out, f"{out}/checkpoint", delay=60.0, available_now=True)
+        run.awaitTermination()
+        return run
+
+    for part in parts[:5]:
+        frame(spark, part).coalesce(1).write.mode("append").parquet(path)
+    go_on()
+    half = ST._ended(spark, out).count()
+    # a second run takes up state and sink of the first
+    for part in parts[5:]:
+        frame(spark, part).coalesce(1).write.mode("append").parquet(path)
+    for ts in (100_000.0, 200_000.0):
+        ST.tick(spark, ts).coalesce(1).write.mode("append").parquet(path)
+    run = go_on()
+    check(*ST.assembled(spark, out), ST.reasons(spark, out), expected(moved(some), True, 50))
+    assert 0 < half < ST._ended(spark, out).count()
+    # everything has ended, done flags have expired
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+
+
+class Handle:
+    """State of one key, in memory."""
+
+    def __init__(self):
+        self.state, self.timers = {}, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return State(self.state, name)
+
+    getListState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+class State:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def get(self):
+        return self.store.get(self.name, None if self.name == "record" else [])
+
+    def update(self, value):
+        self.store[self.name] = value
+
+    put = update
+
+    def appendList(self, rows):  # noqa: N802
+        self.store[self.name] = [*self.get(), *rows]
+
+    def clear(self):
+        self.store.pop(self.name, None)
+
+
+def drive(rows, delay=60_000, idle=3_600_000, horizon=50, batch=3):
+    """One connection through the processor, a few rows a batch, timers as the watermark passes them."""
+    handle, processor = Handle(), ST.Assembler(True, horizon, idle, delay)
+    processor.init(handle)
+    found, now, most = [], 0, 0
+    for i in range(0, len(rows), batch):
+        part = [(r["arrival"], int(r["ts"] * 1000), *(r[c] for c in ST.EVENT_FIELDS[2:])) for r in rows[i : i + batch]]
+        found += processor._go_on("c", [e for e in part if e[1] >= now], now)
+        now = max([now, *(e[1] - delay for e in part)])
+        for t in sorted(handle.timers):
+            if t < now:
+                handle.timers.discard(t)
+                found += processor._go_on("c", [], now, t)
+        assert len(handle.timers) <= 1
+        most = max(most, len(handle.state.get("packets", [])))
+    return found, handle, most
+
+
+def raw(rows):
+    return [dict(r, head=(r["payload_prefix"] or b"")[:3].hex()) for r in rows]
+
+
+def data(i, ts):
+    return dict(conn_id="c", arrival=i, ts=ts, is_orig=True, flags="PA", seq=i * 2, len=2, payload_prefix=b"\x16\x03\x01", event=None, version=None)
+
+
+def opening(ts=100.0):
+    rows = [dict(data(i, ts + i), flags=f, is_orig=i != 1, len=0) for i, f in enumerate(("S", "SA", "A"))]
+    marks = ("client_hello", "server_hello", "ssl_est")
+    return rows + [dict(data(3 + i, ts + 3 + i), event=m, version="TLSv13") for i, m in enumerate(marks)]
+
+
+def test_fiftieth_packet_ends_a_connection_and_later_rows_open_none():
+    rows = raw(opening() + [data(i, 100.0 + i) for i in range(6, 2000)])
+    found, handle, most = drive(rows)
+    assert len(found) == 1 and found[0].flow["len"] == 50 and len(found[0].packets) == 50 and most <= 50
+    # the done flag is all that is left, and it expires
+    assert set(handle.state) == {"record"} and handle.state["record"][23] is True
+    other = raw([dict(data(9000 + i, 1e6 * (i + 1)), flags="", len=0) for i in range(3)])
+    handle = drive(rows, batch=50)[1]
+    ST_ = ST.Assembler(True, 50, 3_600_000, 60_000)
+    ST_.init(handle)
+    (timer,) = handle.timers
+    assert list(ST_._go_on("c", [], timer + 1, timer)) == [] and not handle.state
+    assert len(drive(rows + other)[0]) == 1
+
+
+def test_silence_ends_a_connection():
+    rows = raw(opening() + [data(i, 100.0 + i) for i in range(6, 12)])
+    assert drive(rows)[0] == []
+    _, handle, _ = drive(rows)
+    processor = ST.Assembler(True, 50, 3_600_000, 60_000)
+    processor.init(handle)
+    found, now = [], 111_000
+    for _ in range(3):  # other connections move the watermark on
+        (timer,) = handle.timers or {None}
+        now = max(now, timer + 1)
+        handle.timers.discard(timer)
+        found += processor._go_on("c", [], now, timer)
+    assert [r.flow["len"] for r in found] == [9] and now > 111_000 + 3_600_000 and not handle.state
+
+
+def test_rows_of_any_order_within_the_delay():
+    rng = random.Random(5)
+    rows = raw(with_end(opening() + [data(i, 100.0 + i) for i in range(6, 30)])) + raw([dict(data(999, 1e5), flags="", len=0)])
+    want = drive(rows)[0]
+    assert len(want) == 1 and want[0].flow["len"] == 27
+    for _ in range(20):
+        body = rows[:-1]
+        rng.shuffle(body)
+        body += rng.sample(body, 5)
+        assert drive([*body, rows[-1]], batch=rng.randrange(1, 9))[0] == want
