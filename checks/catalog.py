@@ -31,6 +31,7 @@ from seqdrift.schema import FEATURES, SHORT
 from seqdrift.session import settled, shared_dir
 from seqdrift.sources import artifacts as AR
 from seqdrift.sources import logs as L
+from seqdrift.sources import pairs as PL
 from seqdrift.sources import tables as T
 from seqdrift.streaming import assembler as ST
 from seqdrift.streaming import counting as SC
@@ -1052,6 +1053,40 @@ def tsv_logs(spark, sf):
     return pick(f.join(sums, "conn_id"), "conn_id", "version", "syn_ts", "ssl_est", "len", "packets", "time_sum", time_sum=3)
 
 
+def _log_tree(spark, sf) -> str:
+    flows, packets = T.event_flows(spark, sf)
+    path = shared_dir(spark, "tree")
+    PL.write_pairs(flows, packets, path, 8)
+    PL.register(spark)
+    return path
+
+
+def _log_sums(flows: DataFrame, packets: DataFrame) -> DataFrame:
+    f, p = FL.build_flows(flows, packets)
+    sums = p.groupBy("conn_id").agg(F.count("*").alias("packets"), F.sum(F.col("ts") - 1.7e9).alias("time_sum"))
+    return pick(f.join(sums, "conn_id"), "conn_id", "version", "syn_ts", "ssl_est", "len", "packets", "time_sum", time_sum=3)
+
+
+@query("paired_log_source", ORACLES["tsv_logs"])
+def paired_log_source(spark, sf):
+    """Logs of a tree of paired folders, each table read by one call."""
+    path = _log_tree(spark, sf)
+    flows, packets = (spark.read.format(PL.NAME).option("table", t).load(path).drop("dir") for t in ("flows", "packets"))
+    return _log_sums(flows, packets)
+
+
+@query("paired_log_stream", ORACLES["tsv_logs"])
+def paired_log_stream(spark, sf):
+    """The same tree as two streams, each written to a table."""
+    path, out = _log_tree(spark, sf), shared_dir(spark, "streamed")
+    for t in ("flows", "packets"):
+        rows = spark.readStream.format(PL.NAME).option("table", t).option("settle", "0").load(path).drop("dir")
+        run = rows.writeStream.format("parquet").option("path", f"{out}/{t}").option("checkpointLocation", f"{out}/{t}-checkpoint").start()
+        run.processAllAvailable()
+        run.stop()
+    return _log_sums(spark.read.parquet(f"{out}/flows"), spark.read.parquet(f"{out}/packets"))
+
+
 @query("flow_tables", X.sql(f"select conn_id, {big('count(*)', 'packets')}, {big('sum(size)', 'total_size')} from a_pkt where conn_id in (select conn_id from a_flow) group by conn_id", "a_pkt", "a_flow"))
 def flow_tables(spark, sf):
     path = shared_dir(spark, "flows")
@@ -1180,3 +1215,48 @@ def stream_profile(spark, sf):
     run = SC.stream_profile(rows, q, "side", out, f"{out}-checkpoint", available_now=True)
     run.awaitTermination()
     return pick(P.as_text(spark.read.parquet(f"{out}/{run.lastProgress['batchId']}")))
+
+
+def _tapped(spark, b: DataFrame, by: str, parts: int = 3) -> DataFrame:
+    """Feature rows as a stream of micro-batches, the rows of a flow dealt over them in any order."""
+    path = shared_dir(spark, "rows")
+    for k in range(parts):
+        b.where(F.pmod(F.xxhash64("conn_id", "idx", F.lit(by)), F.lit(parts)) == k).coalesce(4).write.parquet(f"{path}/{k}")
+    # a file per trigger and part would be a batch of its own: read folders through a glob, a part at a time
+    return spark.readStream.schema(SC.FEATURE_ROWS).option("maxFilesPerTrigger", 4).parquet(f"{path}/*")
+
+
+@query("stream_profile_order1", _hist_sql(X.grams(1, mask=NO_TIME)))
+def stream_profile_order1(spark, sf):
+    b = features_b(spark, sf)
+    q = fitted_b(b, 1)
+    out = shared_dir(spark, "counts")
+    run = SC.stream_profile_order(_tapped(spark, b, "a"), q, 1, "side", out, f"{out}-checkpoint", available_now=True)
+    run.awaitTermination()
+    return pick(P.as_text(SC.streamed_profile(spark, out)))
+
+
+@query("stream_moments", ORACLES["stats_merge"])
+def stream_moments(spark, sf):
+    out = shared_dir(spark, "moments")
+    run = SC.stream_moments(_tapped(spark, features_b(spark, sf), "b"), out, f"{out}-checkpoint", available_now=True)
+    run.awaitTermination()
+    rows = spark.read.parquet(f"{out}/{run.lastProgress['batchId']}")
+    return pick(rows.withColumn("m2_per_value", F.col("m2") / F.col("cnt")), "feature", "idx", "cnt", "mean", "m2_per_value", "min", "max")
+
+
+@query("stream_statistics", ORACLES["stats_merge"])
+def stream_statistics(spark, sf):
+    """Moments out of the partial summaries of micro-batches."""
+    out = shared_dir(spark, "summaries")
+    SC.stream_statistics(_tapped(spark, features_b(spark, sf), "c"), out, f"{out}-checkpoint", available_now=True).awaitTermination()
+    rows = SC.streamed_statistics(spark, out)[0]
+    return pick(rows.withColumn("m2_per_value", F.col("m2") / F.col("cnt")), "feature", "idx", "cnt", "mean", "m2_per_value", "min", "max")
+
+
+@query("stream_quantiles", ORACLES["merged_sketches"])
+def stream_quantiles(spark, sf):
+    """Sketches of micro-batches, merged: how many quantiles lie within the rank error."""
+    b, out = features_b(spark, sf), shared_dir(spark, "summaries")
+    SC.stream_statistics(_tapped(spark, b, "d"), out, f"{out}-checkpoint", available_now=True).awaitTermination()
+    return pick(_within(b, S.quantiles_of_sketches(SC.streamed_statistics(spark, out)[1])))

@@ -30,6 +30,11 @@ def ngrams(features: DataFrame, quantizer: Quantizer, order: int, by: tuple[str,
     if length is not None:
         checked = checked.where(F.col("idx") < length)
     raw = preceding(checked.select("conn_id", *by, "idx", "t", "d", "s"), "conn_id", ["t", "d", "s"], order, CHUNK)
+    return with_history(raw, quantizer, order, by)
+
+
+def with_history(raw: DataFrame, quantizer: Quantizer, order: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, conn_id, idx, ctx, sym) of rows that carry the raw packets before them as `_lag1`, ..., the nearest first."""
     attached = quantizer.attach(raw)
     if order == 0:
         ctx = F.array().cast(f"array<{SYMBOL}>")

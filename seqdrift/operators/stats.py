@@ -53,12 +53,28 @@ def sketched_quantiles(features: DataFrame, by: tuple[str, ...] = ()) -> DataFra
 
 def quantile_sketches(features: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One sketch per feature and position, a binary column that can be saved and merged: (by, feature, idx, sketch)."""
-    sketches = [F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(SKETCH_K)).alias(c) for c in SHORT.values()]
-    wide = features.groupBy(*by, "idx").agg(*sketches)
+    return _sketches_of(features.groupBy(*by, "idx").agg(*_kll_columns()), by)
+
+
+def _kll_columns() -> list[Column]:
+    return [F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(SKETCH_K)).alias(c) for c in SHORT.values()]
+
+
+def _sketches_of(wide: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(c).alias("sketch")) for f, c in SHORT.items()])
     return wide.select(*by, "idx", F.explode(rows).alias("r")).select(*by, "r.feature", "idx", "r.sketch")
 
 
+def partial_summary(features: DataFrame) -> DataFrame:
+    """Moments and mergeable sketches of one shard in one pass, one row per position: what a shard saves."""
+    return features.groupBy("idx").agg(*_moment_columns(), *_kll_columns())
+
+
+def of_partials(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merged moments and merged sketches of saved partial summaries."""
+    return merge_moments(_moments_of(wide, ["idx"])), merge_sketches(_sketches_of(wide))
+
+
 def merge_sketches(sketches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds saved sketches of any number of shards."""
     return sketches.groupBy(*by, "feature", "idx").agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +67,17 @@ def settled_together(*results: tuple[DataFrame, str]) -> list[DataFrame]:
     """`settled` for several independent results, as jobs that run side by side."""
     with ThreadPoolExecutor(max_workers=len(results)) as pool:
         return list(pool.map(lambda r: settled(*r), results))
+
+
+def shipped(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python, once a session, where the job was not submitted with it."""
+    context = spark.sparkContext
+    if getattr(context, "_seqdrift_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="seqdrift-code-")) / "seqdrift.zip"  # read by the driver alone, which serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._seqdrift_shipped = True

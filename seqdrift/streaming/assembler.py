@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from seqdrift.schema import FLOW_LOG, HORIZON, PACKET_EVENTS
+from seqdrift.session import shipped
 from seqdrift.streaming.connection import END, Connection
 
 __all__ = ["END", "assembled", "packet_stream", "reasons", "stream_assemble", "tick"]
@@ -37,6 +38,12 @@ OUTCOME = (
 )
 
 
+def keyed(spark: SparkSession) -> None:
+    """What keyed state needs of a session: a store on disk, and this package in the executors' Python."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    shipped(spark)
+
+
 def packet_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Packet events from a growing folder of Parquet files, oldest first."""
     reader = spark.readStream.schema(PACKET_EVENTS)
@@ -149,8 +156,7 @@ class Assembler(StatefulProcessor):
 def outcomes(events: DataFrame, allow_shorter: bool = True, idle: float = 3600.0, delay: float = 60.0, keep: float | None = None,
              horizon: int = HORIZON) -> DataFrame:
     """The stream of ended connections: conn_id, flow (null if it was discarded), packets, reasons."""
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    keyed(events.sparkSession)
     rows = events.select(
         "conn_id", "arrival", F.timestamp_micros((F.col("ts") * 1e6).cast("long")).alias("_time"), (F.col("ts") * 1000).cast("long").alias("ms"),
         "ts", "is_orig", "flags", "seq", "len", F.substring(F.hex("payload_prefix"), 1, 6).alias("head"), "event", "version",

@@ -1,14 +1,24 @@
-"""Profiles and statistics over streams: counts and moments add up, so Spark's own streaming aggregation holds them."""
+"""Profiles and statistics over streams.
+
+Counts, moments and sketches add up. What fits the result's size is held by Spark's own streaming aggregation
+(`stream_profile`, `stream_moments`). Sketches and histograms of higher order are saved as partial results, one folder per
+micro-batch named by its number: a batch that runs again after a failure replaces its own part, and readers add the parts.
+An order-k profile needs the packets before each packet, whichever micro-batch brought them: keyed state holds them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from seqdrift.operators import profile as P
-from seqdrift.operators.quantize import Quantizer
+from seqdrift.operators import stats as S
+from seqdrift.operators.quantize import Quantizer, domain_guard
+from seqdrift.streaming.assembler import keyed
 
 FEATURE_ROWS = T.StructType([
     T.StructField("conn_id", T.StringType()), T.StructField("side", T.StringType()), T.StructField("idx", T.IntegerType()),
@@ -40,3 +50,84 @@ def stream_moments(features: DataFrame, out: str, checkpoint: str, available_now
     from seqdrift.operators.stats import moments
 
     return _whole(moments(features), out, checkpoint, available_now)
+
+
+PACKETS = "array<struct<idx:int,t:double,d:int,s:int>>"
+
+
+class History(StatefulProcessor):
+    """Gives each packet the `order` packets before it. State of a flow: the number handed on, the last `order` packets,
+    and packets that came before their turn. A packet that comes twice is handed on once."""
+
+    def __init__(self, order: int, ttl_ms: int | None) -> None:
+        self.order, self.ttl_ms = order, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "upto int, idx array<int>, t array<double>, d array<int>, s array<int>", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803 - names of the interface
+        upto, *columns = self.held.get() or (0, [], [], [], [])
+        known = {p[0]: p for p in zip(*columns)}
+        known.update((r["idx"], (r["idx"], r["t"], r["d"], r["s"])) for r in rows if r["idx"] >= upto)
+        while upto in known:
+            past = [known[j] for j in range(upto - 1, max(-1, upto - 1 - self.order), -1)]
+            own = known[upto]
+            yield Row(conn_id=key[0], population=key[1], idx=own[0], t=own[1], d=own[2], s=own[3],
+                      past=[Row(idx=p[0], t=p[1], d=p[2], s=p[3]) for p in past])
+            upto += 1
+        left = [p for i, p in sorted(known.items()) if i >= upto - self.order]
+        self.held.update((upto, *([p[c] for p in left] for c in range(4))))
+
+    def close(self) -> None:
+        pass
+
+
+def with_past(features: DataFrame, population: str, order: int, ttl: float | None = None) -> DataFrame:
+    """A stream of feature rows with the `order` packets before each one (`past`, the nearest first), in any split and order of
+    rows over micro-batches. Positions of a flow have no gaps; `ttl` is how many seconds of silence end the state of a flow."""
+    keyed(features.sparkSession)
+    rows = features.select("conn_id", F.col(population).cast("string").alias("population"), "idx", "t", "d", "s")
+    processor = History(order, None if ttl is None else int(ttl * 1000))
+    schema = f"conn_id string, population string, idx int, t double, d int, s int, past {PACKETS}"
+    return rows.groupBy("conn_id", "population").transformWithState(processor, schema, "append", "None" if ttl is None else "ProcessingTime")
+
+
+def stream_profile_order(features: DataFrame, quantizer: Quantizer, order: int, population: str, out: str, checkpoint: str,
+                         guard: str = "fail", ttl: float | None = None, available_now: bool = False) -> StreamingQuery:
+    """Order-k histogram of a stream. The history is raw and is quantized with the quantizer of the current position.
+
+    Each micro-batch adds its counts below `out`; `streamed_profile` reads their sum. Packets behind the last position of the
+    quantizer never reach the state."""
+    if guard == "drop":
+        raise ValueError("dropped packets leave gaps that the history would wait for; use fail or clamp")
+    rows = domain_guard(features, guard)
+    if quantizer.positions is not None:
+        rows = rows.where(F.col("idx") < quantizer.positions)
+
+    def count(batch: DataFrame, number: int) -> None:
+        raw = batch.select("*", *[F.get("past", F.lit(j - 1)).alias(f"_lag{j}") for j in range(1, order + 1)])
+        grams = P.with_history(raw, quantizer, order, ("population",))
+        P.histogram(grams, F.col("population")).write.mode("overwrite").parquet(f"{out}/{number}")
+
+    writer = with_past(rows, population, order, ttl).writeStream.outputMode("append").foreachBatch(count).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def streamed_profile(spark: SparkSession, out: str) -> DataFrame:
+    """The histogram of all micro-batches so far."""
+    return P.merge(spark.read.parquet(f"{out}/*"))
+
+
+def stream_statistics(features: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Moments and quantile sketches per (feature, position): a partial summary per micro-batch, one row a position."""
+
+    def summarise(batch: DataFrame, number: int) -> None:
+        S.partial_summary(batch).write.mode("overwrite").parquet(f"{out}/{number}")
+
+    writer = features.writeStream.foreachBatch(summarise).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def streamed_statistics(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """Moments and merged sketches of all micro-batches so far."""
+    return S.of_partials(spark.read.parquet(f"{out}/*"))
