@@ -10,7 +10,10 @@ such as `url/assign` or `base64/gzip/access`, and counted in n_decoded, not with
 
 Compressed streams are read to the end, all members and all compressed layers in them. More than `most_bytes` of content
 are scanned in pieces that overlap, so that a stream cannot exhaust the memory of a task; n_cut counts such streams. A
-run of base64 or hexadecimal digits goes on in the next piece, up to four pieces long.
+run of base64 or hexadecimal digits goes on in the next piece, up to four pieces long. Layers of any depth are unpacked one
+after the other, without recursion; behind 20,000 compressed layers within each other, or 50 that are each longer than a
+piece, what is left is scanned as it is and counts in n_cut too. Ties: of two ways to a find the shorter names it, then the
+smaller by name. A null id is passed through; an empty table has no rows.
 Null or empty text: no spans. Repeated rows each get their row. Other columns are ignored (`redact` hands them on).
 """
 
@@ -50,6 +53,8 @@ ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8}
 MOST_BYTES = 1 << 24
 STEP = 1 << 18  # bytes of a stream at a time
 OVERLAP = 1 << 12  # bytes that two pieces of a stream share at least
+LAYERS = 20_000  # compressed layers within each other
+STREAMS = 50  # of these, more than a piece long
 RUN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\\r\n"
 
 
@@ -108,7 +113,41 @@ def packing(head: bytes) -> str | None:
     return next((name for name, (magic, _) in PACKED.items() if head.startswith(magic)), None)
 
 
-def member(name: str, source: Iterator[bytes], rest: list[bytes], most: int) -> Iterator[bytes]:
+class Feed:
+    """Chunks of a stream, at most STEP bytes at a time, with a place for what was read too far."""
+
+    def __init__(self, source: Iterator[bytes]) -> None:
+        self.source, self.back, self.taken = source, b"", 0
+
+    @classmethod
+    def of(cls, raw: bytes, begin: int = 0) -> Feed:
+        return cls(raw[i : i + STEP] for i in range(begin, len(raw), STEP))
+
+    def __iter__(self) -> Feed:
+        return self
+
+    def __next__(self) -> bytes:
+        chunk, self.back = self.back, b""
+        chunk = chunk or next(self.source)
+        self.taken += len(chunk)
+        return chunk
+
+    def push(self, *chunks: bytes) -> None:
+        """What was taken comes again."""
+        again = b"".join(chunks)
+        self.back = again + self.back
+        self.taken -= len(again)
+
+    def head(self) -> bytes:
+        """The first bytes, which stay in the stream."""
+        parts = []
+        while sum(map(len, parts)) < 8 and (chunk := next(self, None)) is not None:
+            parts.append(chunk)
+        self.push(*parts)
+        return self.back[:8]
+
+
+def member(name: str, source: Feed, rest: list[bytes], most: int) -> Iterator[bytes]:
     """Content of the first member of a stream, in chunks; `rest` gets what was read beyond it, or all if nothing came out."""
     work, eaten, some = PACKED[name][1](), [], False
     for chunk in source:
@@ -139,30 +178,19 @@ def member(name: str, source: Iterator[bytes], rest: list[bytes], most: int) ->
         rest += eaten
 
 
-def begun(source: Iterator[bytes]) -> tuple[bytes, Iterator[bytes]]:
-    """The first bytes of a stream, and the whole stream."""
-    head = b""
-    for chunk in source:
-        head += chunk
-        if len(head) >= 8:
-            break
-    return head, itertools.chain([head] if head else [], source)
-
-
-def unpacked(source: Iterator[bytes], most: int) -> Iterator[bytes]:
-    """Content of all members of a compressed stream one after the other, and of what follows them."""
-    head, source = begun(source)
-    while name := packing(head):
-        rest: list[bytes] = []
-        some = False
-        for out in member(name, source, rest, most):
-            some = True
-            yield out
-        if BROKEN_STREAM in rest:
+def following(source: Feed, rest: list[bytes], most: int) -> Iterator[bytes]:
+    """Content of the members that follow the first one, and of what follows them. `rest`: as `member` left it."""
+    if BROKEN_STREAM in rest:
+        return
+    source.push(b"".join(rest).lstrip(b"\0"))
+    while name := packing(source.head()):
+        before, own = source.taken, []
+        yield from member(name, source, own, most)
+        if BROKEN_STREAM in own:
+            rest.append(BROKEN_STREAM)
             return
-        left, before = b"".join(rest).lstrip(b"\0"), head
-        head, source = begun(itertools.chain([left] if left else [], source))
-        if not some and left.startswith(before):  # not compressed after all
+        source.push(b"".join(own).lstrip(b"\0"))
+        if source.taken == before:  # not compressed after all
             break
     yield from source
 
@@ -170,26 +198,42 @@ def unpacked(source: Iterator[bytes], most: int) -> Iterator[bytes]:
 def contents(raw: bytes, most: int, within: int = 0) -> Iterator[tuple[tuple[str, ...], bytes, bool]]:
     """The way to what is in `raw` through all compressed layers, its pieces, and whether a second piece begins.
 
-    A faulty stream is also content itself. From a place within `raw` on, only compressed streams count."""
-    way, source, seen, faults = (), iter([raw]), set(), []
-    if within:
-        source = (raw[i : i + STEP] for i in range(within, len(raw), STEP))
-    head, source = begun(source)
-    while name := packing(head):
-        if (mark := hashlib.sha256(head).digest()) in seen:  # holds itself
-            break
-        seen.add(mark)
-        rest: list[bytes] = []
-        first = next(inside := member(name, source, rest, most), None)
-        if first is None and rest:  # not compressed after all
-            source = itertools.chain(rest, source)
+    A layer of at most `most` bytes is read whole before the next one is opened, so that any number of layers take the memory
+    of two. Larger ones are open together; behind STREAMS of these, or LAYERS of any size, a layer is content as it is, and
+    counts as cut. A faulty stream is also content itself. From a place within `raw` on, only compressed streams count."""
+    way, faults, deep, streams = [], [], False, 0
+    source = Feed.of(raw, within)
+    seen = set() if within else {hashlib.sha256(raw).digest()}
+    while name := packing(source.head()):
+        if deep := streams == STREAMS or len(way) == LAYERS:
             break
-        more = unpacked_rest(inside, rest, source, most)
-        way += (name,)
+        before, rest = source.taken, []
+        inside = member(name, source, rest, most)
+        if (first := next(inside, None)) is None:
+            source.push(b"".join(rest).lstrip(b"\0"))
+            if source.taken == before:  # not compressed after all
+                break
+            continue  # an empty member
+        way.append(name)
         faults.append(rest)
-        head, source = begun(itertools.chain([first] if first else [], more))
+        held, size = [first], len(first)
+        for chunk in (more := itertools.chain(inside, following(source, rest, most))):
+            held.append(chunk)
+            size += len(chunk)
+            if size > most:
+                break
+        if size > most:
+            streams += 1
+            source = Feed(itertools.chain(held, more))
+            continue
+        layer = b"".join(held)
+        source = Feed.of(layer)
+        if (mark := hashlib.sha256(layer).digest()) in seen:  # holds itself
+            break
+        seen.add(mark)
     if within and not way:
         return
+    ways = tuple(way)
     parts, size, kept, n = [], 0, 0, 0
     for chunk in source:
         parts.append(chunk)
@@ -197,23 +241,15 @@ def contents(raw: bytes, most: int, within: int = 0) -> Iterator[tuple[tuple[str
         if size - kept >= most:
             piece = b"".join(parts)
             n += 1
-            yield way, piece, n == 2
+            yield ways, piece, n == 2
             parts = [tail(piece, most)]
             size = kept = len(parts[0])
     if size > kept:
-        yield way, b"".join(parts), n == 1
+        yield ways, b"".join(parts), n == 1 or deep and n == 0
     if way and not within and any(BROKEN_STREAM in rest for rest in faults):
         yield (), raw, False
 
 
-def unpacked_rest(inside: Iterator[bytes], rest: list[bytes], source: Iterator[bytes], most: int) -> Iterator[bytes]:
-    yield from inside
-    if BROKEN_STREAM in rest:
-        return
-    left = b"".join(rest).lstrip(b"\0")
-    yield from unpacked(itertools.chain([left] if left else [], source), most)
-
-
 def tail(piece: bytes, most: int) -> bytes:
     """What the next piece of a stream begins with: an overlap, or the run that reaches its end; a run of four pieces is cut."""
     begin = max(0, len(piece) - OVERLAP)

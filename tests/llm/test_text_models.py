@@ -215,6 +215,36 @@ def test_compressed_layers_in_layers_members_and_long_streams():
     assert secrets.redacted(f"a {base64.b64encode(gzip.compress(gzip.compress(key))).decode()} b", "[x]") == "a [x] b"
 
 
+@pytest.mark.parametrize("packs", [(gzip.compress,), (lzma.compress,), (bz2.compress,), (gzip.compress, zlib.compress, lzma.compress)])
+def test_two_thousand_layers(packs):
+    raw = b"secret = hunter2hunter2"
+    n = 2000 if packs[0] is not bz2.compress else 500
+    for i in range(n):
+        raw = packs[i % len(packs)](raw)
+    base, more, n_cut = secrets.scan(base64.b64encode(raw).decode())
+    assert [s.kind.count("/") for s in more if s.kind.endswith("assign")] == [n + 1] and n_cut == 0
+
+
+def test_layers_beyond_the_bounds_count_as_cut(monkeypatch):
+    raw = b"secret = hunter2hunter2"
+    for _ in range(40):
+        raw = gzip.compress(raw)
+    monkeypatch.setattr(secrets, "LAYERS", 10)
+    assert secrets.scan(base64.b64encode(raw).decode())[2] >= 1
+    monkeypatch.setattr(secrets, "STREAMS", 3)
+    long = bytes(random.Random(3).randbytes(5000))
+    for _ in range(9):
+        long = gzip.compress(long)
+    found = list(secrets.contents(long, 1000))
+    assert len(found[0][0]) == 3 and sum(cut for _, _, cut in found) == 1
+
+
+def test_many_members_and_empty_ones():
+    raw = b"".join(gzip.compress(b"") + gzip.compress(f"token: abcdef{i:06d} ".encode()) for i in range(3000))
+    assert sum(s.kind == "base64/gzip/assign" for s in secrets.scan(base64.b64encode(raw).decode())[1]) == 1  # one run, one place
+    assert b"".join(piece for _, piece, _ in secrets.contents(raw, 1 << 24)).count(b"token") == 3000
+
+
 @pytest.mark.parametrize("odd", ["\ufeff", "\xa0", "\x0c", "\u200d", "\0"])
 def test_layers_with_odd_characters_are_scanned(odd):
     key = "password: hunter2hunter"
