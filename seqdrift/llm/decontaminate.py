@@ -115,41 +115,48 @@ class Index:
 
 
 class Windows(NamedTuple):
-    """A block of the benchmark: its words in order, and by length the windows as numbers of words and their items."""
+    """A block of the benchmark: its words in order, and by length the different windows and which items hold each.
+
+    Items with the same windows are one holder, so that what is found of a text names each holder once."""
 
     vocabulary: np.ndarray  # sorted hashes
-    items: list[str]
-    groups: list[tuple[np.ndarray, np.ndarray]]  # symbols (one window a row), number of the item of each
+    items: list[list[str]]  # of each holder, the ids
+    groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # symbols (one window a row), first holder of each, holders
 
 
 def windows_of(items: list[tuple[str, str]], k: int) -> Windows:
     texts = pa.array([t for _, t in items], pa.string())
+    holders: dict[bytes, int] = {}
+    ids: list[list[str]] = []
     by_length: dict[int, list] = {}
     hashes = []
     for part in slices(texts):
         words = words_of(part, ALNUM)
         for i in range(part.rows.stop - part.rows.start):
             own = words.hashes[words.first[i] : words.first[i + 1]]
-            if len(own):
+            if not len(own):
+                continue
+            holder = holders.setdefault(own.tobytes(), len(ids))
+            if holder == len(ids):
+                ids.append([])
                 width = min(k, len(own))
-                view = np.lib.stride_tricks.sliding_window_view(own, width)
-                by_length.setdefault(width, []).append((view, part.rows.start + i))
+                by_length.setdefault(width, []).append((np.lib.stride_tricks.sliding_window_view(own, width), holder))
                 hashes.append(own)
+            ids[holder].append(items[part.rows.start + i][0])
     vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-    groups = [
-        (
-            np.searchsorted(vocabulary, np.concatenate([v for v, _ in own])) + FIRST,
-            np.concatenate([np.full(len(v), i) for v, i in own]),
-        )
-        for _, own in sorted(by_length.items())
-    ]
-    return Windows(vocabulary, [i for i, _ in items], groups)
+    groups = []
+    for _, own in sorted(by_length.items()):
+        symbols = np.searchsorted(vocabulary, np.concatenate([v for v, _ in own])) + FIRST
+        symbols, inverse = np.unique(symbols, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([inverse.ravel(), np.concatenate([np.full(len(v), i) for v, i in own])], 1), axis=0)
+        groups.append((symbols, np.searchsorted(pairs[:, 0], np.arange(len(symbols) + 1)), pairs[:, 1]))
+    return Windows(vocabulary, ids, groups)
 
 
 class Hits(NamedTuple):
     words: Words
     hit: np.ndarray  # of each word
-    pairs: np.ndarray  # distinct (text, item), one a row
+    pairs: np.ndarray  # distinct (text, holder), one a row
 
 
 def hits_of(words: Words, windows: Windows) -> Hits:
@@ -174,7 +181,7 @@ def hits_of(words: Words, windows: Windows) -> Hits:
     word_of = np.zeros(len(symbols), np.int64)
     word_of[place] = known_at
     pairs = []
-    for patterns, item in windows.groups:
+    for patterns, first, holder in windows.groups:
         which, low, high = index.search(patterns)
         if not len(which):
             continue
@@ -184,7 +191,10 @@ def hits_of(words: Words, windows: Windows) -> Hits:
         begin = word_of[index.locate(rows)]
         hit |= covered(begin, patterns.shape[1], n)
         text = np.searchsorted(words.first, begin, "right") - 1
-        pairs.append(np.unique(np.stack([text, item[which]], 1), axis=0))
+        text, which = np.unique(np.stack([text, which], 1), axis=0).T  # each window of a text once, then its holders
+        times = first[which + 1] - first[which]
+        of = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[which], times)
+        pairs.append(np.unique(np.stack([np.repeat(text, times), holder[of]], 1), axis=0))
     return Hits(words, hit, np.unique(np.concatenate(pairs), axis=0) if pairs else none.pairs)
 
 
@@ -202,15 +212,18 @@ def _scan(windows: Windows):
                 items: list[list] = [[] for _ in range(n)]
                 spans: list[list] = [[] for _ in range(n)]
                 for text, item in pairs.tolist():
-                    items[text].append(windows.items[item])
+                    items[text] += windows.items[item]
                 for text in np.unique(pairs[:, 0]).tolist():
                     a, b = words.first[text], words.first[text + 1]
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], hit[a:b], [False]]).astype(np.int8)))
                     zero = texts.bounds[text]
-                    place = lambda byte: len(texts.data[zero:byte].tobytes().decode("utf-8", "replace"))  # noqa: B023, E731
+                    # characters before each byte: all but the bytes that go on a character
+                    chars = np.append(0, np.cumsum((texts.data[zero : texts.bounds[text + 1]] & 0xC0) != 0x80))
+                    first, last = edges[::2], edges[1::2]
+                    start, end = chars[words.starts[a + first] - zero], chars[words.ends[a + last - 1] - zero]
                     spans[text] = [
-                        {"first": int(i), "last": int(j), "start": place(words.starts[a + i]), "end": place(words.ends[a + j - 1])}
-                        for i, j in edges.reshape(-1, 2)
+                        {"first": i, "last": j, "start": p, "end": q}
+                        for i, j, p, q in zip(first.tolist(), last.tolist(), start.tolist(), end.tolist(), strict=True)
                     ]
                 yield pa.RecordBatch.from_arrays(
                     [
