@@ -7,15 +7,20 @@ often as the counts allow, so the plan has a few choices per length, however man
 most `capacity` counts. Spark then numbers the tails of each length, within hashed ranges and a table of range counts,
 and joins them with the plan; a length that a third of all documents have is spread over many ranges.
 
+Ids are those of the given tokenizer. Where it is plain byte-level BPE with ids in the order of its merges, distinct pieces of
+words go through the same ranks in a faster library; all others, and any with a special token, through the tokenizer itself.
+
 Padding: a sequence is filled up to `capacity`, except where its length is a power of two.
 Null text: as empty, so the end id alone. Null ids and repeated rows are packed like any other. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -112,25 +117,79 @@ def piece_starts(texts: Texts) -> np.ndarray:
 
 
 class Memo:
-    """Ids of known pieces: sorted hashes, with where the ids of each lie in one array. A few dozen bytes a piece."""
+    """Ids of known pieces: two sorted tables of hashes, a large one and recent ones that join it when they are a quarter of
+    it, with where the ids of each lie in one growing array. A few dozen bytes a piece."""
 
     def __init__(self):
-        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint32)
+        self.tables = [self._table(), self._table()]  # hashes, where the ids begin, how many
+        self.ids, self.n_ids = np.zeros(1 << 12, np.uint32), 0
+
+    @staticmethod
+    def _table():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return sum(len(t[0]) for t in self.tables)
 
     def add(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        at = np.cumsum(size) - size + len(self.ids)
-        place = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, place, hashes)
-        self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, size)
-        self.ids = np.append(self.ids, ids.astype(np.uint32))
+        at = np.cumsum(size) - size + self.n_ids
+        if self.n_ids + len(ids) > len(self.ids):
+            grown = np.zeros(max(2 * len(self.ids), self.n_ids + len(ids)), np.uint32)
+            grown[: self.n_ids] = self.ids[: self.n_ids]
+            self.ids = grown
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+        large, recent = self.tables
+        recent = self._joined(recent, (hashes, at, size))
+        if 4 * len(recent[0]) > len(large[0]):
+            large, recent = self._joined(large, recent), self._table()
+        self.tables = [large, recent]
+
+    @staticmethod
+    def _joined(one, other):
+        place = np.searchsorted(one[0], other[0])
+        return tuple(np.insert(a, place, b) for a, b in zip(one, other, strict=True))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each begin, how many they are, and which of the hashes are known."""
+        at, size, known = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int32), np.zeros(len(hashes), bool)
+        for table in self.tables:
+            if len(table[0]):
+                place = np.minimum(np.searchsorted(table[0], hashes), len(table[0]) - 1)
+                own = table[0][place] == hashes
+                at[own], size[own], known = table[1][place[own]], table[2][place[own]], known | own
+        return at, size, known
+
+    def take(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids of pieces one after the other."""
+        before = np.cumsum(size) - size
+        return self.ids[np.arange(int(size.sum())) + np.repeat(at - before, size)]
+
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the memo, and which of the hashes are known."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return place, self.hashes[place] == hashes
+# Fixed value: how byte-level tokenizers split a text
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def ranked(path: str):
+    """The same tokenizer as ranks, which is faster; None unless it is plain byte-level BPE whose ids come in the order of its merges."""
+    import tiktoken
+
+    spec = json.loads(Path(path).read_text())
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    whole = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    if not (plain and whole and spec.get("normalizer") is None):
+        return None
+    # byte-level files write each byte as a printable character: those that are one as themselves, the others from 256 on
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+    ids = model["vocab"]
+    merged = [ids.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    added = {t["content"] for t in spec.get("added_tokens", [])}
+    if merged != sorted(merged) or merged[:1] == [-1]:
+        return None
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in ids.items() if token not in added}
+    return tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
@@ -139,8 +198,11 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), Memo()
+        # what has not been used since the memo was half full goes, the rest stays
+        self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), Memo(), Memo()
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.ranks = ranked(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each piece, and all ids."""
@@ -153,13 +215,24 @@ class Encoder:
         sizes, all_ids = [], []
         for i in range(0, len(pieces), 20_000):
             part = pieces[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.uint32)
+            text = b"\n".join(part).decode("utf-8", "replace")
+            if self.ranks is not None and not any(t in text for t in self.special):
+                ids = np.array(self.ranks.encode_ordinary(text), np.uint32)
+            else:
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             breaks = ids == self.line[0]
             ends = np.append(np.flatnonzero(breaks), len(ids))
             sizes.append(np.diff(np.append(-1, ends)) - 1)
             all_ids.append(ids[~breaks])
         return np.concatenate(sizes).astype(np.int32), np.concatenate(all_ids)
 
+    def _remember(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        at = np.cumsum(sizes) - sizes
+        before = np.cumsum(sizes[order]) - sizes[order]
+        moved = ids[np.arange(len(ids)) + np.repeat(at[order] - before, sizes[order])]
+        self.memo.add(hashes[order], sizes[order], moved)
+
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a few texts, and how many each has."""
         data, n = texts.data, len(texts.bounds) - 1
@@ -168,25 +241,30 @@ class Encoder:
         starts = piece_starts(texts)
         lengths = np.diff(np.append(starts, len(data)))
         hashes = hashed(np.append(data, np.zeros(8, np.uint8)), starts, lengths)
+        # a piece goes by its 64-bit hash: of a billion different pieces two agree with a probability of 3 %
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at, known = self.memo.find(unique)
+        at, size, known = self.memo.find(unique)
         if not known.all():
-            if len(self.memo.hashes) > MEMO or len(self.memo.ids) > 8 * MEMO:
-                self.memo = Memo()
+            if len(self.memo) > MEMO // 2 or self.memo.n_ids > 4 * MEMO:
+                self.memo, self.old = Memo(), self.memo
                 known[:] = False
-            new = first[~known]
-            raw = data.tobytes()
-            pieces = [raw[a:b] for a, b in zip(starts[new].tolist(), (starts[new] + lengths[new]).tolist(), strict=True)]
+            old_at, old_size, old = self.old.find(unique[~known])
+            new = np.flatnonzero(~known)[~old]
+            hashes, sizes, ids = [unique[~known][old]], [old_size[old]], [self.old.take(old_at[old], old_size[old])]
+            raw, begin = data.tobytes(), first[new]
+            pieces = [raw[a:b] for a, b in zip(starts[begin].tolist(), (starts[begin] + lengths[begin]).tolist(), strict=True)]
             odd = (KIND[data] & (SPACE | LEAD)) != 0
             odd[starts] &= (data[starts] != 32) | (lengths == 1)
-            plain = ~np.maximum.reduceat(odd, starts)[new] if len(self.line) == 1 else np.zeros(len(new), bool)
+            plain = ~np.maximum.reduceat(odd, starts)[begin] if len(self.line) == 1 else np.zeros(len(new), bool)
             for which, encode in ((plain, self._encode_lines), (~plain, self._encode)):
                 if which.any():
-                    self.memo.add(unique[~known][which], *encode([p for p, w in zip(pieces, which, strict=True) if w]))
-            at, _ = self.memo.find(unique)
-        size, where = self.memo.size[at][inverse], self.memo.at[at][inverse]
-        before = np.cumsum(size) - size
-        ids = self.memo.ids[np.arange(int(size.sum())) + np.repeat(where - before, size)]
+                    counts, own = encode([p for p, w in zip(pieces, which, strict=True) if w])
+                    hashes.append(unique[new[which]]), sizes.append(counts), ids.append(own)
+            hashes, sizes = np.concatenate(hashes), np.concatenate(sizes)
+            self._remember(hashes, sizes, np.concatenate(ids))
+            at, size, _ = self.memo.find(unique)
+        size = size[inverse]
+        ids = self.memo.take(at[inverse], size)
         owner = np.searchsorted(texts.bounds, starts, "right") - 1
         return ids, np.bincount(owner, size, minlength=n).astype(np.int64)
 
