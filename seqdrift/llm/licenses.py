@@ -265,7 +265,8 @@ def stretches(pairs: list[int], looks: dict[str, list[tuple[int, int]]], templat
                     for j, i in enumerate(at):
                         seen: set[int] = set()
                         last = i
-                        for k in at[j:]:
+                        for m in range(j, len(at)):
+                            k = at[m]
                             if k >= i + len(own) + 2 * WINDOW or len(seen) == len(own):
                                 break
                             if pairs[k] not in seen:
@@ -368,12 +369,16 @@ def _scan(model: Model, enough: float):
 
 
 def train(docs: DataFrame, negatives: int = 4000) -> Model:
-    """A model from about `negatives` lines of the corpus (of at most 60 words each) and the templates."""
+    """A model from about `negatives` lines of the corpus (of at most 60 words each) and the templates.
+
+    Texts are chosen by their hash, of each the four lines with the smallest hashes, and of all these at most 2 * `negatives`,
+    again by hash: the same rows give the same model, however they are dealt over files and tasks."""
     ids = docs.where("text is not null").select(F.xxhash64("text").alias("key"), "text")
     total = docs.count()
-    lines = ids.where(F.pmod("key", F.lit(1 << 30)) < int(min(1.0, negatives / 4 / max(total, 1)) * (1 << 30)))
-    lines = lines.select(F.explode(F.slice(F.shuffle(F.split("text", "\n"), seed=0), F.lit(1), F.lit(4))).alias("x"))
-    lines = lines.select(F.array_join(F.slice(F.split("x", " "), F.lit(1), F.lit(60)), " ").alias("x")).limit(2 * negatives)
+    texts = ids.where(F.pmod("key", F.lit(1 << 30)) < int(min(1.0, negatives / 4 / max(total, 1)) * (1 << 30)))
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.xxhash64("key", i).alias("h"), i.alias("i"), x.alias("x")))
+    lines = texts.select(F.inline(F.slice(F.array_sort(marked), F.lit(1), F.lit(4)))).orderBy("h", "i", "x").limit(2 * negatives)
+    lines = lines.select(F.array_join(F.slice(F.split("x", " "), F.lit(1), F.lit(60)), " ").alias("x"))
     return fit([r["x"] for r in lines.collect()])
 
 
