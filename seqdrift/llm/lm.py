@@ -13,7 +13,8 @@ other tokens meet their counts in a join.
 
 Training is by gradient updates (AdaGrad over mini-batches) in every partition over all its training rows; then each
 row of weights is averaged over the partitions by how often its feature occurred there, and the next round starts from
-the average.
+the average. Rows are dealt to these partitions by a hash of id and text, and sorted by it, and their number follows the
+number of tokens alone: the same rows give the same scores, however files and tasks cut them.
 
 Null or empty text: the end token alone. Null id: never held out. Repeated rows each get their row. No training rows:
 all counts 0, base 0. Other columns are ignored.
@@ -38,6 +39,7 @@ BITS = 15
 BIAS = 1 << BITS  # the row of weights after those of the features
 BATCH = 1 << 14
 RATE = 0.3
+PART_TOKENS, MIN_PARTS = 2_000_000, 8  # of a partition of training
 
 
 class Tokens(NamedTuple):
@@ -173,12 +175,22 @@ def _train(known: Vocabulary, weights: np.ndarray):
     return run
 
 
-def fit(docs: DataFrame, known: Vocabulary, rounds: int) -> np.ndarray:
+def dealt(docs: DataFrame, tokens: int) -> DataFrame:
+    """The rows in parts and an order that only they decide; equal rows are interchangeable."""
+    key = F.xxhash64("text", F.col("doc_id").cast("string"))
+    rows = docs.select("text", key.alias("_key")).repartition(max(MIN_PARTS, -(-tokens // PART_TOKENS)), "_key")
+    return rows.sortWithinPartitions("_key", "text").select("text")
+
+
+def fit(docs: DataFrame, known: Vocabulary, rounds: int, tokens: int) -> np.ndarray:
     weights = np.zeros((CLASSES, BIAS + 1), np.float32)
     names = [f"w{c}" for c in range(CLASSES)]
+    # dealt anew in each round: a written table would be read in parts that depend on the cluster
+    rows = dealt(docs, tokens)
     for _ in range(rounds):
-        parts = docs.select("text").mapInArrow(_train(known, weights), ", ".join(["slot long", "seen long", *[f"{n} double" for n in names]]))
-        mean = parts.groupBy("slot").agg(*[(F.sum(n) / F.sum("seen")).alias(n) for n in names]).toArrow()
+        parts = rows.mapInArrow(_train(known, weights), ", ".join(["slot long", "seen long", *[f"{n} double" for n in names]]))
+        # rounded, since sums of doubles depend on their order in the last digits
+        mean = parts.groupBy("slot").agg(*[F.round(F.sum(n) / F.sum("seen"), 7).alias(n) for n in names]).toArrow()
         weights = weights.copy()
         weights[:, mean.column("slot").to_numpy()] = np.stack([mean.column(n).to_numpy() for n in names])
     return weights
@@ -227,7 +239,7 @@ def score(docs: DataFrame, training: DataFrame, rounds: int = 2, frequent: int =
     counts = training.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written(counts, "word-counts")
     known, least, total, distinct = vocabulary(counts, frequent)
-    weights = fit(training, known, rounds)
+    weights = fit(training, known, rounds, total)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     types = f"doc_id {kind}, n_tokens long, n_frequent long, base double, model double, words array<long>, times array<long>"

@@ -294,3 +294,16 @@ def test_foreign_and_junk_texts_in_latin_script_are_rejected(table):
 def test_document_frequencies_are_of_all_training_rows(table, corpus):
     model = language.fit(table(corpus), per_language=20)
     assert np.isclose(model.idf.max(), np.log(1 + len(corpus)) + 0.1)  # of grams that no row has
+
+
+def test_results_do_not_depend_on_partitions(spark, corpus, table):
+    docs = [r[:2] for r in corpus]
+    docs += [(9000 + i, f"text {i}\nLicensed under the Apache License, Version 2.0\n" + docs[i][1]) for i in range(30)]
+    scores, rows = [], []
+    for n in (1, 3, 7):
+        df = table(docs, n)
+        scores.append({r.doc_id: r.score for r in lm.score(df, lm.training_rows(df), frequent=300).collect()})
+        rows.append(sorted((r.doc_id, r.start, r.end, r.family, r.confirmed) for r in licenses.find_licences(df, licenses.train(df)).collect()))
+    for other in scores[1:]:
+        assert all(abs(other[k] - v) <= 1e-9 * max(1, abs(v)) for k, v in scores[0].items())
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) >= 30
