@@ -18,6 +18,8 @@ from seqdrift.schema import SHORT, SYMBOL
 from seqdrift.session import settled
 
 SLICES = 64
+#: context lengths from which a position asks the whole context tree at once instead of joining level by level
+ONE_LOOKUP = 2
 #: positions after which the state of order-k generation is written, to keep plans short
 WRITE_EVERY = 8
 
@@ -151,9 +153,24 @@ def _next_position(state: DataFrame, model: DataFrame, quantizer: Quantizer, i:
     past = [quantizer.symbol(f"p{j}.t", f"p{j}.d", f"p{j}.s") for j in range(i - depth, i)]
     u = uniform(F.lit(seed), F.col("n"), F.lit(i))
     here = here.withColumn("_u", u).withColumn("_slice", slice_of(u))
+    nodes = model.where((F.col("idx") == i) & (F.col("level") <= depth))
+    here = (_by_level if depth < ONE_LOOKUP else _by_one_lookup)(here, nodes, past)
+    sym, used = F.col("_found.sym"), F.col("_found.level")
+    uniforms = [uniform(F.lit(seed), F.col("n"), F.lit(i), F.lit(f)).alias(f"_u{c}") for f, c in SHORT.items()]
+    here = here.select(*known, "_qt", "_qd", "_qs", sym.alias("_sym"), used.alias("_level"), *uniforms)
+    t, d, s = (Q.to_value(f, f"_sym.{c}", f"_q{c}", f"_u{c}") for f, c in SHORT.items())
+    if raise_time and i > 0:
+        t = F.greatest(t, F.col(f"p{i - 1}.t"))
+    packet = F.struct(t.alias("t"), d.alias("d"), s.alias("s"), F.col("_sym").alias("sym"), F.col("_level").alias("level"))
+    return here.select(*known, packet.alias(f"p{i}"))
+
+
+def _by_level(here: DataFrame, nodes: DataFrame, past: list[Column]) -> DataFrame:
+    """Adds `_found` (level, sym) by a join for each length of the context: for short contexts, where two joins are all."""
+    depth = len(past)
     for level in range(depth, -1, -1):
         ctx = F.array(*past[depth - level:]).cast(f"array<{SYMBOL}>")
-        side = model.where((F.col("idx") == i) & (F.col("level") == level)).select(
+        side = nodes.where(F.col("level") == level).select(
             F.col("ctx").alias(f"_ctx{level}"), F.col("slice").alias(f"_slice{level}"), F.col("lo").alias("_lo"),
             F.col("hi").alias("_hi"), F.col("total").alias("_total"), F.col("sym").alias(f"_sym{level}"),
         )
@@ -164,15 +181,29 @@ def _next_position(state: DataFrame, model: DataFrame, quantizer: Quantizer, i:
             & (scaled >= F.col("_lo")) & (scaled < F.col("_hi")),
             "left",
         ).drop("_ctx", f"_ctx{level}", f"_slice{level}", "_lo", "_hi", "_total")
-    sym = F.coalesce(*[F.col(f"_sym{level}") for level in range(depth, -1, -1)])
-    used = F.coalesce(*[F.when(F.col(f"_sym{level}").isNotNull(), F.lit(level)) for level in range(depth, -1, -1)])
-    uniforms = [uniform(F.lit(seed), F.col("n"), F.lit(i), F.lit(f)).alias(f"_u{c}") for f, c in SHORT.items()]
-    here = here.select(*known, "_qt", "_qd", "_qs", sym.alias("_sym"), used.alias("_level"), *uniforms)
-    t, d, s = (Q.to_value(f, f"_sym.{c}", f"_q{c}", f"_u{c}") for f, c in SHORT.items())
-    if raise_time and i > 0:
-        t = F.greatest(t, F.col(f"p{i - 1}.t"))
-    packet = F.struct(t.alias("t"), d.alias("d"), s.alias("s"), F.col("_sym").alias("sym"), F.col("_level").alias("level"))
-    return here.select(*known, packet.alias(f"p{i}"))
+    levels = [F.when(F.col(f"_sym{k}").isNotNull(), F.struct(F.lit(k).alias("level"), F.col(f"_sym{k}").alias("sym"))) for k in range(depth, -1, -1)]
+    return here.withColumn("_found", F.coalesce(*levels)).drop(*[f"_sym{k}" for k in range(depth + 1)])
+
+
+def _by_one_lookup(here: DataFrame, nodes: DataFrame, past: list[Column]) -> DataFrame:
+    """Adds `_found` (level, sym) by one lookup in the context tree, whatever the order.
+
+    Each sequence asks for all suffixes of its context at once; of the nodes that exist the longest answers. Only the questions
+    meet the tree, packets drawn so far stay where they are and join the answer by their number.
+    """
+    depth = len(past)
+    whole = F.array(*past).cast(f"array<{SYMBOL}>")
+    asked = here.select("n", "_u", "_slice", whole.alias("_whole")).select(
+        "n", "_u", F.col("_slice").alias("slice"), F.explode(F.transform(
+            F.sequence(F.lit(0), F.lit(depth)),
+            lambda k: F.struct(k.alias("level"), F.slice(F.col("_whole"), F.lit(depth + 1) - k, k).alias("ctx")),
+        )).alias("_q")
+    ).select("n", "_u", "slice", "_q.*")
+    scaled = F.col("_u") * F.col("total")
+    met = asked.join(nodes.select("level", "ctx", "slice", "lo", "hi", "total", "sym"), ["level", "ctx", "slice"])
+    met = met.where((scaled >= F.col("lo")) & (scaled < F.col("hi")))
+    answers = met.groupBy("n").agg(F.max_by(F.struct("level", "sym"), "level").alias("_found"))
+    return here.join(answers, "n")
 
 
 def _generate_independent(hist: DataFrame, quantizer: Quantizer, flows: int, length: int, seed: int,

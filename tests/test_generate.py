@@ -72,6 +72,30 @@ def test_shares_follow_the_counts(spark, features, timed):
         assert got[sym] / 20_000 == pytest.approx(p, abs=0.015)
 
 
+def test_one_lookup_draws_the_same_rows(spark, features, monkeypatch):
+    q = FT.fitted(features, 3, epsilon=0.1, delta=0.1, mask=("timestamp",), strict=False)
+    hist = C.build_profile(features, q, 3).hist
+    monkeypatch.setattr(G, "ONE_LOOKUP", 99)
+    want = collected(G.generate(hist, q, 3, 150, 4, seed=5))
+    for least in (0, 2):
+        monkeypatch.setattr(G, "ONE_LOOKUP", least)
+        assert collected(G.generate(hist, q, 3, 150, 4, seed=5)) == want
+    assert {r[-1] for r in want} >= {0, 1, 2}
+
+
+def test_joins_of_a_position_do_not_grow_with_the_order(spark):
+    """A position of orders 2, 4 and 8 costs the same joins: one with the tree, one with the answer."""
+    symbol = "struct<t:int,d:int,s:int>"
+    joins = []
+    for depth in (2, 4, 8):
+        nodes = spark.createDataFrame([], f"level int, ctx array<{symbol}>, slice int, lo long, hi long, total long, sym {symbol}")
+        here = spark.range(5).select(F.col("id").alias("n"), F.lit(0.5).alias("_u"), F.lit(32).alias("_slice"))
+        past = [F.struct(F.lit(-1).alias("t"), F.lit(j).alias("d"), F.col("n").cast("int").alias("s")) for j in range(depth)]
+        plan = G._by_one_lookup(here, nodes, past)._jdf.queryExecution().analyzed().toString()
+        joins.append(plan.count("Join "))
+    assert joins == [2, 2, 2]
+
+
 def test_state_is_written_between_positions(spark, timed, monkeypatch):
     q, p = timed
     whole = collected(G.generate(p.hist, q, 1, 50, 4, seed=1))
