@@ -30,6 +30,7 @@ from seqdrift.plans import export as PE
 from seqdrift.schema import FEATURES, SHORT
 from seqdrift.session import settled, shared_dir
 from seqdrift.sources import artifacts as AR
+from seqdrift.sources import ledger as LG
 from seqdrift.sources import logs as L
 from seqdrift.sources import pairs as PL
 from seqdrift.sources import tables as T
@@ -1260,3 +1261,88 @@ def stream_quantiles(spark, sf):
     b, out = features_b(spark, sf), shared_dir(spark, "summaries")
     SC.stream_statistics(_tapped(spark, b, "d"), out, f"{out}-checkpoint", available_now=True).awaitTermination()
     return pick(_within(b, S.quantiles_of_sketches(SC.streamed_statistics(spark, out)[1])))
+
+
+@query("stream_latest_flow_rows", ORACLES["latest_flow_rows"])
+def stream_latest_flow_rows(spark, sf):
+    """Repeated flow rows of a stream, the last one winning; orders take their turn in time, their lines within a minute."""
+    path, out = shared_dir(spark, "rows"), shared_dir(spark, "latest")
+    order = F.col("l_orderkey").cast("double") * 60 + F.pmod(F.xxhash64("l_linenumber", "l_partkey"), F.lit(50))
+    rows = T.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("conn_id"), F.col("l_linenumber").alias("len"), F.col("l_partkey").alias("client_hello"),
+        F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("order"), F.timestamp_seconds(order).alias("time"))
+    low, last = rows.agg(F.min("time"), F.max("time")).first()
+    # orders around the middle have lines in both files
+    early = F.col("time") < F.lit(low + (last - low) / 2) + F.when(F.pmod(F.xxhash64("len"), F.lit(2)) == 0, F.expr("interval 300 seconds")).otherwise(
+        F.expr("interval 0 seconds"))
+    for part in (early, ~early):
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+    for k in (1, 2):
+        end = rows.limit(1).select(F.lit(None).cast("string").alias("conn_id"), "len", "client_hello", "order",
+                                   (F.lit(last) + F.expr(f"interval {k * 1000} days")).alias("time"))
+        end.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    SC.stream_latest_flows(stream, "order", "time", 600.0, out, f"{out}-checkpoint", available_now=True).awaitTermination()
+    return pick(spark.read.parquet(out), "conn_id", "len", "client_hello")
+
+
+@query("observed_discard_reasons", ORACLES["discard_reasons"])
+def observed_discard_reasons(spark, sf):
+    """Reasons counted while the flows are written."""
+    flows, seen = A.assemble(T.packet_events(spark, sf)).counted_flows()
+    flows.write.parquet(shared_dir(spark, "flows"))
+    return pick(spark.createDataFrame([(k, n) for k, n in seen.get.items() if n], "reason string, n long"))
+
+
+@query("bucketed_profile_order1", _hist_sql(X.grams(1, mask=NO_TIME)))
+def bucketed_profile_order1(spark, sf):
+    """Order-1 profile of packets kept by bucket of their flow: no exchange by conn_id."""
+    b = features_b(spark, sf)
+    path = shared_dir(spark, "buckets")
+    AR.save_bucketed(b.select("conn_id", "side").distinct(), b.drop("side"), path, 8)
+    flows, packets = AR.load_bucketed(spark, path, 8, "b" + path.rsplit("-", 1)[1])
+    grams = P.ngrams(packets.join(flows, "conn_id"), fitted_b(b, 1), 1, ("side",))
+    return pick(P.as_text(P.histogram(grams, F.col("side"))))
+
+
+@query("ledger_profile_merge", ORACLES["profile_merge"])
+def ledger_profile_merge(spark, sf):
+    """Profiles handed in shard by shard, one of them twice, summed up on the way."""
+    p = profile_b(spark, sf, 1)
+    path = shared_dir(spark, "ledger")
+    hists = LG.Ledger(spark, f"{path}/hist", lambda h: P.merge(h, into="all"))
+    for name in ("P", "Q", "P"):
+        hists.add(name, p.hist.where(F.col("profile") == name))
+        if name == "P":
+            hists.compact()
+    metas = LG.Ledger(spark, f"{path}/meta", lambda m: P.merge_metadata(m, into="all"))
+    for name in ("Q", "P", "Q"):
+        metas.add(name, p.meta.where(F.col("profile") == name))
+    joined = P.as_text(hists.total()).join(metas.total().select("idx", "total"), "idx")
+    return pick(joined, "idx", "ctx", "sym", "cnt", "total")
+
+
+@query("merged_support", X.sql(f"""select {big('idx', 'idx')}, {big('total', 'total')}, true as support_within, true as overlap_within
+  from (select idx, sum(total) as total from me{_x1} group by idx)""", f"me{_x1}"))
+def merged_support(spark, sf):
+    """Support of the union and of the overlap of two profiles from their sketches, within 2 % of the histograms' own."""
+    p = profile_b(spark, sf, 1)
+    sketches = settled(P.support_sketches(p.hist), "support")
+    merged = P.support_estimates(P.merge_support(sketches, into="all"))
+    exact = P.merge(p.hist, into="all").groupBy("idx").agg(F.count("*").alias("n"))
+    both = p.hist.groupBy("idx", "ctx", "sym").agg(F.count("*").alias("k")).groupBy("idx").agg(F.count_if(F.col("k") == 2).alias("n_shared"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.col(b) * 0.02, F.lit(1))
+    rows = merged.join(exact, "idx").join(P.support_overlap(sketches, "P", "Q"), "idx").join(both, "idx")
+    return pick(rows.select("idx", "total", near("support_size", "n").alias("support_within"), near("n_both", "n_shared").alias("overlap_within")))
+
+
+@query("heavy_contexts", X.sql(f"""select h.profile, {big('h.idx', 'idx')}, ctx, sym, {big('cnt', 'cnt')} from hi{_x1} h
+  join me{_x1} m on m.profile = h.profile and m.idx = h.idx where cnt >= 0.02 * total""", f"hi{_x1}", f"me{_x1}"))
+def heavy_contexts(spark, sf):
+    """Sequences with at least 2 % of a position, from sketches of three shards, merged."""
+    b = features_b(spark, sf)
+    grams = P.ngrams(b, fitted_b(b, 1), 1, ("side",))
+    part = F.pmod(F.xxhash64("conn_id"), F.lit(3))
+    shards = [P.frequent_contexts(grams.where(part == k), F.col("side")) for k in range(3)]
+    merged = P.merge_frequent(*[settled(s, "frequent") for s in shards])
+    return pick(P.as_text(P.heavy_contexts(merged, 0.02).drop("total")))

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,6 +33,7 @@ NO_SERVER_HELLO = "missed TLS Server Hello"
 OUT_OF_ORDER = "saw data packets out-of-order"
 TOO_SHORT = "flow too short"
 SUCCESS = "success"
+REASONS = (SYNACK_BEFORE_SYN, MISSED_SYNACK, ACK_BEFORE_SYNACK, INCOMPLETE, BAD_SEQUENCE, NO_CLIENT_HELLO, NO_SERVER_HELLO, OUT_OF_ORDER, TOO_SHORT, SUCCESS)
 # First payload bytes, as hex, of handshake and application-data records.
 HANDSHAKE_RECORD = "^16030[0-3]"
 APPLICATION_RECORD = "^17030[0-3]"
@@ -179,6 +180,22 @@ def clean_prefix(judged: DataFrame) -> DataFrame:
     ).drop("_stop")
 
 
+def _equal(reason: str):
+    return lambda x: x == F.lit(reason)
+
+
+def final_flows(outcomes: DataFrame, marks: DataFrame) -> DataFrame:
+    """The final check: flows handed to it that have all marks in order."""
+    complete = (
+        F.col("client_hello").isNotNull() & F.col("server_hello").isNotNull() & F.col("ssl_est").isNotNull()
+        & (F.col("syn_ts") <= F.col("synack_ts")) & (F.col("synack_ts") <= F.col("ack_ts"))
+        & (F.col("len") - 1 > F.col("ssl_est"))
+    )
+    return outcomes.where(F.col("ending") == SUCCESS).join(marks, "conn_id").where(complete).select(
+        "conn_id", "syn_ts", "synack_ts", "ack_ts", "version", "client_hello", "server_hello", "ssl_est", "len"
+    )
+
+
 @dataclass(frozen=True)
 class Assembly:
     """Result of an assembly: flows and packets as in the logs, and one row per connection on how it ended."""
@@ -186,6 +203,14 @@ class Assembly:
     flows: DataFrame
     packets: DataFrame
     outcomes: DataFrame
+    marks: DataFrame | None = None
+
+    def counted_flows(self) -> tuple[DataFrame, Observation]:
+        """The flows, and an observation that has the number of each reason once they have been written: no pass of its own."""
+        seen = Observation()
+        ways = F.array("synack_fault", "ack_fault", "hello_fault", "reason", "ending")
+        counts = [F.sum(F.size(F.filter(ways, _equal(r)))).alias(r) for r in REASONS]
+        return final_flows(self.outcomes.observe(seen, *counts), self.marks), seen
 
     def reasons(self) -> DataFrame:
         """(reason, n). A flow can count twice: for what ended it, and as success when its prefix was
@@ -229,16 +254,9 @@ def assemble(events: DataFrame, allow_shorter: bool = True, horizon: int = HORIZ
         F.max_by(F.when(established, F.col("version")), F.when(established, F.col("arrival"))).alias("version"),
     )
     outcomes = shakes.join(ends.drop("arrivals", "stop_at"), "conn_id", "left")
-    complete = (
-        F.col("client_hello").isNotNull() & F.col("server_hello").isNotNull() & F.col("ssl_est").isNotNull()
-        & (F.col("syn_ts") <= F.col("synack_ts")) & (F.col("synack_ts") <= F.col("ack_ts"))
-        & (F.col("len") - 1 > F.col("ssl_est"))
-    )
-    flows = outcomes.where(F.col("ending") == SUCCESS).join(marks, "conn_id").where(complete).select(
-        "conn_id", "syn_ts", "synack_ts", "ack_ts", "version", "client_hello", "server_hello", "ssl_est", "len"
-    )
+    flows = final_flows(outcomes, marks)
     packets = marked.where("taken").join(flows.select("conn_id"), "conn_id", "left_semi").select(
         "conn_id", F.col("pos").alias("idx"), "ts", F.col("is_orig").cast("int").alias("direction"),
         F.col("len").cast("int").alias("size"),
     )
-    return Assembly(flows, packets, outcomes)
+    return Assembly(flows, packets, outcomes, marks)

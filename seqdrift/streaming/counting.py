@@ -131,3 +131,19 @@ def stream_statistics(features: DataFrame, out: str, checkpoint: str, available_
 def streamed_statistics(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     """Moments and merged sketches of all micro-batches so far."""
     return S.of_partials(spark.read.parquet(f"{out}/*"))
+
+
+def stream_latest_flows(flow_rows: DataFrame, order: str, time: str, delay: float, out: str, checkpoint: str,
+                        available_now: bool = False) -> StreamingQuery:
+    """One row per conn_id of a stream of flow rows, the last one by `order`: `operators.flows.latest_flows` on a stream.
+
+    Rows of an id count as repeats of each other while they are at most `delay` seconds of `time` (a timestamp) apart, and are
+    written when the watermark, `delay` behind, has passed the last of them. State is one row per id within that time."""
+    columns = [c for c in flow_rows.columns if c not in ("conn_id", order, time)]
+    wait = f"{int(delay * 1000)} milliseconds"
+    newest = flow_rows.withWatermark(time, wait).groupBy(F.session_window(time, wait), "conn_id").agg(
+        F.max_by(F.struct(*columns), F.col(order)).alias("_f"), F.count("conn_id").alias("_n"))
+    # rows without an id only move the watermark on; a filter on the id itself would be pushed below the watermark
+    last = newest.where("_n > 0").select("conn_id", *[F.col("_f")[c].alias(c) for c in columns])
+    writer = last.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
