@@ -8,7 +8,8 @@ occurrences are merged into removal spans.
 A window: `k` consecutive words of an item; an item of fewer words is one window. The benchmark is searched in blocks
 of at most `block_chars` characters (one block for any usual benchmark), so that what a task holds stays bounded.
 Null or blank texts: no words, clean. Null item id: an id of its own, the empty string. Repeated rows each get their
-row. Empty benchmark: every document is clean. Other columns are ignored.
+row; items with equal words are searched once. Very long texts are shards of their own. Empty benchmark: every document is clean; an
+empty table has no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ The sample: about `per_language` labelled rows of each language (binomial, by a
 task holds is bounded. Document frequencies and everything else are of all rows and whole texts.
 
 Null text or text without a letter: `und`, score 0, rejected. Null id: never used to fit. Null labels are not learned.
-No labelled row: every prediction is `und`. Ties: the first language in order. Repeated rows each get their row.
+No labelled row: every prediction is `und`. An empty table has no rows. Ties: the first language in order. Very long texts are whole
+vectors, one step of a task. Repeated rows each get their row.
 Other columns are ignored (`keep_accepted` hands them on).
 """
 

@@ -11,7 +11,8 @@ and line are those of the stretch. Predictions that no stretch touches are uncon
 family a single row.
 
 The lines for training are a sample of about `negatives` (by a hash), everything else reads all rows and whole texts.
-Null or empty texts have no paragraphs. Ties: the first family in order. Repeated rows each give their rows. Other
+Null or empty texts have no paragraphs. Ties: the first family in order. Repeated rows each give their rows, a null id is passed on.
+Very long texts are steps of their own. An empty table has no rows, and the model then learns from the templates alone. Other
 columns are ignored. Result: a row per notice.
 """
 

@@ -16,8 +16,9 @@ row of weights is averaged over the partitions by how often its feature occurred
 the average. Rows are dealt to these partitions by a hash of id and text, and sorted by it, and their number follows the
 number of tokens alone: the same rows give the same scores, however files and tasks cut them.
 
-Null or empty text: the end token alone. Null id: never held out. Repeated rows each get their row. No training rows:
-all counts 0, base 0. Other columns are ignored.
+Null or empty text: the end token alone. Null id: never held out. Repeated rows each get their row. Very long texts are steps of their
+own. Ties: words of equal counts are ordered by hash. No training rows: all counts 0, base 0; an empty table has no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ A pair at the threshold shares none of the 32 bands with probability 2e-8, one a
 
 Null or blank text: an empty set, linked with nothing. Fewer words than a shingle: the whole sequence is the one
 shingle. Repeated rows each get their row. Where rows share an id but not their text, links of either may count for
-both. Null id: linked with nothing, component null, kept. Other columns are ignored.
+both. Null id: linked with nothing, component null, kept. Very long texts: their whole sets, hashed, are one step of a task. Ties:
+of equally full members of a bucket the one with the smaller class key is the star; groups do not depend on it. An empty table has
+no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

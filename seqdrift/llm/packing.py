@@ -11,7 +11,9 @@ Ids are those of the given tokenizer. Where it is plain byte-level BPE with ids
 words go through the same ranks in a faster library; all others, and any with a special token, through the tokenizer itself.
 
 Padding: a sequence is filled up to `capacity`, except where its length is a power of two.
-Null text: as empty, so the end id alone. Null ids and repeated rows are packed like any other. Other columns are ignored.
+Null text: as empty, so the end id alone. Null ids and repeated rows are packed like any other. Very long texts are steps of their own
+and fill many windows. Ties: of two choices with equal padding the fuller one; equal tails are interchangeable. An empty table has
+no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ distinct bitmasks (at most two to the number of rules, however many documents th
 
 Words are runs of characters other than space and U+0009 to U+000D. Null text: no words, so it fails the word count.
 A word counts as repeated if it lies in a three-word window that occurs twice or more in its text. All work stays
-within a row: no shuffle. Repeated rows each get their row; other columns are ignored.
+within a row: no shuffle, and a very long text is one row like any other. A null id is passed through, an empty table has no rows.
+There are no ties. Repeated rows each get their row; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@
    open, the windows of the entries of that run are counted by hash, so the result is exact: a word is reported if and
    only if it lies in a window of `length` words that also occurs in another document.
 
-Rows of one id count as one document. Null ids and null texts: nothing to report. Texts shorter than a window neither.
+Rows of one id count as one document. Null ids and null texts: nothing to report. Texts shorter than a window neither. Very long texts
+are steps of their own. Ties of sorted entries change neighbours, not results, which are exact. An empty table has no rows.
 Other columns are ignored. A result row: doc_id, first_word, end_word (the last one is left out), n_words.
 """
 
