@@ -11,10 +11,10 @@ Frequent words fill the first classes with equal shares of the text; all others
 are at most `frequent` by a threshold found from a histogram of counts, so tasks hold a table of bounded size; the
 other tokens meet their counts in a join.
 
-Training is by gradient updates (AdaGrad over mini-batches) in every partition over all its training rows; then each
-row of weights is averaged over the partitions by how often its feature occurred there, and the next round starts from
-the average. Rows are dealt to these partitions by a hash of id and text, and sorted by it, and their number follows the
-number of tokens alone: the same rows give the same scores, however files and tasks cut them.
+Training is by gradient updates (AdaGrad over mini-batches) in every part over all its training rows; then each row of
+weights is averaged over the parts by how often its feature occurred there, and the next round starts from the average.
+Rows are dealt to parts of about 2 million tokens by a hash of id and text, and sorted by it, and the number of parts
+follows the number of tokens alone: the same rows give the same scores, however files and tasks cut them.
 
 Null or empty text: the end token alone. Null id: never held out. Repeated rows each get their row. Very long texts are steps of their
 own. Ties: words of equal counts are ordered by hash. No training rows: all counts 0, base 0; an empty table has no rows. Other
@@ -40,7 +40,7 @@ BITS = 15
 BIAS = 1 << BITS  # the row of weights after those of the features
 BATCH = 1 << 14
 RATE = 0.3
-PART_TOKENS, MIN_PARTS = 2_000_000, 8  # of a partition of training
+PART_TOKENS, MIN_PARTS = 2_000_000, 8  # of a part of training
 
 
 class Tokens(NamedTuple):
@@ -159,37 +159,37 @@ def train(weights: np.ndarray, squares: np.ndarray, active: np.ndarray, target:
 def _train(known: Vocabulary, weights: np.ndarray):
     names = ["slot", "seen", *[f"w{c}" for c in range(CLASSES)]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: pa.Table) -> pa.Table:
         own, squares, seen = weights.copy(), np.zeros_like(weights), np.zeros(BIAS + 1, np.int64)
-        for batch in batches:
-            for texts in slices(batch.column("text")):
-                tokens = tokens_of(texts)
-                active, target = features(tokens), known.look_up(tokens.hashes)[2]
-                for i in range(0, len(target), BATCH):
-                    train(own, squares, active[:, i : i + BATCH], target[i : i + BATCH])
-                seen += np.bincount(active.ravel(), minlength=len(seen))
-                seen[BIAS] += len(target)
+        rows = rows.sort_by([("_key", "ascending"), ("text", "ascending")])
+        for texts in slices(rows.column("text")):
+            tokens = tokens_of(texts)
+            active, target = features(tokens), known.look_up(tokens.hashes)[2]
+            for i in range(0, len(target), BATCH):
+                train(own, squares, active[:, i : i + BATCH], target[i : i + BATCH])
+            seen += np.bincount(active.ravel(), minlength=len(seen))
+            seen[BIAS] += len(target)
         slots = np.flatnonzero(seen)
         scaled = own[:, slots].astype(np.float64) * seen[slots]
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(seen[slots]), *[pa.array(x) for x in scaled]], names)
+        return pa.table([pa.array(slots), pa.array(seen[slots]), *[pa.array(x) for x in scaled]], names)
 
     return run
 
 
 def dealt(docs: DataFrame, tokens: int) -> DataFrame:
-    """The rows in parts and an order that only they decide; equal rows are interchangeable."""
+    """The rows with their part of training and their order in it, which only they decide; equal rows are interchangeable."""
     key = F.xxhash64("text", F.col("doc_id").cast("string"))
-    rows = docs.select("text", key.alias("_key")).repartition(max(MIN_PARTS, -(-tokens // PART_TOKENS)), "_key")
-    return rows.sortWithinPartitions("_key", "text").select("text")
+    parts = max(MIN_PARTS, -(-tokens // PART_TOKENS))
+    return docs.select("text", key.alias("_key"), F.pmod(key, F.lit(parts)).alias("_part"))
 
 
 def fit(docs: DataFrame, known: Vocabulary, rounds: int, tokens: int) -> np.ndarray:
     weights = np.zeros((CLASSES, BIAS + 1), np.float32)
     names = [f"w{c}" for c in range(CLASSES)]
-    # dealt anew in each round: a written table would be read in parts that depend on the cluster
     rows = dealt(docs, tokens)
     for _ in range(rounds):
-        parts = rows.mapInArrow(_train(known, weights), ", ".join(["slot long", "seen long", *[f"{n} double" for n in names]]))
+        # parts are groups, not partitions of Spark: a cluster may cut these as it likes
+        parts = rows.groupBy("_part").applyInArrow(_train(known, weights), ", ".join(["slot long", "seen long", *[f"{n} double" for n in names]]))
         # rounded, since sums of doubles depend on their order in the last digits
         mean = parts.groupBy("slot").agg(*[F.round(F.sum(n) / F.sum("seen"), 7).alias(n) for n in names]).toArrow()
         weights = weights.copy()
