@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqdrift.session import settled
+from seqdrift.session import settled, shipped
+
+__all__ = ["documents", "remainder", "shipped", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,17 +22,3 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; -1 for a null id, which so is in no held-out part."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(-1))
-
-
-def shipped(spark: SparkSession) -> None:
-    """Hands this package to the executors' Python, once a session, where the job was not submitted with it."""
-    context = spark.sparkContext
-    if getattr(context, "_seqdrift_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="seqdrift-code-")) / "seqdrift.zip"  # read by the driver alone, which serves it
-    with zipfile.ZipFile(archive, "w") as z:
-        for file in sorted(root.rglob("*.py")):
-            z.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    context._seqdrift_shipped = True

@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqdrift.llm import decontaminate, suffixes
@@ -112,3 +114,21 @@ def test_passages_equal_the_plain_version(table, alphabet):
     docs += [(100, docs[3][1]), (101, docs[3][1]), (102, None)]
     got = {tuple(r) for r in suffixes.repeated_passages(table(docs, 3), length=20).collect()}
     assert got == plain_passages(docs, 20) and got
+
+
+def test_many_equal_items_cost_as_one_and_spans_are_linear():
+    """Ten thousand items "yes" on a text of 200 KB, and 80,000 spans in one text."""
+    text = "yes no maybe " * 16_000
+    windows = decontaminate.windows_of([(str(i), "yes") for i in range(10_000)] + [("x", "maybe yes")], 10)
+    assert [len(g[0]) for g in windows.groups] == [1, 1] and len(windows.items[0]) == 10_000
+    start = time.perf_counter()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text_key": [1], "text": [text]})
+    (out,) = decontaminate._scan(windows)(iter([batch]))
+    row = out.to_pylist()[0]
+    assert len(row["item_ids"]) == 10_001 and row["spans"][0] == {"first": 0, "last": 1, "start": 0, "end": 3}
+    many = "é yes " * 80_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text_key": [1], "text": [many]})
+    (out,) = decontaminate._scan(decontaminate.windows_of([("a", "yes")], 10))(iter([batch]))
+    spans = out.to_pylist()[0]["spans"]
+    assert len(spans) == 80_000 and spans[-1] == {"first": 159_999, "last": 160_000, "start": 6 * 79_999 + 2, "end": 6 * 79_999 + 5}
+    assert time.perf_counter() - start < 20

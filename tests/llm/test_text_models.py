@@ -307,3 +307,43 @@ def test_results_do_not_depend_on_partitions(spark, corpus, table):
     for other in scores[1:]:
         assert all(abs(other[k] - v) <= 1e-9 * max(1, abs(v)) for k, v in scores[0].items())
     assert rows[0] == rows[1] == rows[2] and len(rows[0]) >= 30
+
+
+def plain_slots(text):
+    """Slots of all n-grams of one text, letter by letter."""
+    x = []
+    for c in (text or "").lower():
+        if c.isalpha():
+            x.append(ord(c))
+        elif x and x[-1]:
+            x.append(0)
+    x = [0, *x]
+    found = Counter()
+    for n in language.N:
+        weights = language.stream(20 + n, n)
+        for t in range(len(x) - n + 1):
+            if x[t + n - 1]:
+                h = sum(int(a) * int(w) for a, w in zip(x[t : t + n], weights)) % (1 << 64)
+                found[int(language.mix(np.array([h], np.uint64))[0]) >> (64 - language.BITS)] += 1
+    return found
+
+
+def test_predictions_equal_a_plain_version(table, corpus):
+    model = language.fit(language.training_rows(table(corpus)), per_language=40)
+    texts = [t for _, t, _, _ in corpus[:60]] + ["ok", "a", "", None, " 12 x", "Ü-é", "the\nthe", "日本 語", "x" * 300]
+    random.Random(2).shuffle(texts)
+    for text in texts:
+        (lang,), (score,), (accepted,) = language.classify([text], model)
+        slots = plain_slots(text)
+        v = {k: math.log1p(n) * float(model.idf[k]) for k, n in slots.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        near = [sum(x / norm * float(c[k]) for k, x in v.items()) for c in model.centroids]
+        if not slots:
+            assert (lang, score, accepted) == ("und", 0.0, False)
+            continue
+        best = max(near)
+        assert score == pytest.approx(min(max(best, 0.0), 1.0), abs=1e-5)
+        assert lang in [model.languages[model.owner[k]] for k, x in enumerate(near) if x > best - 1e-5]
+        letters = sum(c.isalpha() for c in text.lower())
+        least = model.least[model.languages.index(lang), min(int(math.log2(letters)), language.LENGTHS - 1)]
+        assert accepted == (score >= least)
