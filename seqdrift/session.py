@@ -51,7 +51,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def settled(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
+def settled(df: DataFrame, purpose: str, by: str | None = None, **options: str) -> DataFrame:
     """Writes a result to the shared folder and reads it back.
 
     For small results that several later steps use: they are computed once, survive lost executors, keep
