@@ -56,10 +56,12 @@ def settled(df: DataFrame, purpose: str, by: str | None = None, **options: str)
 
     For small results that several later steps use: they are computed once, survive lost executors, keep
     their values in every use, and Spark knows their size when it plans joins.
+    `options` go to the writer.
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    writer = df.write.options(**options)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
