@@ -14,9 +14,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """The table, written below `spark.checkpoint.dir` and read back: later steps don't compute it again, lost executors or not."""
-    return settled(df, f"llm-{purpose}")
+    return settled(df, f"llm-{purpose}", **options)
 
 
 def remainder(doc_id: str, modulus: int) -> Column:

@@ -23,6 +23,7 @@ no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqdrift.llm.base import written
+from seqdrift.llm import base
 from seqdrift.llm.words import NOT_SPACE, Words, grams, inside_text, mix, slices, stream, words_of
 
+written = functools.partial(base.written, compression="zstd")  # a dozen tables of hashes and ids side by side
+
 ROWS, BANDS = 3, 32
 BLOCK = 256  # documents of a block, or as many as have 1000 times as many shingles
 
