@@ -3,14 +3,15 @@
 Counts, moments and sketches add up. What fits the result's size is held by Spark's own streaming aggregation
 (`stream_profile`, `stream_moments`). Sketches and histograms of higher order are saved as partial results, one folder per
 micro-batch named by its number: a batch that runs again after a failure replaces its own part, and readers add the parts.
-An order-k profile needs the packets before each packet, whichever micro-batch brought them: keyed state holds them.
+An order-k profile needs the packets before each packet, whichever micro-batch brought them. Where the quantizer bounds the
+positions of a flow, Spark's own aggregation collects them; flows without a bound, or with a time to live, have keyed state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -18,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from seqdrift.operators import profile as P
 from seqdrift.operators import stats as S
 from seqdrift.operators.quantize import Quantizer, domain_guard
-from seqdrift.streaming.assembler import keyed
+from seqdrift.streaming.assembler import STORE, keyed
 
 FEATURE_ROWS = T.StructType([
     T.StructField("conn_id", T.StringType()), T.StructField("side", T.StringType()), T.StructField("idx", T.IntegerType()),
@@ -92,6 +93,31 @@ def with_past(features: DataFrame, population: str, order: int, ttl: float | Non
     return rows.groupBy("conn_id", "population").transformWithState(processor, schema, "append", "None" if ttl is None else "ProcessingTime")
 
 
+def with_listed_past(features: DataFrame, population: str, order: int) -> DataFrame:
+    """The rows of `with_past` without Python: each flow is a list that Spark's own streaming aggregation keeps, for output mode update.
+
+    State of a flow is all its packets, repeats too, so the caller bounds the positions. A packet is handed on in the micro-batch that
+    completes the packets up to it; the time of a micro-batch, the same when it runs again, tells its packets from earlier ones."""
+    features.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    rows = features.where("idx >= 0").select("conn_id", F.col(population).cast("string").alias("population"), "idx",
+                                             F.unix_micros(F.current_timestamp()).alias("at"), "t", "d", "s")
+    flows = rows.groupBy("conn_id", "population").agg(
+        F.sort_array(F.collect_list(F.struct("idx", "at", "t", "d", "s"))).alias("_all"), F.max("at").alias("_now"))
+    flows = flows.withColumn("_once", F.filter("_all", lambda x, i: (i == 0) | (x["idx"] != F.get("_all", i - 1)["idx"]))).drop("_all")
+    flows = flows.withColumn("_whole", F.filter("_once", lambda x, i: x["idx"] == i)).drop("_once")
+    # handed on before: the packets in front of the first one of this micro-batch
+    new = F.filter("_whole", lambda x: x["at"] == F.col("_now"))
+    flows = flows.withColumn("_new", F.get(new, F.lit(0))["idx"]).where("_new is not null")
+
+    def packets(x: Column, j: int) -> Column:
+        return F.struct(*[F.get("_whole", x["idx"] - j)[c].alias(c) for c in ("idx", "t", "d", "s")])
+
+    due = F.transform(F.slice("_whole", F.col("_new") + 1, F.size("_whole")), lambda x: F.struct(
+        x["idx"].alias("idx"), x["t"].alias("t"), x["d"].alias("d"), x["s"].alias("s"),
+        F.slice(F.array(*[packets(x, j) for j in range(1, order + 1)]), F.lit(1), F.least(F.lit(order), x["idx"])).alias("past")))
+    return flows.select("conn_id", "population", F.explode(due).alias("_p")).select("conn_id", "population", "_p.*")
+
+
 def stream_profile_order(features: DataFrame, quantizer: Quantizer, order: int, population: str, out: str, checkpoint: str,
                          guard: str = "fail", ttl: float | None = None, available_now: bool = False) -> StreamingQuery:
     """Order-k histogram of a stream. The history is raw and is quantized with the quantizer of the current position.
@@ -109,7 +135,11 @@ def stream_profile_order(features: DataFrame, quantizer: Quantizer, order: int,
         grams = P.with_history(raw, quantizer, order, ("population",))
         P.histogram(grams, F.col("population")).write.mode("overwrite").parquet(f"{out}/{number}")
 
-    writer = with_past(rows, population, order, ttl).writeStream.outputMode("append").foreachBatch(count).option("checkpointLocation", checkpoint)
+    if quantizer.positions is None or ttl is not None:
+        stream, mode = with_past(rows, population, order, ttl), "append"
+    else:
+        stream, mode = with_listed_past(rows, population, order), "update"
+    writer = stream.writeStream.outputMode(mode).foreachBatch(count).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

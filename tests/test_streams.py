@@ -83,6 +83,26 @@ def test_profile_of_a_stream_equals_the_batch_after_a_restart(spark):
         C.stream_profile_order(stream, q, 1, "side", out, out, guard="drop")
 
 
+@pytest.mark.parametrize("order", [1, 3])
+def test_flows_of_bounded_length_need_no_python_state(spark, order):
+    rows, whole = features(spark)
+    rng = random.Random(order)
+    dealt = rows + rng.sample(rows, 60)  # some come twice
+    rng.shuffle(dealt)
+    path, out = shared_dir(spark, "rows"), shared_dir(spark, "counts")
+    kinds = [Q.mask("timestamp").alias("t"), Q.identity("direction").alias("d"), Q.identity("size").alias("s")]
+    q = Quantizer.per_packet(spark.range(7).select(F.col("id").cast("int").alias("idx"), *kinds), 7)
+    for part in (dealt[:90], dealt[90:100], dealt[100:]):
+        spark.createDataFrame(part, C.FEATURE_ROWS).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(C.FEATURE_ROWS).option("maxFilesPerTrigger", 1).parquet(path)
+        run = C.stream_profile_order(stream, q, order, "side", out, f"{out}-checkpoint", available_now=True)
+        run.awaitTermination()
+        assert run.lastProgress["stateOperators"][0]["operatorName"] == "stateStoreSave"
+    want = P.as_text(P.histogram(P.ngrams(whole, q, order, ("side",), length=7), F.col("side")))
+    got = P.as_text(C.streamed_profile(spark, out)).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_statistics_of_a_stream_count_a_repeated_batch_once(spark):
     rows, whole = features(spark)
     out = shared_dir(spark, "summaries")
