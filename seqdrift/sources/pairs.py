@@ -38,6 +38,8 @@ NAME = "paired_logs"
 SCHEMAS = {"flows": FLOW_LOG, "packets": PACKET_LOG}
 _ARROW = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}
 BLOCK_BYTES = 8 << 20
+#: packets of a folder that `write_pairs` holds in a task
+PAIR_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -204,10 +206,15 @@ def _log_text(table: pa.Table, schema: T.StructType) -> pa.Buffer:
     return sink.getvalue()
 
 
+def pairs_for(packets: int, least: int = 8) -> int:
+    """Folders for a number of packets, so that their size stays the same however many there are."""
+    return max(least, -(-packets // PAIR_ROWS))
+
+
 def write_pairs(flows: DataFrame, packets: DataFrame, root: str, pairs: int) -> DataFrame:
     """Writes logs as a tree of pairs that `paired_logs` reads: flows are dealt by id to `pairs` folders, each written by one task.
 
-    The flows and packets of a folder must fit a task, so `pairs` follows the size of the table. Returns (dir, flows, packets)
+    The flows and packets of a folder must fit a task, so `pairs` follows the size of the table (`pairs_for`). Returns (dir, flows, packets)
     with the rows written. A file appears under its name only when it is whole: a task that runs again replaces it.
     """
     spark = flows.sparkSession
