@@ -40,6 +40,15 @@ def load_flows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return load(spark, f"{path}/flows", FLOW_LOG), load(spark, f"{path}/packets", PACKET_LOG)
 
 
+#: packets of a bucket that a task sorts and joins
+BUCKET_ROWS = 1_000_000
+
+
+def buckets_for(packets: DataFrame, least: int = 8) -> int:
+    """Buckets for a packet table, so that their size stays the same however large the table is."""
+    return max(least, -(-packets.count() // BUCKET_ROWS))
+
+
 def save_bucketed(flows: DataFrame, packets: DataFrame, path: str, buckets: int) -> None:
     """Flows and packets in files by hash of conn_id, packets of a bucket sorted by flow and position: one shuffle here, none later."""
     name = f"seqdrift_{uuid.uuid4().hex}"
