@@ -143,6 +143,20 @@ def _sets(k: int):
     return run
 
 
+#: bits that stand for ids in `perhaps`, 8 MB of them
+ID_BITS = 1 << 26
+
+
+def perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of `docs` whose id may be in `wanted` (doc_id), none of which is lost: most others go before a join deals out their texts."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    bit = F.col("_at") % 32768
+    marks = wanted.select(at.alias("_at")).groupBy(F.expr("_at div 32768").alias("_part")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.expr("int(_at % 32768 div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    placed = docs.withColumn("_at", at).withColumn("_part", F.expr("_at div 32768")).join(F.broadcast(marks), "_part")
+    return placed.where((byte.bitwiseAND(F.expr("shiftleft(1, int(_at % 8))"))) != 0).select(*docs.columns)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     both = (
@@ -305,8 +319,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, rows: int =
     alike = 100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")
     pairs = written(pairs.where(alike).select("a", "b"), "pairs")
     wanted = members.select("doc_id").union(members.select("star")).distinct()
+    # ids are distinct; a semi join would be moved in front of the filter
     sets = written(
-        docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), f"doc_id {schema[0].dataType.simpleString()}, shingles array<long>"),
+        perhaps(docs, wanted).join(wanted, "doc_id").mapInArrow(_sets(k), f"doc_id {schema[0].dataType.simpleString()}, shingles array<long>"),
         "sets",
     )
     links = written(confirmed(pairs, sets, percent), "confirmed")

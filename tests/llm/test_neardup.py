@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from seqdrift.llm import neardup
 from seqdrift.llm.words import NOT_SPACE, slices, words_of
@@ -85,3 +86,16 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150)], "a long, b long")
     got = {r.doc_id: r.component_id for r in neardup.components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 150: 100, 200: 100}
+
+
+def test_few_texts_without_a_partner_are_dealt_out(spark):
+    docs = spark.range(20_000).select((F.col("id") * 7 - 50_000).alias("doc_id"), F.lit("x").alias("text"))
+    docs = docs.union(spark.sql("select cast(null as bigint), 'x'"))
+    wanted = docs.where("doc_id % 10 = 0").select("doc_id")
+    found = neardup.perhaps(docs, wanted)
+    assert found.columns == docs.columns
+    assert found.join(wanted, "doc_id", "left_semi").count() == wanted.count()
+    assert found.count() < wanted.count() + 100
+    assert neardup.perhaps(docs, wanted.limit(0)).count() == 0
+    named = docs.where("doc_id is not null").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    assert neardup.perhaps(named, named.select("doc_id")).count() == 20_000
