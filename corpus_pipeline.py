@@ -26,12 +26,15 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shipped(spark)
-    ids = neardup.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    ids = written(ids, "kept-ids")
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not ids.where("n > 1").isEmpty():  # repeated rows
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    ids = neardup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    ids = written(ids.where("not kept or n > 1"), "odd-ids")
+    # texts of documents that stay are not dealt out
+    kept = neardup.without(docs, ids.where("not kept").select("doc_id"))
+    repeated = written(ids.where("kept and n > 1").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    once = neardup.perhaps(kept, repeated).join(repeated, "doc_id").dropDuplicates(["doc_id", "text"])
+    return neardup.without(kept, repeated).unionByName(once.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,14 +147,28 @@ def _sets(k: int):
 ID_BITS = 1 << 26
 
 
-def perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of `docs` whose id may be in `wanted` (doc_id), none of which is lost: most others go before a join deals out their texts."""
+def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`docs` with `_perhaps`, true at each row whose id is in `wanted` (doc_id) and at few others, from a broadcast bitmap of ids."""
     at = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
     bit = F.col("_at") % 32768
     marks = wanted.select(at.alias("_at")).groupBy(F.expr("_at div 32768").alias("_part")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.expr("int(_at % 32768 div 8) + 1"), F.lit(1))), 16, 10).cast("int")
-    placed = docs.withColumn("_at", at).withColumn("_part", F.expr("_at div 32768")).join(F.broadcast(marks), "_part")
-    return placed.where((byte.bitwiseAND(F.expr("shiftleft(1, int(_at % 8))"))) != 0).select(*docs.columns)
+    placed = docs.withColumn("_at", at).withColumn("_part", F.expr("_at div 32768")).join(F.broadcast(marks), "_part", "left")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, int(_at % 8))")) != 0
+    return placed.select(*docs.columns, F.coalesce(hit, F.lit(False)).alias("_perhaps"))
+
+
+def perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of `docs` whose id may be in `wanted` (doc_id), none of which is lost: most others go before a join deals out their texts."""
+    return marked(docs, wanted).where("_perhaps").select(*docs.columns)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of `docs` whose id is not in `gone` (doc_id), null ids among them; only rows whose id may be in it are dealt out."""
+    placed = marked(docs, gone)
+    # an anti join would be moved in front of the filter
+    doubtful = placed.where("_perhaps").join(gone.select("doc_id", F.lit(True).alias("_gone")), "doc_id", "left").where("_gone is null")
+    return placed.where("not _perhaps").select(*docs.columns).union(doubtful.select(*docs.columns))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from seqdrift.llm import neardup
 from seqdrift.llm.words import NOT_SPACE, slices, words_of
 
@@ -99,3 +100,35 @@ def test_few_texts_without_a_partner_are_dealt_out(spark):
     assert neardup.perhaps(docs, wanted.limit(0)).count() == 0
     named = docs.where("doc_id is not null").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
     assert neardup.perhaps(named, named.select("doc_id")).count() == 20_000
+
+
+def nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from nodes(plan.children().apply(i))
+
+
+def test_the_stage_deals_out_few_texts_of_documents_that_stay(spark, table, monkeypatch):
+    """Repeated rows count once, rows without an id stay, and of the others only those that may go are shuffled with their texts."""
+    rows = [(i, f"text {i}") for i in range(3000)] + [(i, f"text {i}") for i in range(2000, 2010)] + [(2000, "other"), (None, "a"), (None, "a"), (None, None)]
+    group = F.when(F.col("doc_id") % 100 == 1, F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    found = lambda docs: docs.select("doc_id", F.coalesce(group == F.col("doc_id"), F.lit(True)).alias("kept"))
+    monkeypatch.setattr(neardup, "near_duplicates", found)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = corpus_pipeline.keep_one_of_each_group(spark, corpus_pipeline.written(table(rows), "rows"), "")
+        got = out.collect()
+        dealt = 0
+        for node in nodes(out._jdf.queryExecution().executedPlan()):
+            if node.nodeName() == "Exchange" and "text#" in node.output().mkString(" "):
+                dealt += node.metrics().apply("shuffleRecordsWritten").value()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = sorted({r for r in rows if r[0] is not None and r[0] % 100 != 1})
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None) == want
+    assert sum(r.doc_id is None for r in got) == 3
+    assert 0 < dealt < 200
