@@ -139,20 +139,27 @@ def running_counts(q: Column) -> Column:
     return make(q["kind"], q["eff_min"], q["eff_max"], q["inv_width"], q["num_bins"], q["lookup"], bins)
 
 
-def _observed_sql(b: str, q: str, u: str) -> str:
-    """Observed value of an empirical bin, weighted by its counts (running sums here); null for an empty bin."""
-    upto = f"get({q}.bins, {b}).counts"
-    steps = ", ".join(str(1 << p) for p in range(10, -1, -1))
-    step = f"case when get({upto}, a.pos + step - 1) <= a.target then a.pos + step else a.pos end"
-    found = f"""aggregate(array({steps}), named_struct('pos', 0, 'target', {u} * try_element_at({upto}, -1)),
-        (a, step) -> named_struct('pos', {step}, 'target', a.target), a -> a.pos)"""
-    return f"double(get(get({q}.bins, {b}).values, {found}))"
+#: strides of a search in as many values as there are sizes
+_STRIDES = ", ".join(str(1 << p) for p in range(10, -1, -1))
 
 
-def to_value(feature: str, b: str, q: str, u: str) -> Column:
+def searchable(b: str) -> Column:
+    """A bin of running counts, ready for draws: values, counts, total, and the strides of a search that its length asks for."""
+    return F.expr(f"""case when {b} is not null then named_struct('values', {b}.values, 'counts', {b}.counts, 'total', try_element_at({b}.counts, -1),
+        'strides', filter(array({_STRIDES}), p -> p < size({b}.values))) end""")
+
+
+def _observed_sql(own: str, u: str) -> str:
+    """Observed value of a `searchable` bin, weighted by its counts; null for an empty bin."""
+    found = f"aggregate({own}.strides, 0, (pos, p) -> case when get({own}.counts, pos + p - 1) <= {u} * {own}.total then pos + p else pos end)"
+    return f"double(get({own}.values, {found}))"
+
+
+def to_value(feature: str, b: str, q: str, u: str, kinds: Collection[str] | None = None) -> Column:
     """A value inside a bin, picked by the uniform u; takes names of bin, quantizer and uniform.
 
-    The quantizer must have `running_counts`. Masked discrete features draw inside their domain, so the
+    The frame went through `Quantizer.attach_drawing`. `kinds` tells which kinds of quantizer occur, to keep the
+    generated code small. Masked discrete features draw inside their domain, so the
     value can be quantized again. A masked unbounded feature has no interval to draw from and yields its
     lower bound.
     """
@@ -169,14 +176,17 @@ def to_value(feature: str, b: str, q: str, u: str) -> Column:
     from_l = f"coalesce(ln(1.0D + {lo}) + {b} * {width}, ln(1.0D + {lo}))"
     to_l = f"coalesce(least({from_l} + {width}, ln(1.0D + {hi})), {from_l})"
     logged = f"exp(case when {from_l} < {to_l} then {from_l} + {u} * ({to_l} - {from_l}) else {from_l} end) - 1.0D"
-    empirical = f"when 'empirical' then {_observed_sql(b, q, u)}" if feature == "size" else ""
-    return F.expr(f"""case {q}.kind
-        when 'mask' then {within(lo, hi) if feature in DISCRETE else lo}
-        when 'identity' then double({b})
-        {empirical}
-        when 'loguniform' then least(greatest({logged}, {lo}), {hi})
-        when 'uniform' then {within(from_u, f"coalesce(least({from_u} + {width}, {hi}), {hi})")}
-    end""")
+    rules = {
+        "mask": within(lo, hi) if feature in DISCRETE else lo,
+        "identity": f"double({b})",
+        "empirical": _observed_sql("_own", u) if feature == "size" else "double(null)",
+        "loguniform": f"least(greatest({logged}, {lo}), {hi})",
+        "uniform": within(from_u, f"coalesce(least({from_u} + {width}, {hi}), {hi})"),
+    }
+    found = [k for k in KINDS if kinds is None or k in kinds]
+    if len(found) == 1:
+        return F.expr(rules[found[0]])
+    return F.expr(f"case {q}.kind " + " ".join(f"when '{k}' then {rules[k]}" for k in found) + " end")
 
 
 def interval_text(bin_id: Column, q: Column) -> Column:

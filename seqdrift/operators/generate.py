@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqdrift.functions import quantizing as Q
 from seqdrift.functions.numeric import uniform
 from seqdrift.operators.quantize import Quantizer
 from seqdrift.schema import SHORT, SYMBOL
@@ -150,15 +149,16 @@ def _next_position(state: DataFrame, model: DataFrame, quantizer: Quantizer, i:
     known = [c for c in state.columns if c != "idx"]
     # a column rather than a constant, from which the join by position would become a cross product
     here = quantizer.attach(state.withColumn("idx", (F.pmod("n", F.lit(1)) + i).cast("int")))
-    past = [quantizer.symbol(f"p{j}.t", f"p{j}.d", f"p{j}.s") for j in range(i - depth, i)]
+    past = {f"_past{j}": quantizer.symbol(f"p{j}.t", f"p{j}.d", f"p{j}.s") for j in range(i - depth, i)}
     u = uniform(F.lit(seed), F.col("n"), F.lit(i))
-    here = here.withColumn("_u", u).withColumn("_slice", slice_of(u))
-    nodes = model.where((F.col("idx") == i) & (F.col("level") <= depth))
-    here = (_by_level if depth < ONE_LOOKUP else _by_one_lookup)(here, nodes, past)
-    sym, used = F.col("_found.sym"), F.col("_found.level")
+    # the quantizer goes before the joins with the model: a row of it is as large as thousands of packets
+    here = quantizer.detach(here.withColumns({**past, "_u": u, "_slice": slice_of(u)}))
+    nodes = model.where((F.col("idx") == i) & (F.col("level") <= depth)).drop("idx")
+    here = (_by_level if depth < ONE_LOOKUP else _by_one_lookup)(here, nodes, [F.col(c) for c in past])
     uniforms = [uniform(F.lit(seed), F.col("n"), F.lit(i), F.lit(f)).alias(f"_u{c}") for f, c in SHORT.items()]
-    here = here.select(*known, "_qt", "_qd", "_qs", sym.alias("_sym"), used.alias("_level"), *uniforms)
-    t, d, s = (Q.to_value(f, f"_sym.{c}", f"_q{c}", f"_u{c}") for f, c in SHORT.items())
+    here = here.select(*known, "idx", F.col("_found.sym").alias("_sym"), F.col("_found.level").alias("_level"), *uniforms)
+    here = quantizer.attach_drawing(here, "_sym.s")
+    t, d, s = (quantizer.value(f, f"_sym.{c}") for f, c in SHORT.items())
     if raise_time and i > 0:
         t = F.greatest(t, F.col(f"p{i - 1}.t"))
     packet = F.struct(t.alias("t"), d.alias("d"), s.alias("s"), F.col("_sym").alias("sym"), F.col("_level").alias("level"))

@@ -97,18 +97,40 @@ class Quantizer:
         """Joins the quantizer of each position. Positions beyond a per-position table drop out."""
         if self.table is None:
             return df.select("*", *[_literal(self.single[c]).alias(f"_q{c}") for c in _SYMBOL_COLUMNS])
-        side = self.table.select("idx", *[F.col(c).alias(f"_q{c}") for c in _SYMBOL_COLUMNS])
+        return self._joined(df, self.table.select("idx", *[F.col(c).alias(f"_q{c}") for c in _SYMBOL_COLUMNS]), ["idx"])
+
+    def _joined(self, df: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
         if self.positions is not None and self.positions <= BROADCAST_POSITIONS:
-            return df.join(F.broadcast(side), "idx")
+            return df.join(F.broadcast(side), on, how)
         # a position holds a row of every flow, so the table is repeated and each position spread over its copies
         side = side.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
         key = [c for c, kind in df.dtypes if not kind.startswith("map")]
         spread = df.withColumn("_copy", F.pmod(F.xxhash64(*key), F.lit(COPIES)).cast("int"))
-        return spread.join(side, ["idx", "_copy"]).drop("_copy")
+        return spread.join(side, [*on, "_copy"], how).drop("_copy")
+
+    def attach_drawing(self, df: DataFrame, size_bin: str) -> DataFrame:
+        """Joins what a draw needs of a quantizer `for_drawing`: its scalars, and as `_own` the observed values of the row's size bin.
+
+        The tables of a position are as large as thousands of packets and would be copied into every row.
+        """
+        if self.table is None:
+            return self.attach(df).withColumn("_own", F.expr(f"get(_qs.bins, {size_bin})")).withColumn("_own", Q.searchable("_own"))
+        scalars = self.table.select("idx", *[
+            Q.make(*[F.col(c)[n] for n in ("kind", "eff_min", "eff_max", "inv_width", "num_bins")]).alias(c) for c in _SYMBOL_COLUMNS])
+        out = Quantizer(table=scalars, positions=self.positions, kinds=self.kinds).attach(df)
+        if self.kinds is not None and "empirical" not in self.kinds["s"]:
+            return out
+        bins = self.table.select("idx", F.posexplode(F.col("s")["bins"]).alias("_bin", "_b")).select("idx", "_bin", Q.searchable("_b").alias("_own"))
+        return self._joined(out.withColumn("_bin", F.expr(size_bin)), bins, ["idx", "_bin"], "left").drop("_bin")
 
     def symbol(self, t: str = "t", d: str = "d", s: str = "s", when: str | None = None) -> Column:
         return Q.symbol(t, d, s, when, self.kinds)
 
+    def value(self, feature: str, b: str) -> Column:
+        """A value inside the bin named `b`, of a frame with uniforms that went through `attach_drawing`."""
+        c = SHORT[feature]
+        return Q.to_value(feature, b, f"_q{c}", f"_u{c}", self.kinds and self.kinds[c])
+
     def for_drawing(self) -> Quantizer:
         """The same quantizer prepared for drawing values inside bins."""
         if self.table is None:
@@ -168,10 +190,10 @@ def bin_intervals(quantizer: DataFrame) -> DataFrame:
 
 def dequantized(quantized: DataFrame, quantizer: Quantizer, seed: int) -> DataFrame:
     """Replaces `sym` by values drawn inside its bins: t, d, s. Draws depend only on seed, id and position."""
-    attached = quantizer.for_drawing().attach(quantized)
     key = (F.lit(seed), F.col("conn_id"), F.col("idx"))
-    attached = attached.select("*", *[uniform(*key, F.lit(f)).alias(f"_u{c}") for f, c in SHORT.items()])
-    drawn = [Q.to_value(f, f"sym.{c}", f"_q{c}", f"_u{c}").alias(c) for f, c in SHORT.items()]
+    placed = quantized.select("*", *[uniform(*key, F.lit(f)).alias(f"_u{c}") for f, c in SHORT.items()])
+    attached = quantizer.for_drawing().attach_drawing(placed, "sym.s")
+    drawn = [quantizer.value(f, f"sym.{c}").alias(c) for f, c in SHORT.items()]
     return attached.select(*[c for c in quantized.columns if c != "sym"], *drawn)
 
 

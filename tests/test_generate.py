@@ -159,3 +159,24 @@ def test_display(timed):
     assert "[0.0000, 0.0000)" in rows[0]["sequence"]
     with pytest.raises(ValueError):
         P.display(p.hist, "all", 0, top_k=0)
+
+
+def test_tables_of_a_quantizer_are_not_dealt_out_with_draws(spark, features):
+    """Joins with the model move packets and symbols; the bins of a position, as large as thousands of packets, stay behind."""
+    q = FT.fitted(features, 2, epsilon=0.1, delta=0.1, mask=("timestamp",), strict=False)
+    assert "empirical" in q.kinds["s"]
+    model = C.build_profile(features, q, 2).hist
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = G.generate(model, q, 2, 50, 3, seed=1)._jdf.queryExecution()
+        moved = [n.output().mkString(" ") for n in nodes(plan.sparkPlan()) if n.nodeName() == "SortMergeJoin"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moved and not any("_qs#" in out for out in moved)
+
+
+def nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from nodes(plan.children().apply(i))
