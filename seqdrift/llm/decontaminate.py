@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqdrift.llm.base import frugal
 from seqdrift.llm.words import ALNUM, Words, covered, slices, words_of
 
 END, BREAK, FIRST = 0, 1, 2  # symbols of an index: end of the shard, separator, first benchmark word
@@ -205,6 +206,7 @@ SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("start", pa.int6
 def _scan(windows: Windows):
     """Rows doc_id, text_key, n_words, item_ids, spans (words first to last, last one out; characters start to end)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column("text"), SHARD):
@@ -241,6 +243,7 @@ def _scan(windows: Windows):
 
 
 def _without(windows: Windows):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column("text"), SHARD):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqdrift.llm.base import remainder, written
+from seqdrift.llm.base import frugal, remainder, written
 from seqdrift.llm.words import mix, slices, stream
 
 BITS = 12
@@ -97,6 +97,7 @@ class Model(NamedTuple):
     least: np.ndarray  # by language and length class: a smaller cosine rejects
 
 
+@frugal
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(WIDTH, np.int64), 0
     for batch in batches:
@@ -199,6 +200,7 @@ def classify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarr
 
 
 def _predict(model: Model):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text"), rows=ROWS):
@@ -212,6 +214,7 @@ def _predict(model: Model):
 
 
 def _accepted(model: Model):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text"), rows=ROWS):

@@ -97,6 +97,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _signatures(k: int, rows: int, bands: int):
+    @base.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column("text")):
@@ -126,6 +127,7 @@ def _signatures(k: int, rows: int, bands: int):
 
 
 def _sets(k: int):
+    @base.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column("text")):

@@ -18,6 +18,7 @@ no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections import Counter
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqdrift.llm.base import written
+from seqdrift.llm.base import frugal, written
 from seqdrift.llm.words import Texts, hashed, slices
 
 END_ID = 0
@@ -194,16 +195,22 @@ def ranked(path: str):
     return tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def loaded(path: str) -> tuple:
+    """The tokenizer of a file and the same one as ranks. A worker keeps them for its next tasks."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path), ranked(path)
+
+
 class Encoder:
     """Ids of whole texts, each distinct piece of them encoded once for as long as it is remembered."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.tokenizer, self.ranks = loaded(path)
         # what has not been used since the memo was half full goes, the rest stays
-        self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), Memo(), Memo()
+        self.memo, self.old = Memo(), Memo()
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.ranks = ranked(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,16 +278,13 @@ class Encoder:
         return ids, np.bincount(owner, size, minlength=n).astype(np.int64)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _tokenize(path: str, capacity: int, with_ids: bool):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:  # a worker keeps it for its next tasks
-            _ENCODERS[path] = Encoder(path)
+        encoder = Encoder(path)
         for batch in batches:
             for texts in slices(batch.column("text"), STEP):
-                ids, counts = _ENCODERS[path].encode(texts)
+                ids, counts = encoder.encode(texts)
                 ends = np.cumsum(counts)
                 raw, counts = np.insert(ids, ends, np.uint32(END_ID)).astype("<u4").tobytes(), counts + 1
                 ends = np.cumsum(counts)

@@ -34,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from seqdrift.llm.base import frugal
+
 # The base patterns and the least lengths of what they find
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -383,6 +385,7 @@ NAMES = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_d
 
 
 def _scan(most: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -416,6 +419,7 @@ def redacted(text: str, mask: str, most: int = MOST_BYTES) -> str:
 
 
 def _redact(mask: str, most: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if v is None else redacted(v, mask, most) for v in batch.column("text").to_pylist()]
