@@ -38,6 +38,7 @@ from seqdrift.llm.words import NOT_SPACE, Words, grams, inside_text, mix, slices
 written = functools.partial(base.written, compression="zstd")  # a dozen tables of hashes and ids side by side
 
 ROWS, BANDS = 3, 32
+STEP = 1_000_000  # links that a task makes stars of at once
 BLOCK = 256  # documents of a block, or as many as have 1000 times as many shingles
 
 
@@ -174,37 +175,74 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough; a pair may come more than once."""
     both = (
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_sa")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_sb")), "b")
         .where(100 * F.least(F.size("_sa"), F.size("_sb")) >= percent * F.greatest(F.size("_sa"), F.size("_sb")))
         .withColumn("_common", F.size(F.array_intersect("_sa", "_sb")))
     )
-    return both.where(100 * F.col("_common") >= percent * (F.size("_sa") + F.size("_sb") - F.col("_common"))).select("a", "b").distinct()
+    return both.where(100 * F.col("_common") >= percent * (F.size("_sa") + F.size("_sb") - F.col("_common"))).select("a", "b")
+
+
+def contracted(v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars around the smallest id of each component of the links v, u: every other id once, and that smallest id."""
+    ids, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+    root, x, y = np.arange(len(ids)), at[: len(v)], at[len(v) :]
+    while True:
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+        if not len(x):
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    leaf = root != np.arange(len(ids))
+    return ids[leaf], ids[root[leaf]]
+
+
+@base.frugal
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (v, u) as stars, STEP links of a task at a time."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        columns = contracted(table["v"].to_numpy(), table["u"].to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, table.schema)], schema=table.schema)
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= STEP:
+            yield stars(held)
+            held, n = [], 0
+    if n:
+        yield stars(held)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc_id, component_id (the smallest id reachable) of every id in `links` (a, b).
+    """doc_id, component_id (the smallest id reachable) of every id in `links` (a, b), written.
 
-    Alternating steps: every id passes the smallest id it knows to its larger neighbours, then to its smaller ones,
-    until nothing changes. The links that remain are stars around the smallest id of each component.
+    Each task replaces its links by stars, which leaves an id at most one smaller neighbour a step of a task. While they are
+    no stars yet taken together, larger neighbours of an id pass to the smallest id it knows, and so do its smaller ones.
+    The smallest neighbour of an id never grows, and where none falls in a round, what comes out are stars.
     """
-    links = links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
-    links, mark = written(links, "links"), None
+    kind = links.schema["a"].dataType.simpleString()
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
+    links = written(links.mapInArrow(_contracted, f"v {kind}, u {kind}"), "links")
     while True:
-        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select("v", F.col("m").alias("u")).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
-        links = written(small.select("e.v", "e.u").where("u <> v").distinct(), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    heads = links.select(F.col("u").alias("doc_id")).distinct()
-    return links.select(F.col("v").alias("doc_id"), F.col("u").alias("component_id")).union(heads.withColumn("component_id", F.col("doc_id")))
+        both = links.select(F.col("v").alias("id"), F.col("u").alias("other")).union(links.select("u", "v"))
+        least = both.groupBy("id").agg(F.min("other").alias("_low"), F.max("other").alias("_high"))
+        # in stars, an id with a smaller neighbour has no other neighbour
+        least = written(least.select("id", F.least("_low", "id").alias("m"), F.expr("_low < id and _low <> _high").alias("open")), "least")
+        if not least.agg(F.max("open")).first()[0]:
+            return least.select(F.col("id").alias("doc_id"), F.col("m").alias("component_id"))
+        large = links.join(least.select(F.col("id").alias("u"), "m"), "u").select("v", F.col("m").alias("u")).mapInArrow(_contracted, f"v {kind}, u {kind}")
+        # an id has no more smaller neighbours here than the tasks before had steps
+        small = large.groupBy("v").agg(F.min("u").alias("m"), F.collect_set("u").alias("_us"))
+        ends = small.select(F.explode(F.concat(F.array("v"), "_us")).alias("v"), F.col("m").alias("u"))
+        links = written(ends.where("v <> u"), "links")
 
 
 def rare_shingles(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,7 +319,6 @@ def block_links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select("doc_id", "cluster", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "shingles")
         .groupBy("cluster", "i", "j")
         .applyInPandas(_compare(percent), f"a {kind}, b {kind}")
-        .distinct()
     )
 
 
@@ -305,7 +342,9 @@ def settle(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dense = docs.join(sizes.where("dense").select("cluster", "blocks"), "cluster")
     sparse = prefix.join(sizes.where("not dense").select("cluster"), "cluster", "left_semi")
     pairs = written(rare_pairs(sparse, percent), "rare-pairs")
-    return confirmed(pairs, sets, percent).union(block_links(dense, sets, percent))
+    # written, as `components` works on them in Python too: two workers a task would stand side by side
+    by_blocks = written(block_links(dense, sets, percent), "block-links")
+    return confirmed(pairs, sets, percent).union(by_blocks)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -320,28 +359,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, rows: int =
     classes = named.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("head"))
     classes = written(classes, "classes")
     heads = named.join(classes.withColumnRenamed("head", "doc_id"), ["k1", "k2", "n_shingles", "doc_id"], "left_semi")
-    buckets = heads.select("doc_id", F.explode("bands").alias("band"))
+    buckets = heads.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     full = written(buckets.join(shared, "band"), "buckets")
-    middle = full.groupBy("doc_id").agg(F.sum("n").alias("p"))
-    stars = full.join(middle, "doc_id").groupBy("band").agg(F.max(F.struct("p", "doc_id"))["doc_id"].alias("star"))
-    members = written(full.join(stars.hint("merge"), "band").where("doc_id <> star").select("doc_id", "band", "star"), "members")
-    pairs = members.select(F.col("star").alias("a"), F.col("doc_id").alias("b")).distinct()
-    sized = heads.select(F.col("doc_id"), F.col("n_shingles")).distinct()
-    pairs = (
-        pairs.join(sized.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("_na")), "a")
-        .join(sized.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("_nb")), "b")
-    )
-    alike = 100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")
-    pairs = written(pairs.where(alike).select("a", "b"), "pairs")
-    wanted = members.select("doc_id").union(members.select("star")).distinct()
+    # rows may share an id but not their text, so an id has a least and a greatest size
+    middle = full.groupBy("doc_id").agg(F.sum("n").alias("p"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    stars = full.select("doc_id", "band").join(middle, "doc_id").groupBy("band").agg(F.max(F.struct("p", "doc_id", "low", "high")).alias("top"))
+    stars = stars.select("band", F.col("top.doc_id").alias("star"), "top.low", "top.high")
+    members = full.join(stars.hint("merge"), "band").where("doc_id <> star")
+    members = written(members.select("doc_id", "band", "star", "n_shingles", "low", "high"), "members")
+    alike = 100 * F.least("n_shingles", "high") >= percent * F.greatest("n_shingles", "low")
+    pairs = written(members.where(alike).select(F.col("star").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    named_there = members.select("doc_id").union(members.select("star"))
+    wanted = named_there.distinct()
     # ids are distinct; a semi join would be moved in front of the filter
     sets = written(
-        perhaps(docs, wanted).join(wanted, "doc_id").mapInArrow(_sets(k), f"doc_id {schema[0].dataType.simpleString()}, shingles array<long>"),
+        perhaps(docs, named_there).join(wanted, "doc_id").mapInArrow(_sets(k), f"doc_id {schema[0].dataType.simpleString()}, shingles array<long>"),
         "sets",
     )
-    links = written(confirmed(pairs, sets, percent), "confirmed")
-    found = written(components(links), "components")
+    found = components(confirmed(pairs, sets, percent))
     left = members.join(found, "doc_id", "left").select("doc_id", "band", F.coalesce("component_id", "doc_id").alias("component"))
     mixed = left.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("band")
     rest = written(left.join(mixed.hint("merge"), "band", "left_semi"), "unsettled")

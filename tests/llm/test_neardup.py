@@ -132,3 +132,58 @@ def test_the_stage_deals_out_few_texts_of_documents_that_stay(spark, table, monk
     assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None) == want
     assert sum(r.doc_id is None for r in got) == 3
     assert 0 < dealt < 200
+
+
+def test_links_become_stars_around_the_smallest_id():
+    draw = random.Random(4)
+    for n, kind in [(1, int), (40, int), (400, int), (400, str)]:
+        pairs = [(kind(draw.randrange(n)), kind(draw.randrange(n))) for _ in range(n)] + [(kind(3), kind(5))]
+        v, u = neardup.contracted(*(np.array(x, object if kind is str else np.int64) for x in zip(*pairs)))
+        group = {i: {i} for p in pairs for i in p}
+        for a, b in pairs:
+            if group[a] is not group[b]:
+                group[a] |= group[b]
+                for i in group[b]:
+                    group[i] = group[a]
+        assert dict(zip(v, u)) == {i: min(g) for i, g in group.items() if i != min(g)}
+        assert len(v) == len(set(v))
+
+
+@pytest.mark.parametrize("shape", ["path", "random", "hub"])
+def test_components_of_links_dealt_over_many_tasks(spark, table, shape):
+    draw = random.Random(5)
+    links = {
+        "path": [(i, i + 1) for i in range(600) if i != 300],
+        "random": [(draw.randrange(700), draw.randrange(700)) for _ in range(500)],
+        "hub": [(10_000, i) for i in range(400)] + [(i, i + 500) for i in range(0, 400, 7)],
+    }[shape]
+    v, u = neardup.contracted(*np.array(links).T)
+    want = {**{int(i): int(i) for i in u}, **{int(i): int(j) for i, j in zip(v, u)}}
+    rows = neardup.components(spark.createDataFrame(links, "a long, b long").repartition(40)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want and len(rows) == len(want)
+
+
+def test_shuffles_of_a_whole_run_stay_few(spark, table):
+    """Groups of exact and near copies, buckets left in several components: what each shuffle costs at least must not add up."""
+    draw, docs = random.Random(6), []
+    for _ in range(12):
+        words = [f"w{draw.randrange(4000)}" for _ in range(120)]
+        docs += [" ".join(edited(draw, words, draw.choice([0, 0.01, 0.025, 0.04]))) for _ in range(25)]
+    rows, partitions = table(list(enumerate(docs)), 4), 23
+    settings = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("shuffles", "")
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(rows).collect()}
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup("shuffles") for s in tracker.getJobInfo(job).stageIds}
+        infos = [tracker.getStageInfo(s) for s in stages]
+        full = sum(i is not None and i.numCompletedTasks == partitions for i in infos)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == plain(list(enumerate(docs)))
+    assert 0 < full <= 30
